@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,15 +39,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that are over: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """df written as a table bucketed by key in the shared folder, so that later joins on key leave it in place."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"llm_{name}_{uuid.uuid4().hex}"
     df.repartition(n, key).write.option("compression", "zstd").option("path", scratch(spark, name)).bucketBy(n, key).format("parquet").saveAsTable(table)
+    release(spark)
     return spark.table(table)
 
 
@@ -87,7 +96,7 @@ class Rolling:
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 2**62)) * 8 + 5
+        self.base = int(rng.integers(1, 2**60)) * 8 + 5
         self.inverse = pow(self.base, -1, 2**64)
         self.powers = self.undo = np.ones(1, np.uint64)
 
@@ -95,7 +104,7 @@ class Rolling:
         if len(self.powers) < n:
             n = max(n, 2 * len(self.powers))
             for name, x in (("powers", self.base), ("undo", self.inverse)):
-                steps = np.full(n, x, dtype=np.uint64)
+                steps = np.full(n, np.uint64(x))
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
@@ -175,3 +184,34 @@ def signed(x: np.ndarray) -> np.ndarray:
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """A key for each row, null or repeated ids included; stable only once the result has been stored."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def batches_of(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The batch in stretches of rows of about `most` text bytes, each with its flat bytes and offsets."""
+    body, offsets = flat(batch.column(text))
+    for i, j in slices(offsets, most):
+        yield batch.slice(i, j - i), body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
+def listed(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """Row numbers and fields (long) of a column of lists of structs, flattened; a null list counts as empty."""
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    values = column.flatten()
+    return np.repeat(np.arange(len(column)), sizes), *(np.asarray(values.field(f)).astype(np.int64) for f in fields)
+
+
+def repeated(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """The rows whose key stands in two rows at least. The keys are stored first, so that Spark can split a hot key's rows in the join."""
+    keys = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key), name)
+    return rows.join(keys, key, "left_semi")
+
+
+def staged_texts(docs: DataFrame, id_col: str, text_col: str, name: str, more: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The texts as a table bucketed by a row key `rid` (rid, doc_id, text, digest), and of each distinct text the first row.
+
+    The second table has rid (of the row of the smallest doc_id, null ids last), how many rows there are, and the digest.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
+    rows = bucketed(with_row_key(rows, "rid").withColumn("digest", F.unhex(F.sha2("text", 256))), "rid", name)
+    first = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    return rows, stored(first.select(F.col("first.rid").alias("rid"), "copies", "digest"), f"{name}-first")
