@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, jaccard_join, packing, secrets, substring_dedup, suffix_dedup, warc
+from . import ann, bpe, exact_dedup, jaccard_join, packing, quality, secrets, substring_dedup, suffix_dedup, warc
 
 
 def _path(name: str) -> str:
@@ -20,6 +20,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"))
     base = F.filter("spans", lambda x: x["kind"] != "random")
@@ -84,7 +89,7 @@ FROM t LEFT JOIN g USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_packing, op4_exact_dedup, op5_suffix_dedup, op6_substring_dedup, op7_bpe, op8_nearest, op9_warc, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_packing, op4_exact_dedup, op5_suffix_dedup, op6_substring_dedup, op7_bpe, op8_nearest, op9_warc, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
