@@ -163,6 +163,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, id_
 
     # a salt by place in the partition keeps one length from being one task
     inside = Window.partitionBy("length", "part").orderBy("row")
-    ranked = rows.withColumn("k", F.row_number().over(inside) - 1).join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("k") + F.col("before"))
+    ranked = rows.withColumn("k", F.row_number().over(inside) - 1).join(before, ["length", "part"]).withColumn("rank", F.col("k") + F.col("before"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
