@@ -118,10 +118,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     screened = batch.select("shard", "digest").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screen, "digest binary, positive boolean")
     screened = stored(batch.join(screened, "digest").select("digest", "first", "n", "positive"), "exact-screened")
 
-    bodies = rows.select("row_key", "body")
-    pairs = screened.filter("positive").alias("b").join(snapshot.alias("s"), "digest").select("digest", F.col("b.first.row_key").alias("new_row"), F.col("s.first").alias("old_first"), F.col("b.n").alias("new_n"))
-    checked = pairs.join(bodies.withColumnsRenamed({"row_key": "new_row", "body": "new_body"}), "new_row").withColumn("old_row", F.col("old_first.row_key")).join(bodies.withColumnsRenamed({"row_key": "old_row", "body": "old_body"}), "old_row")
-    same = stored(checked.filter("new_body = old_body").select("digest", "old_first", "new_n"), "exact-same")
+    pairs = stored(screened.filter("positive").alias("b").join(snapshot.alias("s"), "digest").select("digest", F.col("b.first.row_key").alias("new_row"), F.col("s.first").alias("old_first"), F.col("b.n").alias("new_n")), "exact-pairs")
+    asked = pairs.select("digest", F.explode(F.array("new_row", "old_first.row_key")).alias("row_key"))
+    bodies = asked.join(rows.select("row_key", "body"), "row_key").groupBy("digest").agg(F.min("body").alias("one"), F.max("body").alias("other"))
+    same = stored(pairs.join(bodies.filter("one = other").select("digest"), "digest").select("digest", "old_first", "new_n"), "exact-same")
 
     known = snapshot.select("digest", "first", "n").join(same.select("digest", "new_n"), "digest", "left").select("digest", "first", (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("size"))
     fresh = screened.join(same.select("digest"), "digest", "left_anti").select("digest", "first", F.col("n").alias("size"))
