@@ -1,9 +1,17 @@
-"""Queries over the driver's tables."""
+"""All queries over the driver's tables, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from .plans import catalogue, changes, reviews
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**changes.Q.run, **reviews.Q.run, **catalogue.Q.run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**changes.Q.sql, **reviews.Q.sql, **catalogue.Q.sql}
