@@ -6,7 +6,9 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECRET = re.compile(r"(?i)auth|cookie|token|secret|passw|session|api[-_]?key|csrf|signature|e-?mail")
 
@@ -22,10 +24,7 @@ def cleaned(x):
     return x
 
 
-@F.pandas_udf("string")
-def redact_har(body: pd.Series) -> pd.Series:
-    """Redacted JSON with sorted keys; null for malformed input."""
-
+def _redacted(body: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         try:
             return None if text is None else json.dumps(cleaned(json.loads(text)), sort_keys=True, ensure_ascii=False)
@@ -33,3 +32,8 @@ def redact_har(body: pd.Series) -> pd.Series:
             return None
 
     return body.map(one)
+
+
+def redact_har(body: Column) -> Column:
+    """Redacted JSON with sorted keys; null for malformed input."""
+    return F.pandas_udf(_redacted, T.StringType())(body)

@@ -1,3 +1,317 @@
-from .views import Queries
+"""Evidence, text and page extraction, platform payloads, deltas."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import jsonld, text
+from ..operators import deltas, evidence, normalize, redact, resolve, state
+from ..sources import captured
+from . import views
+from .views import Queries, sql, table
 
 Q = Queries()
+
+
+# ---- evidence
+
+MERGE_SQL = """i AS (SELECT page_id, url, sha256(html) AS h FROM pages), o AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN sha256(html) ELSE 'old' END AS h FROM pages WHERE page_id % 2 = 0),
+m AS (SELECT i.page_id, i.url, CASE WHEN o.h IS NULL THEN 'new' WHEN o.h = i.h THEN 'unchanged' ELSE 'updated' END AS change_kind FROM i LEFT JOIN o USING (page_id))"""
+
+
+def merged(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.sha2("html", 256).alias("h"))
+    old = rows.filter("page_id % 2 = 0").withColumn("h", F.when(F.col("page_id") % 3 == 0, F.col("h")).otherwise("old"))
+    return state.change_kind(rows, old, ["page_id"], "h")
+
+
+@Q.add(f"WITH {MERGE_SQL} SELECT page_id, url, change_kind FROM m")
+def evidence_merge(spark, sf_dir):
+    return merged(spark, sf_dir).select("page_id", "url", "change_kind")
+
+
+@Q.add(f"WITH {MERGE_SQL} SELECT 'site-' || (page_id % 7) AS source, count(*) FILTER (WHERE change_kind = 'new') AS n_new, count(*) FILTER (WHERE change_kind = 'updated') AS n_updated, count(*) FILTER (WHERE change_kind = 'unchanged') AS n_unchanged, count(*) FILTER (WHERE change_kind <> 'unchanged' AND page_id % 5 = 0) AS n_linked, count(*) FILTER (WHERE change_kind <> 'unchanged' AND page_id % 5 <> 0) AS n_unlinked, count(*) FILTER (WHERE change_kind <> 'unchanged') AS n_events FROM m GROUP BY ALL")
+def evidence_run_stats(spark, sf_dir):
+    rows = merged(spark, sf_dir).withColumn("source", F.concat(F.lit("site-"), (F.col("page_id") % 7).cast("string"))).withColumn("linked_key", F.when(F.col("page_id") % 5 == 0, F.col("url")))
+    return evidence.run_stats(rows)
+
+
+@Q.add(f"WITH {MERGE_SQL} SELECT page_id, url, change_kind FROM m WHERE change_kind <> 'unchanged' ORDER BY page_id DESC LIMIT 200")
+def evidence_timeline(spark, sf_dir):
+    return merged(spark, sf_dir).filter("change_kind <> 'unchanged'").select("page_id", "url", "change_kind").orderBy(F.desc("page_id")).limit(200)
+
+
+ITEMS_SQL = """items AS (SELECT id, manufacturer, CASE WHEN id % 2 = 0 THEN vendor_sku END AS sku, CASE WHEN id % 5 = 0 THEN 'SKU-' || (id % 90) END AS mpn, CASE WHEN id % 3 = 1 THEN ' ' || upper(model) || ' ' WHEN id % 3 = 2 THEN 'alias ' || (id % 40) END AS model FROM v_listings),
+lk AS (SELECT i.*, s.k AS sku_k, m.k AS mpn_k, d.k AS model_k, a.k AS alias_k FROM items i
+ LEFT JOIN (SELECT manufacturer, vendor_sku, arg_max(product_key, (last_seen, id)) AS k FROM v_listings WHERE vendor_sku IS NOT NULL GROUP BY ALL) s ON s.manufacturer = i.manufacturer AND s.vendor_sku = i.sku
+ LEFT JOIN (SELECT manufacturer, vendor_sku, arg_max(product_key, (last_seen, id)) AS k FROM v_listings WHERE vendor_sku IS NOT NULL GROUP BY ALL) m ON m.manufacturer = i.manufacturer AND m.vendor_sku = i.mpn
+ LEFT JOIN (SELECT manufacturer, lower(trim(model)) AS norm, arg_min(product_key, id) AS k FROM v_listings GROUP BY ALL) d ON d.manufacturer = i.manufacturer AND d.norm = lower(trim(i.model))
+ LEFT JOIN (SELECT manufacturer, 'alias ' || (id % 40) AS norm, min(product_key) AS k FROM v_listings WHERE id % 4 = 0 GROUP BY ALL) a ON a.manufacturer = i.manufacturer AND a.norm = lower(trim(i.model))),
+linked AS (SELECT id, sku, model, coalesce(sku_k, mpn_k, model_k, alias_k) AS linked_key, CASE WHEN sku_k IS NOT NULL THEN 'exact_sku' WHEN mpn_k IS NOT NULL THEN 'exact_mpn' WHEN model_k IS NOT NULL THEN 'exact_model_id' WHEN alias_k IS NOT NULL THEN 'alias' ELSE 'none' END AS method FROM lk)"""
+
+
+def linked(spark, sf_dir):
+    rows = views.listings(spark, sf_dir)
+    n = F.col("id")
+    alias = F.concat(F.lit("alias "), (n % 40).cast("string"))
+    items = rows.select("id", "manufacturer", F.when(n % 2 == 0, F.col("vendor_sku")).alias("sku"), F.when(n % 5 == 0, F.concat(F.lit("SKU-"), (n % 90).cast("string"))).alias("mpn"), F.when(n % 3 == 1, F.concat(F.lit(" "), F.upper("model"), F.lit(" "))).when(n % 3 == 2, alias).alias("model"))
+    return resolve.link_evidence(items, rows, rows.filter("id % 4 = 0").select("manufacturer", alias.alias("alias"), "product_key"))
+
+
+@Q.add(sql("SELECT id, linked_key, method FROM linked", "v_listings").replace("\nSELECT id", f", {ITEMS_SQL}\nSELECT id", 1))
+def evidence_link_cascade(spark, sf_dir):
+    return linked(spark, sf_dir).select("id", "linked_key", "method")
+
+
+@Q.add(sql("""SELECT id, CASE WHEN id % 10 >= 8 OR id % 7 = 0 OR id % 11 >= 9 THEN NULL WHEN id % 4 = 0 AND linked_key IS NOT NULL THEN 'regional_product_evidence' WHEN sku IS NOT NULL THEN 'new_configuration_evidence' WHEN linked_key IS NULL AND model IS NOT NULL THEN 'new_model_evidence' END AS candidate FROM linked""", "v_listings").replace("\nSELECT id", f", {ITEMS_SQL}\nSELECT id", 1))
+def evidence_candidates(spark, sf_dir):
+    n = F.col("id")
+    kind = F.when(n % 10 < 8, "product_database").otherwise("support_page")
+    got = evidence.candidate_type(kind, n % 7 == 0, F.when(n % 11 < 9, True), F.when(n % 4 == 0, "DE"), F.col("sku"), F.col("model"), F.col("linked_key"))
+    return linked(spark, sf_dir).select("id", got.alias("candidate"))
+
+
+@Q.add("SELECT event_id, ts > TIMESTAMP '2024-01-20' - INTERVAL 14 DAY AND ts <= TIMESTAMP '2024-01-20' AS is_candidate FROM events")
+def baseline_candidate(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", evidence.recent(F.col("ts"), F.expr("timestamp_ntz'2024-01-20'")).alias("is_candidate"))
+
+
+# ---- text and pages
+
+ENTITY_SQL = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _name, _char in text.ENTITIES.items():
+    ENTITY_SQL = f"replace({ENTITY_SQL}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+
+@Q.add(f"SELECT page_id, sha256(trim(regexp_replace({ENTITY_SQL}, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x0b]+', ' ', 'g'))) AS text_hash FROM pages")
+def strip_html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_html(F.col("html")), 256).alias("text_hash"))
+
+
+@Q.add("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), '') AS h1, coalesce(length(regexp_extract(html, '(?is)<link[^>]+rel=.canonical', 0)) > 0, false) AS has_canonical FROM pages")
+def page_title_h1(spark, sf_dir):
+    one = lambda tag: F.nullif(F.trim(F.regexp_extract("html", f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", one("title").alias("title"), one("h1").alias("h1"), F.col("html").rlike("(?is)<link[^>]+rel=.canonical").alias("has_canonical"))
+
+
+@Q.add("""SELECT page_id, lower(regexp_extract(b, '^([A-Za-z]+://[^/]*)', 1)) || substr(b, length(regexp_extract(b, '^([A-Za-z]+://[^/]*)', 1)) + 1) AS normal, regexp_extract(b, '([^/]+)$', 1) AS slug FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS b FROM pages)""")
+def url_normalize(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", text.url_normal(u).alias("normal"), text.url_slug(u).alias("slug"))
+
+
+@Q.add("SELECT page_id, url FROM pages WHERE regexp_matches(url, '/(en|fr)/') AND NOT regexp_matches(url, 'page=|#')")
+def url_include_exclude(spark, sf_dir):
+    return table(spark, sf_dir, "pages").filter(normalize.wanted_url(F.col("url"), ["/en/", "/fr/"], ["page=", "#"])).select("page_id", "url")
+
+
+@Q.add("SELECT doc_id, lang = 'en' AND (contains(lower(text), 'license') OR contains(lower(text), 'copyright')) AS denied FROM documents")
+def denylist_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", ((F.col("lang") == "en") & text.contains_any(F.col("text"), ["License", "COPYRIGHT"])).alias("denied"))
+
+
+@Q.add("SELECT page_id, contains(lower(html), 'access denied') OR (page_id % 3 = 0 AND contains(lower(html), 'nav')) AS blocked FROM pages")
+def bot_block(spark, sf_dir):
+    low = F.lower("html")
+    return table(spark, sf_dir, "pages").select("page_id", (low.contains("access denied") | ((F.col("page_id") % 3 == 0) & low.contains("nav"))).alias("blocked"))
+
+
+def product_pages(spark, sf_dir):
+    """Pages with JSON-LD made from part rows: lists, graphs, offers as objects or lists, a malformed block each."""
+    p = F.col("p_partkey")
+    n, price = p.cast("string"), F.col("p_retailprice").cast("string")
+    offer = F.concat(F.lit('{"@type":"Offer","price":"'), price, F.lit('","priceCurrency":"EUR","availability":"https://schema.org/'), F.when(p % 3 == 0, "InStock").when(p % 3 == 1, "PreOrder").otherwise("OutOfStock"), F.lit('"}'))
+    offers = F.when(p % 2 == 0, offer).otherwise(F.concat(F.lit("["), offer, F.lit(',{"price":"0"}]')))
+    node = F.concat(F.lit('{"@type":'), F.when(p % 5 == 0, '["Thing","product"]').otherwise('"Product"'), F.lit(',"name":"'), F.col("p_name"), F.lit('","sku":"S'), n, F.lit('","url":"https://x.test/'), n, F.lit('","image":'), F.when(p % 2 == 0, F.concat(F.lit('"https://i.test/'), n, F.lit('.png?w=1"'))).otherwise(F.concat(F.lit('["https://i.test/'), n, F.lit('.png?w=2"]'))), F.lit(',"offers":'), offers, F.lit("}"))
+    block = F.when(p % 4 == 0, F.concat(F.lit("["), node, F.lit("]"))).when(p % 4 == 1, F.concat(F.lit('{"@graph":['), node, F.lit("]}"))).when(p % 4 == 2, F.concat(F.lit('{"@type":"ItemList","itemListElement":[{"item":'), node, F.lit("}]}"))).otherwise(node)
+    html = F.concat(F.lit("<html><script type='application/ld+json'>{bad</script><SCRIPT data-x=1 type=\"application/ld+json\">"), block, F.lit("</SCRIPT>"), F.when(p % 4 == 2, F.concat(F.lit('<script type="application/ld+json">'), node, F.lit("</script>"))).otherwise(""), F.lit("</html>"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), F.concat(F.lit("https://x.test/"), n).alias("url"), html.alias("html"))
+
+
+@Q.add("SELECT 'https://x.test/' || p_partkey AS url, p_name AS model, 'S' || p_partkey AS vendor_sku, p_retailprice AS amount, 'EUR' AS currency, CASE p_partkey % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'preorder' ELSE 'sold_out' END AS availability, 'https://i.test/' || p_partkey || '.png' AS image, 1 AS n_prices, 0.9 AS confidence FROM part".replace("0.9 AS", "0.9::DOUBLE AS"))
+def jsonld_products(spark, sf_dir):
+    got = normalize.jsonld(jsonld.products(product_pages(spark, sf_dir)), "Maker")
+    p = F.col("prices")[0]
+    return got.select("url", "model", "vendor_sku", p["amount"].alias("amount"), p["currency"].alias("currency"), p["availability"].alias("availability"), F.col("images")[0].alias("image"), F.size("prices").alias("n_prices"), "confidence")
+
+
+@Q.add("SELECT p_brand AS source, count(*) AS n_nodes FROM part GROUP BY ALL")
+def jsonld_node_count(spark, sf_dir):
+    return jsonld.products(product_pages(spark, sf_dir)).groupBy("source").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@Q.add("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'sold_out' WHEN 1 THEN 'preorder' WHEN 2 THEN 'in_stock' ELSE 'unknown' END AS availability FROM part")
+def schema_availability(spark, sf_dir):
+    p = F.col("p_partkey") % 4
+    raw = F.when(p == 0, "https://schema.org/OutOfStock").when(p == 1, "PreOrder").when(p == 2, "http://schema.org/InStock")
+    return table(spark, sf_dir, "part").select("p_partkey", text.availability(raw).alias("availability"))
+
+
+@Q.add("SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE round(CAST(round(p_retailprice * 100) AS BIGINT) / CASE WHEN p_partkey % 4 = 0 THEN 1000.0 ELSE 100.0 END, 2) END AS amount FROM part")
+def minor_unit_price(spark, sf_dir):
+    p = F.col("p_partkey")
+    raw = F.when(p % 9 == 0, "n/a").otherwise(F.round(F.col("p_retailprice") * 100).cast("long").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.minor_units(raw, F.when(p % 4 == 0, "3")).alias("amount"))
+
+
+@Q.add("SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE (p_size % 64 + 1) || ' GB' END AS memory, CASE p_partkey % 4 WHEN 0 THEN '2 TB' WHEN 1 THEN '512 GB' WHEN 2 THEN '128 GB' ELSE '1 TB' END AS storage FROM part")
+def mem_storage_split(spark, sf_dir):
+    p, m = F.col("p_partkey") % 4, (F.col("p_size") % 64 + 1).cast("string")
+    raw = F.when(p == 0, F.concat(F.lit("2TB SSD + "), m, F.lit("GB RAM"))).when(p == 1, F.concat(F.lit("512 GB NVMe / "), m, F.lit(" GB LPDDR5"))).when(p == 2, F.concat(m, F.lit("GB + 128GB"))).otherwise("1TB")
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.split_sizes(raw).alias("s")).select("p_partkey", "s.memory", "s.storage")
+
+
+@Q.add("SELECT p_partkey, CASE WHEN p_size > 40 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS n_issues, CASE WHEN p_size > 40 OR p_partkey % 5 = 0 THEN 0.5 ELSE 1.0 END AS confidence FROM part WHERE p_partkey % 6 <> 0".replace("0.5 ELSE 1.0 END", "0.5::DOUBLE ELSE 1.0::DOUBLE END"))
+def validate_issues(spark, sf_dir):
+    p = F.col("p_partkey")
+    name = F.when(p % 6 == 0, " ").otherwise(F.col("p_name"))
+    price = F.when(F.col("p_size") <= 40, F.col("p_retailprice"))
+    brand = F.when(p % 5 == 0, "Other").otherwise(F.concat(F.col("p_brand"), F.lit(" Inc")))
+    rows = table(spark, sf_dir, "part").withColumn("issues", normalize.issues(name, price, F.lit("https://x.test/1"), brand, F.col("p_brand"))).withColumn("confidence", F.lit(1.0))
+    return normalize.accepted(rows).select("p_partkey", F.size("issues").alias("n_issues"), "confidence")
+
+
+@Q.add("SELECT n_name AS line, s_suppkey AS external_id, s_name AS model, s_suppkey % 3 = 0 AS withdrawn, s_suppkey % 4 = 0 AS is_new FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 10 <> 0")
+def catalog_tree_flatten(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    key = F.col("s_suppkey")
+    product = F.struct(F.when(key % 10 != 0, key).alias("ProductID"), F.col("s_name").alias("ProductName"), F.col("s_name").alias("ProductKey"), F.when(key % 3 == 0, 1).otherwise(0).alias("Withdraw"), F.when(key % 4 == 0, 1).otherwise(0).alias("IsNewProduct"))
+    lines = s.groupBy("n_regionkey", F.col("n_name").alias("ProductLine")).agg(F.collect_list(product).alias("ProductList")).withColumn("ProductSeriesList", F.array(F.struct(F.lit("series").alias("SeriesName"), "ProductList")))
+    trees = lines.groupBy("n_regionkey").agg(F.collect_list(F.struct("ProductLine", "ProductSeriesList")).alias("ProductLineList")).select(F.to_json(F.struct(F.struct(F.array(F.struct(F.col("n_regionkey").cast("string").alias("ClassificationName"), "ProductLineList")).alias("ProductClassificationList")).alias("data"))).alias("body"))
+    return captured.catalogue_tree(trees).select("line", "external_id", "model", "withdrawn", "is_new")
+
+
+@Q.add("SELECT 'cat-' || s_nationkey AS category, CAST(s_suppkey AS VARCHAR) AS product_id, CASE WHEN s_suppkey % 2 = 0 THEN 'c' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS config_id, s_acctbal AS price FROM supplier WHERE s_suppkey % 10 <> 0")
+def vendor_catalogue(spark, sf_dir):
+    key = F.col("s_suppkey")
+    config = F.struct(F.when(key % 2 == 0, F.concat(F.lit("c"), key.cast("string"))).alias("id"), F.lit("x").alias("CPU"), F.col("s_acctbal").alias("price"))
+    product = F.struct(F.when(key % 10 != 0, key.cast("string")).alias("id"), F.col("s_name").alias("title"), F.array(config).alias("configurations"))
+    bodies = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("cat-"), F.col("s_nationkey").cast("string")).alias("category")).agg(F.collect_list(product).alias("data")).select("category", F.to_json(F.struct(F.lit("success").alias("status"), "data")).alias("body"))
+    return captured.vendor_catalogue(bodies).select("category", "product_id", "config_id", "price")
+
+
+@Q.add("SELECT DISTINCT 'src-' || (p_size % 4) AS source, 'https://x.test/p/' || p_partkey AS url FROM part WHERE p_size > 5")
+def sitemap_urls(spark, sf_dir):
+    part = table(spark, sf_dir, "part").filter("p_size > 5")
+    leaf = F.concat(F.lit("https://x.test/map-"), F.col("p_size").cast("string"))
+    leaves = part.groupBy(leaf.alias("url")).agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc> https://x.test/p/"), F.col("p_partkey").cast("string"), F.lit(" </loc></url>"))), "").alias("x")).select("url", F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("body"))
+    index = part.groupBy(F.concat(F.lit("https://x.test/index-"), (F.col("p_size") % 4).cast("string")).alias("url")).agg(F.array_join(F.collect_set(F.concat(F.lit("<sitemap><loc>"), leaf, F.lit("</loc></sitemap>"))), "").alias("x")).select("url", F.concat(F.lit("<sitemapindex>"), "x", F.lit("<sitemap><loc>https://x.test/gone</loc></sitemap></sitemapindex>")).alias("body"))
+    roots = index.select(F.concat(F.lit("src-"), F.substring_index("url", "-", -1)).alias("source"), "url")
+    return captured.walk_sitemaps(leaves.union(index), roots, most_urls=1_000_000)
+
+
+def feed_pages(spark, sf_dir):
+    """Numbered pages of a bulk feed made from part rows, the third of each source empty."""
+    p = F.col("p_partkey")
+    variant = F.struct(F.lit("16GB RAM + 1TB SSD").alias("title"), F.lit("a").alias("option1"), F.lit("EU").alias("option2"), F.concat(F.lit("S"), p.cast("string")).alias("sku"), (p % 2 == 0).alias("available"), F.col("p_retailprice").cast("string").alias("price"))
+    item = F.struct(F.concat(F.lit("h"), p.cast("string")).alias("handle"), F.concat(F.lit("Maker "), F.col("p_name"), F.when(p % 3 == 0, " Ryzen 7 8845HS").otherwise("")).alias("title"), F.lit("<p>Body &amp; soul</p>").alias("body_html"), F.lit("Maker").alias("vendor"), F.when(p % 7 == 0, "Accessories").otherwise("PC").alias("product_type"), F.array(variant).alias("variants"))
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("source"), (p % 5 + 1).alias("page")).agg(F.collect_list(item).alias("products"))
+    return rows.select("source", F.col("page").cast("int").alias("page"), F.to_json(F.struct(F.when(F.col("page") != 3, F.col("products")).otherwise(F.array().cast(rows.schema["products"].dataType)).alias("products"))).alias("body"))
+
+
+@Q.add("""SELECT p_brand || ':h' || p_partkey AS product_key, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' Ryzen 7 8845HS' ELSE '' END AS model, CASE WHEN p_partkey % 3 = 0 THEN 'Ryzen 7 8845HS' END AS cpu, '16 GB' AS memory, '1 TB' AS storage, p_retailprice AS amount, CASE WHEN p_partkey % 2 = 0 THEN 'in_stock' ELSE 'sold_out' END AS availability, 'Body & soul' AS description,
+ CASE WHEN p_partkey % 7 = 0 THEN 0.0::DOUBLE WHEN p_partkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM part WHERE p_partkey % 5 + 1 < 3""")
+def bulk_store_products(spark, sf_dir):
+    got = normalize.bulk_store(captured.list_pages(feed_pages(spark, sf_dir), "products"), "Maker", "https://x.test")
+    p = F.col("prices")[0]
+    return got.select("product_key", "model", F.col("cpu.raw").alias("cpu"), "memory", "storage", p["amount"].alias("amount"), p["availability"].alias("availability"), "description", "confidence")
+
+
+@Q.add("SELECT p_brand || ':s' || p_partkey AS product_key, p_name AS model, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE round(CAST(round(p_retailprice * 100) AS BIGINT) / 100.0, 2) END AS amount, CASE p_partkey % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'sold_out' ELSE 'unknown' END AS availability FROM part WHERE p_type <> (SELECT min(p_type) FROM part)")
+def store_api_products(spark, sf_dir):
+    p = F.col("p_partkey")
+    stock = F.when(p % 3 == 0, F.lit("true")).when(p % 3 == 1, F.lit("false")).otherwise("null")
+    price = F.when(p % 9 == 0, "null").otherwise(F.concat(F.lit('"'), F.round(F.col("p_retailprice") * 100).cast("long").cast("string"), F.lit('"')))
+    body = F.concat(F.lit('{"slug":"s'), p.cast("string"), F.lit('","name":"'), F.col("p_name"), F.lit('","permalink":"https://x.test/1","sku":"","is_in_stock":'), stock, F.lit(',"prices":{"price":'), price, F.lit(',"currency_minor_unit":2,"currency_code":"EUR"},"categories":[{"name":"'), F.col("p_type"), F.lit('"}]}'))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), F.try_parse_json(body).alias("item"))
+    first = table(spark, sf_dir, "part").agg(F.min("p_type").alias("first_type"))
+    got = normalize.store_api(rows, "Maker").crossJoin(F.broadcast(first)).filter(~F.exists("categories", lambda c: c == F.col("first_type")))
+    return got.select("product_key", "model", F.get("prices", F.lit(0))["amount"].alias("amount"), F.when(F.size("prices") > 0, F.get("prices", F.lit(0))["availability"]).otherwise(F.when(p_mod("product_key") == 0, "in_stock").when(p_mod("product_key") == 1, "sold_out").otherwise("unknown")).alias("availability"))
+
+
+def p_mod(key: str):
+    return F.substring_index(key, ":s", -1).cast("long") % 3
+
+
+@Q.add("SELECT p_brand AS source, count(*) AS refs, count(*) - count(DISTINCT p_name) AS duplicates, count(DISTINCT p_name) AS uniques, round(avg(CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.0 END), 4) AS identity_quality, round(avg(CASE WHEN n <= 12 THEN CASE WHEN p_size > 10 THEN 1.0 ELSE 0.0 END END), 4) AS pass_rate FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) GROUP BY ALL")
+def discovery_benchmark(spark, sf_dir):
+    p = F.col("p_partkey")
+    refs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), F.col("p_name").alias("handle"), p, F.when(p % 3 == 0, p).alias("identity"), (F.col("p_size") > 10).alias("ok"))
+    return normalize.discovery(refs, ["p_partkey"])
+
+
+@Q.add("""SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'BLOCKED_BOT' WHEN p_partkey % 7 = 0 THEN 'bulk_store' WHEN p_partkey % 5 = 0 THEN 'store_api' WHEN p_partkey % 11 = 0 THEN 'magento' WHEN p_size > 25 OR p_partkey % 2 = 0 THEN 'static_jsonld' WHEN p_partkey % 3 = 0 THEN 'js_hydrated (next)' ELSE 'unknown' END AS platform,
+ greatest(0, 100 - CASE WHEN p_partkey % 13 = 0 THEN 50 ELSE 0 END - CASE WHEN p_partkey % 2 <> 0 AND NOT bulk THEN 15 WHEN p_partkey % 4 = 0 THEN 5 ELSE 0 END
+  - CASE WHEN NOT bulk AND p_size <= 25 THEN 25 WHEN p_size > 25 AND NOT bulk THEN CAST(round_even((100 - p_size) * 0.15, 0) AS INT) ELSE 0 END - CASE WHEN p_partkey % 3 = 0 AND p_size <= 25 AND NOT bulk THEN 20 ELSE 0 END)::BIGINT AS quality, CASE WHEN p_partkey % 13 = 0 THEN false ELSE bulk OR p_size > 25 END AS pursue
+FROM (SELECT *, p_partkey % 7 = 0 OR p_partkey % 5 = 0 AS bulk FROM part)""")
+def probe_score(spark, sf_dir):
+    p = F.col("p_partkey")
+    facts = table(spark, sf_dir, "part").select(
+        "p_partkey", (p % 13 == 0).alias("blocked"), (p % 7 == 0).alias("bulk_api"), (p % 5 == 0).alias("store_api"), F.when(F.col("p_size") > 25, 2).otherwise(0).alias("jsonld_products"), F.when(F.col("p_size") > 25, F.col("p_size")).otherwise(0).alias("richness"), (p % 2 == 0).alias("sitemap"),
+        (p % 4 == 0).alias("sitemap_gz"), (p % 2 == 0).alias("product_sitemap"), F.when(p % 3 == 0, "next").alias("framework"), F.lit(False).alias("graphql"), F.when(p % 11 == 0, "magento").alias("commerce_hint"),
+    )
+    return normalize.probe(facts).select("p_partkey", "platform", "quality", "pursue")
+
+
+@Q.add("SELECT p_partkey, round((1 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END + 1 + CASE WHEN p_size > 20 THEN 1 ELSE 0 END) / 6 * 100, 1) AS richness FROM part")
+def jsonld_richness(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.richness(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "s"), F.col("p_retailprice"), F.when(F.col("p_size") > 20, "InStock"), none, F.lit("")).alias("richness"))
+
+
+# ---- deltas
+
+@Q.add("SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def delta_new_items(spark, sf_dir):
+    known = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return deltas.new_items(table(spark, sf_dir, "orders").filter("o_orderpriority like '1%'").select("o_orderkey"), known, ["o_orderkey"])
+
+
+@Q.add("SELECT c_custkey, EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey % 50 = c.c_custkey % 50 AND s.s_nationkey <> c.c_nationkey) AS seen_elsewhere FROM customer c")
+def delta_cross_region(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 50).alias("identity"), F.col("c_nationkey").alias("region"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).alias("identity"), F.col("s_nationkey").alias("region"))
+    return deltas.elsewhere(c, s, "identity", "region").select("c_custkey", "seen_elsewhere")
+
+
+@Q.add("""WITH c AS (SELECT o_custkey % 40 AS source, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) FILTER (WHERE o_totalprice > 150000) AS n FROM orders GROUP BY ALL),
+p AS (SELECT *, last_value(CASE WHEN n > 0 THEN n END IGNORE NULLS) OVER (PARTITION BY source ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM c) SELECT source, day, n, previous, n = 0 OR coalesce(n / previous < 0.35, false) AS unsafe FROM p""")
+def delta_unsafe_guard(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).alias("source"), text.day_key(F.col("o_orderdate")).alias("day")).agg(F.count_if(F.col("o_totalprice") > 150000).alias("n"))
+    return deltas.guarded(counts, ["source"], ["day"])
+
+
+@Q.add("SELECT p_partkey, CASE WHEN contains(upper(replace(p_brand, ' ', '')), 'BRAND#1') OR contains('BRAND#23X', upper(replace(p_brand, ' ', ''))) THEN 'yes' ELSE 'no' END AS presence FROM part".replace("replace(p_brand, ' ', '')", "replace(replace(p_brand, ' ', ''), '-', '')"))
+def delta_presence(spark, sf_dir):
+    return deltas.presence(table(spark, sf_dir, "part"), "p_brand", ["Brand#1", "BRAND# 2-3X"]).select("p_partkey", "presence")
+
+
+@Q.add("SELECT o_custkey, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen FROM orders GROUP BY o_custkey")
+def delta_state(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    old = o.filter("o_orderkey % 3 <> 0").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_seen"), F.max("o_orderdate").alias("last_seen"))
+    return state.delta_state(old, o.filter("o_orderkey % 3 = 0"), ["o_custkey"], "o_orderdate")
+
+
+@Q.add("SELECT k AS id, CASE WHEN s = 'discovered' AND k % 2 = 0 THEN 'seen' ELSE s END AS source, s = 'discovered' AND k % 2 = 0 AS changed FROM (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'seeded' ELSE 'discovered' END AS s FROM part WHERE p_partkey % 2 = 0) UNION ALL SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'seeded' ELSE 'discovered' END, false FROM part WHERE p_partkey % 2 = 1")
+def components_mark_seen(spark, sf_dir):
+    p = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(p.alias("id"), F.concat(F.lit("c"), (p % 2).cast("string")).alias("canonical_name"), F.when(p % 3 == 0, "seeded").otherwise("discovered").alias("source"))
+    return state.seen_components(rows, ["c0"]).select("id", "source", "changed")
+
+
+@Q.add(sql("""SELECT product_key FROM (SELECT 'src-' || (o_custkey % 25) AS source, 'src-' || (o_custkey % 25) || ':' || o_custkey AS product_key, max(o_orderdate) AS last_seen FROM orders GROUP BY ALL) l
+JOIN (SELECT source, started_at AS since FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS n FROM v_runs WHERE status = 'ok') WHERE n = 40) s USING (source) WHERE last_seen < since""", "v_runs"))
+def removed_listings(spark, sf_dir):
+    """Extension: not in the reference's results, but in its documentation."""
+    source = F.concat(F.lit("src-"), (F.col("o_custkey") % 25).cast("string"))
+    seen = table(spark, sf_dir, "orders").groupBy(source.alias("source"), F.concat(source, F.lit(":"), F.col("o_custkey").cast("string")).alias("product_key")).agg(F.max("o_orderdate").alias("last_seen"))
+    return deltas.removed(seen, views.runs(spark, sf_dir), 40).select("product_key")
+
+
+@Q.add()
+def har_redaction(spark, sf_dir):
+    """Rows only: nesting is unbounded, so SQL has no equal; tests hold it against hand-made cases."""
+    e = table(spark, sf_dir, "events")
+    body = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("Cookie").alias("name"), F.col("event_type").alias("value"))).alias("headers"), F.col("props").alias("text"), F.col("user_id").alias("session_id")).alias("request")))
+    return e.select("event_id", redact.redact_har(body).alias("body"))

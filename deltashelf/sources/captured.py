@@ -66,7 +66,7 @@ def walk_sitemaps(maps: DataFrame, roots: DataFrame, most_maps: int = 50, most_u
 
 def catalogue_tree(trees: DataFrame) -> DataFrame:
     """A four-level product tree (column body) as rows with their ancestors' names; entries without a stable id are left out."""
-    schema = "data struct<ProductClassificationList: array<struct<ClassificationName: string, ProductLineList: array<struct<ProductLine: string, ProductSeriesList: array<struct<SeriesName: string, ProductList: array<struct<ProductID: long, ProductName: string, ProductKey: string, Withdraw: int, IsNewProduct: int>>>>>>>>"
+    schema = "data struct<ProductClassificationList: array<struct<ClassificationName: string, ProductLineList: array<struct<ProductLine: string, ProductSeriesList: array<struct<SeriesName: string, ProductList: array<struct<ProductID: long, ProductName: string, ProductKey: string, Withdraw: int, IsNewProduct: int>>>>>>>>>"
     rows = trees.select(F.explode(F.from_json("body", schema)["data"]["ProductClassificationList"]).alias("c"))
     rows = rows.select(F.col("c.ClassificationName").alias("classification"), F.explode("c.ProductLineList").alias("l"))
     rows = rows.select("classification", F.col("l.ProductLine").alias("line"), F.explode("l.ProductSeriesList").alias("s"))
