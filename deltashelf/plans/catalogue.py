@@ -210,7 +210,7 @@ def feed_pages(spark, sf_dir):
 
 
 @Q.add("""SELECT p_brand || ':h' || p_partkey AS product_key, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' Ryzen 7 8845HS' ELSE '' END AS model, CASE WHEN p_partkey % 3 = 0 THEN 'Ryzen 7 8845HS' END AS cpu, '16 GB' AS memory, '1 TB' AS storage, p_retailprice AS amount, CASE WHEN p_partkey % 2 = 0 THEN 'in_stock' ELSE 'sold_out' END AS availability, 'Body & soul' AS description,
- CASE WHEN p_partkey % 7 = 0 THEN 0.0::DOUBLE WHEN p_partkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM part WHERE p_partkey % 5 + 1 < 3""")
+ CASE WHEN p_partkey % 7 = 0 THEN 0.0::DOUBLE WHEN p_partkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM part WHERE p_partkey % 5 + 1 < 3 OR (p_partkey % 5 + 1 > 3 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 5 + 1 = 3))""")
 def bulk_store_products(spark, sf_dir):
     got = normalize.bulk_store(captured.list_pages(feed_pages(spark, sf_dir), "products"), "Maker", "https://x.test")
     p = F.col("prices")[0]
