@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batches_of, families, listed, repeated, signed, staged_texts, stored, words_of
+from .common import Rolling, batches_of, dropped, families, listed, repeated, signed, staged_texts, stored, words_of
 
 
 class Words:
@@ -153,8 +153,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, base: int = 5, id_col: str
     level1 = stored(distinct.mapInArrow(_anchors(base, length), "rid long, i0 int, i1 int, p int, key long"), "words-level1")
     runs = repeated(level1, ["key"], "words-keys1").groupBy("rid").agg(F.collect_list(F.struct("i0", "i1", "p")).alias("runs"))
     level2 = stored(distinct.join(runs, "rid").mapInArrow(_doubled(base, length), "rid long, a int, b int, side int, key long, u long, v long"), "words-level2")
+    dropped(level1)
     alive = repeated(level2, ["side", "key"], "words-keys2").join(rows.select("rid", "doc_id"), "rid")
     alive = stored(alive.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "a")).select("rid", "a", "b", "u", "v", "place"), "words-alive")
+    dropped(level2)
     heads = stored(alive.groupBy("u", "v", F.expr("b - a").alias("span")).agg(F.min("place").alias("head")), "words-heads")
     alive = alive.withColumn("span", F.expr("b - a")).join(heads, ["u", "v", "span"])
     settled = alive.filter(F.col("place") != F.col("head")).select("rid", "a", "b")
