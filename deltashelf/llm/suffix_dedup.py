@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batches_of, families, flat, listed, repeated, signed, slices, staged_texts, stored
+from .common import Rolling, batches_of, dropped, families, flat, listed, repeated, signed, slices, staged_texts, stored
 from .substring_dedup import _record
 
 #: Bytes of an initial gram, and starts per block in each round of refinement.
@@ -175,6 +175,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     anchors = stored(distinct.mapInArrow(_anchors(length), "rid long, i0 int, i1 int, p int, key long, u long, v long"), "bytes-anchors")
     alive = stored(repeated(anchors, ["key"], "bytes-grams").withColumnsRenamed({"i0": "a", "i1": "b"}), "bytes-alive")
+    dropped(anchors)
     settled, left = _settle(alive, "bytes-heads")
     done = [stored(settled, "bytes-done")]
 
