@@ -44,7 +44,10 @@ def text_features(body: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> np
     total = np.maximum(np.diff(at), 1)[:, None]
     hashed = np.bincount(own * WORDS + (word % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS) / total
     upper, marks, digits = letters[:, 65:91].sum(1), letters[:, 33:48].sum(1) + letters[:, 58:65].sum(1) + letters[:, 123:127].sum(1), letters[:, 48:58].sum(1)
-    shape = np.stack([upper, marks, digits, letters[:, 10] * 10, np.minimum(2, size[:, 0] / total[:, 0] / 10), np.minimum(2, np.log1p(total[:, 0]) / 5)], axis=1)
+    same = np.zeros(len(word))
+    same[1:] = (word[1:] == word[:-1]) & (own[1:] == own[:-1])
+    again = np.bincount(own, weights=same, minlength=n) / total[:, 0]
+    shape = np.stack([upper, marks, digits, again, letters[:, 10] * 10, np.minimum(2, size[:, 0] / total[:, 0] / 10), np.minimum(2, np.log1p(total[:, 0]) / 5)], axis=1)
     return np.concatenate([np.sqrt(letters), np.sqrt(hashed), shape], axis=1).astype(np.float32)
 
 
