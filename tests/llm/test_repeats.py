@@ -115,7 +115,7 @@ def test_words(spark, seed):
     assert by_id(tuple(r) for r in got) == brute_words(rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_join(spark, seed):
     rows = corpus(seed)
     got = jaccard_join.join_similar(spark.createDataFrame(rows, SCHEMA).repartition(3)).drop("leads").collect()
