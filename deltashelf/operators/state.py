@@ -126,3 +126,25 @@ def compared(now: DataFrame, manifest: DataFrame) -> DataFrame:
     both = now.withColumnRenamed("n", "now").join(manifest.withColumnRenamed("n", "then"), "check", "full_outer")
     state = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "missing").when(F.col("now") == F.col("then"), "equal").otherwise("changed")
     return both.withColumn("state", state)
+
+
+def _linked(spans: DataFrame, shift: int) -> DataFrame:
+    """lo, hi of disjoint spans with the end of the one before and the start of the one after."""
+    whole = shift >= 64
+    group = F.lit(0) if whole else F.shiftright("lo", shift)
+    w = Window.partitionBy("group").orderBy("lo", "hi")
+    rows = spans.withColumn("group", group).withColumn("prev", F.lag("hi").over(w)).withColumn("next", F.lead("lo").over(w))
+    if whole:
+        return rows.drop("group")
+    above = _linked(spans.groupBy(group.alias("group")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), shift + 16)
+    above = above.select(F.shiftright("lo", shift).alias("group"), F.col("prev").alias("before"), F.col("next").alias("after"))
+    return rows.join(above, "group", "left").select("lo", "hi", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
+
+
+def neighbours(rows: DataFrame, key: str) -> DataFrame:
+    """Each key (a whole number, never null) with the previous and next one of the whole table: key, prev_id, next_id.
+
+    Windows hold at most 2^16 numbers each; their first and last keys are linked in turn, so no task takes the table.
+    """
+    ids = rows.select(F.col(key).cast("long").alias("lo"))
+    return _linked(ids.withColumn("hi", F.col("lo")), 16).select(F.col("lo").alias(key), F.col("prev").alias("prev_id"), F.col("next").alias("next_id"))

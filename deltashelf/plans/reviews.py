@@ -347,6 +347,12 @@ def alert_prev_next(spark, sf_dir):
     return views.events(spark, sf_dir).filter("collector = 'src-1'").select("id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"))
 
 
+@Q.add(sql("SELECT id, lag(id) OVER (ORDER BY id) AS prev_id, lead(id) OVER (ORDER BY id) AS next_id FROM v_events", "v_events"))
+def alert_prev_next_all(spark, sf_dir):
+    """The links over the alerts of all collectors; alert_prev_next keeps to one collector, as its SQL does."""
+    return state.neighbours(views.events(spark, sf_dir), "id")
+
+
 @Q.add(sql("SELECT DISTINCT change_type FROM v_events", "v_events"))
 def change_types_seen(spark, sf_dir):
     return views.events(spark, sf_dir).select("change_type").distinct()

@@ -194,3 +194,9 @@ def test_three_crawls(spark, tmp_path):
     assert tables.read("snapshots").count() == 2
     assert sorted(r.change_type for r in tables.read("events").collect()) == ["new_product", "spec_changed"]
     assert sorted(r.status for r in tables.read("outbox").collect()) == ["pending", "suppressed"]
+
+
+def test_neighbours_across_groups(spark):
+    ids = [-(1 << 40), -3, -1, 0, 1, 65535, 65536, 65537, 1 << 20, (1 << 33) + 5, (1 << 62) + 7]
+    got = {r.id: (r.prev_id, r.next_id) for r in state.neighbours(spark.createDataFrame([(i,) for i in reversed(ids)], "id long"), "id").collect()}
+    assert got == dict(zip(ids, zip([None, *ids[:-1]], [*ids[1:], None])))
