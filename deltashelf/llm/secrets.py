@@ -26,6 +26,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: The shapes of words in identifiers; whether such a part is words is for its ratio to say.
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]{2,}){1,6}[0-9]{0,4}")
 #: Characters per token under which a string counts as random, and the least length judged.
 MOST_RATIO, LEAST_LENGTH = 1.9, 20
 
@@ -40,15 +42,18 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def readable(run: str) -> bool:
-    """Identifiers: digests, UUIDs, numbers, and parts of letters of one case pattern or digits, joined by marks."""
+def plain(piece: str) -> bool:
+    """Digests of well known lengths, UUIDs and numbers."""
+    return bool(UUID.fullmatch(piece)) or bool(DIGEST.fullmatch(piece)) and (len(piece) in DIGEST_LENGTHS or piece.isdigit())
+
+
+def readable(run: str, count: Callable[[str], int], most_ratio: float = MOST_RATIO) -> bool:
+    """Plain strings, and identifiers: parts joined by marks, each a number, or word-like in shape and by its own ratio."""
     core = run.strip("=.-_/+")
-    if UUID.fullmatch(core) or (DIGEST.fullmatch(core) and (len(core) in DIGEST_LENGTHS or core.isdigit())):
+    if plain(core):
         return True
     parts = [p for p in re.split(r"[+/_=.\-]+", core) if p]
-    if not parts:
-        return True
-    return all(re.fullmatch(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|(?:[A-Z]?[a-z]{2,}){1,6}[0-9]{0,4}", p) for p in parts)
+    return all(re.fullmatch(r"[0-9]+", p) or WORDS.fullmatch(p) and len(p) / count(p) >= most_ratio for p in parts)
 
 
 def spans(text: str, count: Callable[[str], int], most_ratio: float = MOST_RATIO) -> list[tuple[str, int, int]]:
@@ -59,7 +64,7 @@ def spans(text: str, count: Callable[[str], int], most_ratio: float = MOST_RATIO
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in RUN.finditer(text):
         run = m[0]
-        if len(run) >= LEAST_LENGTH and not readable(run) and len(run) / count(run) < most_ratio:
+        if len(run) >= LEAST_LENGTH and not readable(run, count, most_ratio) and len(run) / count(run) < most_ratio:
             found.append(("random", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

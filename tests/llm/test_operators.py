@@ -4,6 +4,7 @@ import codecs
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import defaultdict
 
@@ -65,6 +66,16 @@ def test_secrets(spark):
     assert 7 in random_found and not random_found & {4, 5, 8, 9, 10, 11}
 
 
+def test_secrets_of_one_case():
+    count, r = secrets.counter(P.path("byte_bpe_50k.tiktoken")), random.Random(7)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        keys = ["".join(r.choice(letters) for _ in range(32)) for _ in range(200)]
+        for made in (keys, ["-".join(k[i : i + 8] for i in range(0, 32, 8)) for k in keys]):
+            assert sum(("random", 0, len(k)) in secrets.spans(k, count) for k in made) >= 190
+    words = ["some_snake_case_identifier_name", "/home/user/projects/settings/archive", "MAXIMUM_NUMBER_OF_CONNECTIONS", "internationalization", "2024-01-15-10-20-30-40-50"]
+    assert not any(secrets.spans(w, count) for w in words)
+
+
 def test_redact(spark):
     docs = documents(spark, [(1, "k password=abcdefghijkl1 z"), (2, None), (3, "plain")])
     got = {r.doc_id: r.text for r in secrets.redact(docs, P.path("byte_bpe_50k.tiktoken")).collect()}
