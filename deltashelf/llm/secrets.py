@@ -2,7 +2,8 @@
 
 Ordinary words need few tokens of a byte-pair vocabulary for their length, random strings many. A run of
 token-like characters whose characters per token stay under a bound is reported, after digests of well
-known lengths, UUIDs, numbers and readable identifiers are set aside.
+known lengths, UUIDs, numbers and readable identifiers are set aside; of other runs those stretches are
+reported that lie under the bound by themselves.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: What lies between the marks of a run; a UUID is one piece.
+PIECE = re.compile(rf"{UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 #: The shapes of words in identifiers; whether such a part is words is for its ratio to say.
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]{2,}){1,6}[0-9]{0,4}")
 #: Characters per token under which a string counts as random, and the least length judged.
@@ -56,6 +59,33 @@ def readable(run: str, count: Callable[[str], int], most_ratio: float = MOST_RAT
     return all(re.fullmatch(r"[0-9]+", p) or WORDS.fullmatch(p) and len(p) / count(p) >= most_ratio for p in parts)
 
 
+def stretches(run: str, count: Callable[[str], int], most_ratio: float = MOST_RATIO) -> list[tuple[int, int]]:
+    """Start and end of each part of a run that is badly spelt by itself, whatever readable text it touches.
+
+    Bad pieces between marks are judged together with what lies between them, up to the next word or plain string
+    of four or more characters, so that a key holding marks is one stretch; where that is too well spelt, alone.
+    """
+    found, held = [], []
+
+    def close() -> None:
+        if held:
+            s, e = held[0][0], held[-1][1]
+            both = [(s, e)] if (e - s) / count(run[s:e]) < most_ratio else held
+            found.extend((a, b) for a, b in both if b - a >= LEAST_LENGTH)
+            held.clear()
+
+    for m in PIECE.finditer(run):
+        p = m[0]
+        ratio = len(p) / count(p)
+        if plain(p) or (WORDS.fullmatch(p) and ratio >= most_ratio):
+            if len(p) > 3:
+                close()
+        elif ratio < most_ratio:
+            held.append(m.span())
+    close()
+    return found
+
+
 def spans(text: str, count: Callable[[str], int], most_ratio: float = MOST_RATIO) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then kind."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
@@ -66,6 +96,8 @@ def spans(text: str, count: Callable[[str], int], most_ratio: float = MOST_RATIO
         run = m[0]
         if len(run) >= LEAST_LENGTH and not readable(run, count, most_ratio) and len(run) / count(run) < most_ratio:
             found.append(("random", m.start(), m.end()))
+        elif len(run) > LEAST_LENGTH and not plain(run.strip("=.-_/+")):
+            found += [("random", m.start() + s, m.start() + e) for s, e in stretches(run, count, most_ratio)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -76,6 +76,17 @@ def test_secrets_of_one_case():
     assert not any(secrets.spans(w, count) for w in words)
 
 
+def test_secrets_in_readable_runs():
+    count, r = secrets.counter(P.path("byte_bpe_50k.tiktoken")), random.Random(7)
+    for letters in (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"):
+        for before, after in (("//example.com/download/archive/", ""), ("config.production.service.key=", ""), ("/home/user/projects/settings/", "/archive/latest/download")):
+            keys = ["".join(r.choice(letters) for _ in range(40)) for _ in range(200)]
+            text = [f"x {before}{k}{after} y" for k in keys]
+            assert sum(any(s == "random" and a <= len(before) + 4 and b >= len(before) + 40 for s, a, b in secrets.spans(t, count)) for t in text) >= 190
+    fine = ["/users/123e4567-e89b-12d3-a456-426614174000/profile/settings", "/2024/01/15/archive/production/download", "https://example.com/documents/release-notes/version-2/index.html"]
+    assert not any(s == "random" for w in fine for s, _, _ in secrets.spans(w, count))
+
+
 def test_redact(spark):
     docs = documents(spark, [(1, "k password=abcdefghijkl1 z"), (2, None), (3, "plain")])
     got = {r.doc_id: r.text for r in secrets.redact(docs, P.path("byte_bpe_50k.tiktoken")).collect()}
