@@ -197,7 +197,7 @@ def sitemap_urls(spark, sf_dir):
     leaves = part.groupBy(leaf.alias("url")).agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc> https://x.test/p/"), F.col("p_partkey").cast("string"), F.lit(" </loc></url>"))), "").alias("x")).select("url", F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("body"))
     index = part.groupBy(F.concat(F.lit("https://x.test/index-"), (F.col("p_size") % 4).cast("string")).alias("url")).agg(F.array_join(F.collect_set(F.concat(F.lit("<sitemap><loc>"), leaf, F.lit("</loc></sitemap>"))), "").alias("x")).select("url", F.concat(F.lit("<sitemapindex>"), "x", F.lit("<sitemap><loc>https://x.test/gone</loc></sitemap></sitemapindex>")).alias("body"))
     roots = index.select(F.concat(F.lit("src-"), F.substring_index("url", "-", -1)).alias("source"), "url")
-    return captured.walk_sitemaps(leaves.union(index), roots, most_urls=1_000_000)
+    return captured.walk_sitemaps(leaves.union(index), roots, most_maps=None, most_urls=None)
 
 
 def feed_pages(spark, sf_dir):

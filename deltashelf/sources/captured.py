@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +47,36 @@ def is_index(body: Column) -> Column:
     return F.coalesce(body.rlike("(?i)<sitemapindex"), F.lit(False))
 
 
-def walk_sitemaps(maps: DataFrame, roots: DataFrame, most_maps: int = 50, most_urls: int = 3000, depth: int = 5) -> DataFrame:
+def _checkpointed(rows: DataFrame) -> DataFrame:
+    """Rows with their lineage cut, in the folder of spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return rows.checkpoint()
+
+
+def walk_sitemaps(maps: DataFrame, roots: DataFrame, most_maps: int | None = 50, most_urls: int | None = 3000) -> DataFrame:
     """URLs of all sitemaps reachable from the roots, breadth first; a missing or broken one counts as empty.
 
-    maps: url, body. roots: source, url. The walk joins one level at a time; caps are by (depth, url) order per source.
+    maps: url, body. roots: source, url. The walk joins one level at a time until a level is empty; caps are by
+    (depth, url) order per source, and None lifts them.
     """
     level = roots.select("source", "url").distinct()
     seen = level.withColumn("depth", F.lit(0))
-    for d in range(1, depth + 1):
+    depth = 0
+    while True:
         inner = level.join(maps.filter(is_index(F.col("body"))), "url").select("source", F.explode(sitemap_urls(F.col("body"))).alias("url")).distinct()
-        level = inner.join(seen.select("source", "url"), ["source", "url"], "left_anti")
-        seen = seen.unionByName(level.withColumn("depth", F.lit(d)))
-    order = F.row_number().over(Window.partitionBy("source").orderBy("depth", "url"))
-    used = seen.withColumn("rn", order).filter(F.col("rn") <= most_maps)
-    urls = used.join(maps.filter(~is_index(F.col("body"))), "url").select("source", "depth", F.col("url").alias("map"), F.explode(sitemap_urls(F.col("body"))).alias("url"))
+        level = _checkpointed(inner.join(seen.select("source", "url"), ["source", "url"], "left_anti"))
+        if level.isEmpty():
+            break
+        depth += 1
+        seen = seen.unionByName(level.withColumn("depth", F.lit(depth)))
+    if most_maps is not None:
+        order = F.row_number().over(Window.partitionBy("source").orderBy("depth", "url"))
+        seen = seen.withColumn("rn", order).filter(F.col("rn") <= most_maps)
+    urls = seen.join(maps.filter(~is_index(F.col("body"))), "url").select("source", "depth", F.col("url").alias("map"), F.explode(sitemap_urls(F.col("body"))).alias("url"))
+    if most_urls is None:
+        return urls.select("source", "url").distinct()
     first = urls.groupBy("source", "url").agg(F.min(F.struct("depth", "map")).alias("at"))
     nth = F.row_number().over(Window.partitionBy("source").orderBy("at", "url"))
     return first.withColumn("rn", nth).filter(F.col("rn") <= most_urls).select("source", "url")

@@ -164,6 +164,17 @@ def test_pages_stop_at_empty(spark):
     assert captured.list_pages(rows, "products").count() == 1
 
 
+def test_sitemaps_without_limits(spark):
+    """A chain of eight indexes that leads back to its root, then sixty maps of a hundred URLs."""
+    index = [(f"i{n}", f"<sitemapindex><loc>i{n + 1}</loc><loc>i0</loc></sitemapindex>") for n in range(7)]
+    index += [("i7", "<sitemapindex>" + "".join(f"<loc>m{n}</loc>" for n in range(60)) + "</sitemapindex>")]
+    maps = [(f"m{n}", "<urlset>" + "".join(f"<loc>u{n}-{k}</loc>" for k in range(100)) + "</urlset>") for n in range(60)]
+    known, roots = spark.createDataFrame(index + maps, "url string, body string"), spark.createDataFrame([("s", "i0")], "source string, url string")
+    got = captured.walk_sitemaps(known, roots, most_maps=None, most_urls=None).collect()
+    assert len(got) == 6000 == len({r.url for r in got})
+    assert captured.walk_sitemaps(known, roots).count() == 3000
+
+
 def test_catalogue_status(spark):
     with pytest.raises(Exception, match="catalogue status"):
         captured.vendor_catalogue(spark.createDataFrame([("c", '{"status":"error","data":[]}')], "category string, body string")).collect()
