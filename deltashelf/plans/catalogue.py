@@ -11,6 +11,12 @@ from . import views
 from .views import Queries, sql, table
 
 Q = Queries()
+#: Keys whose rows share a captured body at most, so that bodies grow in number and not in size.
+CHUNK = 1_000
+
+
+def chunk(key, size: int = CHUNK):
+    return F.floor(key / size)
 
 
 # ---- evidence
@@ -176,8 +182,8 @@ def catalog_tree_flatten(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     key = F.col("s_suppkey")
     product = F.struct(F.when(key % 10 != 0, key).alias("ProductID"), F.col("s_name").alias("ProductName"), F.col("s_name").alias("ProductKey"), F.when(key % 3 == 0, 1).otherwise(0).alias("Withdraw"), F.when(key % 4 == 0, 1).otherwise(0).alias("IsNewProduct"))
-    lines = s.groupBy("n_regionkey", F.col("n_name").alias("ProductLine")).agg(F.collect_list(product).alias("ProductList")).withColumn("ProductSeriesList", F.array(F.struct(F.lit("series").alias("SeriesName"), "ProductList")))
-    trees = lines.groupBy("n_regionkey").agg(F.collect_list(F.struct("ProductLine", "ProductSeriesList")).alias("ProductLineList")).select(F.to_json(F.struct(F.struct(F.array(F.struct(F.col("n_regionkey").cast("string").alias("ClassificationName"), "ProductLineList")).alias("ProductClassificationList")).alias("data"))).alias("body"))
+    lines = s.groupBy("n_regionkey", chunk(key).alias("chunk"), F.col("n_name").alias("ProductLine")).agg(F.collect_list(product).alias("ProductList")).withColumn("ProductSeriesList", F.array(F.struct(F.lit("series").alias("SeriesName"), "ProductList")))
+    trees = lines.groupBy("n_regionkey", "chunk").agg(F.collect_list(F.struct("ProductLine", "ProductSeriesList")).alias("ProductLineList")).select(F.to_json(F.struct(F.struct(F.array(F.struct(F.col("n_regionkey").cast("string").alias("ClassificationName"), "ProductLineList")).alias("ProductClassificationList")).alias("data"))).alias("body"))
     return captured.catalogue_tree(trees).select("line", "external_id", "model", "withdrawn", "is_new")
 
 
@@ -186,26 +192,27 @@ def vendor_catalogue(spark, sf_dir):
     key = F.col("s_suppkey")
     config = F.struct(F.when(key % 2 == 0, F.concat(F.lit("c"), key.cast("string"))).alias("id"), F.lit("x").alias("CPU"), F.col("s_acctbal").alias("price"))
     product = F.struct(F.when(key % 10 != 0, key.cast("string")).alias("id"), F.col("s_name").alias("title"), F.array(config).alias("configurations"))
-    bodies = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("cat-"), F.col("s_nationkey").cast("string")).alias("category")).agg(F.collect_list(product).alias("data")).select("category", F.to_json(F.struct(F.lit("success").alias("status"), "data")).alias("body"))
+    bodies = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("cat-"), F.col("s_nationkey").cast("string")).alias("category"), chunk(key)).agg(F.collect_list(product).alias("data")).select("category", F.to_json(F.struct(F.lit("success").alias("status"), "data")).alias("body"))
     return captured.vendor_catalogue(bodies).select("category", "product_id", "config_id", "price")
 
 
 @Q.add("SELECT DISTINCT 'src-' || (p_size % 4) AS source, 'https://x.test/p/' || p_partkey AS url FROM part WHERE p_size > 5")
 def sitemap_urls(spark, sf_dir):
     part = table(spark, sf_dir, "part").filter("p_size > 5")
-    leaf = F.concat(F.lit("https://x.test/map-"), F.col("p_size").cast("string"))
+    leaf = F.concat_ws("-", F.lit("https://x.test/map"), F.col("p_size").cast("string"), chunk(F.col("p_partkey")).cast("string"))
+    top = F.concat_ws("-", F.lit("https://x.test/index"), chunk(F.col("p_partkey"), 50 * CHUNK).cast("string"), (F.col("p_size") % 4).cast("string"))
     leaves = part.groupBy(leaf.alias("url")).agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc> https://x.test/p/"), F.col("p_partkey").cast("string"), F.lit(" </loc></url>"))), "").alias("x")).select("url", F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("body"))
-    index = part.groupBy(F.concat(F.lit("https://x.test/index-"), (F.col("p_size") % 4).cast("string")).alias("url")).agg(F.array_join(F.collect_set(F.concat(F.lit("<sitemap><loc>"), leaf, F.lit("</loc></sitemap>"))), "").alias("x")).select("url", F.concat(F.lit("<sitemapindex>"), "x", F.lit("<sitemap><loc>https://x.test/gone</loc></sitemap></sitemapindex>")).alias("body"))
+    index = part.groupBy(top.alias("url")).agg(F.array_join(F.collect_set(F.concat(F.lit("<sitemap><loc>"), leaf, F.lit("</loc></sitemap>"))), "").alias("x")).select("url", F.concat(F.lit("<sitemapindex>"), "x", F.lit("<sitemap><loc>https://x.test/gone</loc></sitemap></sitemapindex>")).alias("body"))
     roots = index.select(F.concat(F.lit("src-"), F.substring_index("url", "-", -1)).alias("source"), "url")
     return captured.walk_sitemaps(leaves.union(index), roots, most_maps=None, most_urls=None)
 
 
 def feed_pages(spark, sf_dir):
-    """Numbered pages of a bulk feed made from part rows, the third of each source empty."""
+    """Numbered pages of a bulk feed made from part rows, the third of each source empty; a page comes in as many bodies as it needs."""
     p = F.col("p_partkey")
     variant = F.struct(F.lit("16GB RAM + 1TB SSD").alias("title"), F.lit("a").alias("option1"), F.lit("EU").alias("option2"), F.concat(F.lit("S"), p.cast("string")).alias("sku"), (p % 2 == 0).alias("available"), F.col("p_retailprice").cast("string").alias("price"))
     item = F.struct(F.concat(F.lit("h"), p.cast("string")).alias("handle"), F.concat(F.lit("Maker "), F.col("p_name"), F.when(p % 3 == 0, " Ryzen 7 8845HS").otherwise("")).alias("title"), F.lit("<p>Body &amp; soul</p>").alias("body_html"), F.lit("Maker").alias("vendor"), F.when(p % 7 == 0, "Accessories").otherwise("PC").alias("product_type"), F.array(variant).alias("variants"))
-    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("source"), (p % 5 + 1).alias("page")).agg(F.collect_list(item).alias("products"))
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("source"), (p % 5 + 1).alias("page"), chunk(p)).agg(F.collect_list(item).alias("products"))
     return rows.select("source", F.col("page").cast("int").alias("page"), F.to_json(F.struct(F.when(F.col("page") != 3, F.col("products")).otherwise(F.array().cast(rows.schema["products"].dataType)).alias("products"))).alias("body"))
 
 

@@ -64,3 +64,32 @@ assert not any(n.startswith("op") and n[2].isdigit() for n in names) and "pipeli
 """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_captured_bodies_stay_small(spark, tmp_path, monkeypatch):
+    """Over 40,000 rows every captured body holds the items of at most a thousand keys, and no row is lost."""
+    from pyspark.sql import functions as F
+
+    from deltashelf.plans import catalogue
+    from deltashelf.sources import captured
+
+    n = 40_000
+    for name, key, more in (("part", "p_partkey", {"p_brand": "'B'", "p_size": "20", "p_name": "'n'", "p_retailprice": "1.0D"}), ("supplier", "s_suppkey", {"s_nationkey": "1L", "s_name": "'s'", "s_acctbal": "1.0D"})):
+        spark.range(1, n + 1).select(F.col("id").alias(key), *(F.expr(v).alias(k) for k, v in more.items())).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.sql("select 1L n_nationkey, 'N' n_name, 2L n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    longest = {}
+
+    def watch(name):
+        f = getattr(captured, name)
+
+        def watched(rows, *a, **k):
+            longest[name] = rows.agg(F.max(F.length("body"))).first()[0]
+            return f(rows, *a, **k)
+
+        monkeypatch.setattr(captured, name, watched)
+
+    for name in ("walk_sitemaps", "list_pages", "catalogue_tree", "vendor_catalogue"):
+        watch(name)
+    got = {name: getattr(catalogue, name)(spark, str(tmp_path)).count() for name in ("sitemap_urls", "bulk_store_products", "catalog_tree_flatten", "vendor_catalogue")}
+    assert got == {"sitemap_urls": n, "bulk_store_products": n * 2 // 5, "catalog_tree_flatten": n * 9 // 10, "vendor_catalogue": n * 9 // 10}
+    assert len(longest) == 4 and max(longest.values()) < 150_000, longest
