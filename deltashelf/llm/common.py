@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,19 @@ IS_SPACE[list(SPACES)] = True
 
 #: Bytes of text that one numpy step works on; temporaries stay at a few dozen times this.
 SLICE_BYTES = 2 << 20
+#: Bytes, words or grams handled at once inside one long text.
+STEP = 1 << 20
+#: Words up to this many bytes are told apart by their bytes, longer ones by a 128-bit digest.
+SHORT_WORD = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset a temporary one in local mode, else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -137,6 +145,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def constants(seed: int, many: int) -> list[np.uint64]:
+    """Odd random multipliers."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return [np.uint64(int(x) * 2 + 1) for x in rng.integers(1, 2**63, many, dtype=np.uint64)]
+
+
+def words_at(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; `body` goes on for eight bytes after the last place."""
+    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(body, (len(body) - 7, 8), (1, 1))[at]).view("<u8")[:, 0]
+
+
+def hashed_words(body: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word of all rows, and the number of each row's first word (len + 1).
+
+    They are taken from the word's bytes themselves up to SHORT_WORD bytes, and from its BLAKE2 digest beyond.
+    """
+    k = constants(seed, 6)
+    starts, ends, at = words_of(body, offsets)
+    one, two = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), STEP):
+        s, e = starts[i : i + STEP], ends[i : i + STEP]
+        if not len(s):
+            break
+        first = int(s[0])
+        piece = np.concatenate([body[first : int(e[-1])], np.zeros(16, np.uint8)])
+        size = e - s
+        halves = []
+        for shift in (0, 8):
+            left = np.clip(size - shift, 0, 8)
+            # places past a short word's end are masked away, so they only have to exist
+            got = words_at(piece, np.minimum(s - first + shift, len(piece) - 8))
+            halves.append(np.where(left > 0, got & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.maximum(left, 1)) * 8).astype(np.uint64)), np.uint64(0)))
+        long = np.flatnonzero(size > SHORT_WORD)
+        if len(long):
+            raw = body.data if body.flags.c_contiguous else body.tobytes()
+            digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(s[long].tolist(), e[long].tolist(), strict=True))
+            pair = np.frombuffer(digests, "<u8").reshape(-1, 2)
+            halves[0][long], halves[1][long] = pair[:, 0], pair[:, 1]
+        n = size.astype(np.uint64)
+        one[i : i + STEP] = mix(mix(halves[0] * k[0] + n) + halves[1] * k[1])
+        two[i : i + STEP] = mix(mix(halves[1] * k[2] + n * k[3]) + halves[0] * k[4])
+    return one, two, at
+
+
+def spans(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit identifiers of the stretches [start, end) of symbols, equal for equal stretches wherever they stand.
+
+    Identifiers of 1, 2, 4, ... symbols are made of two of the level before and mixed at each level; a stretch
+    is named by the two of the largest level that cover it, and its length.
+    """
+    k = constants(seed, 64)
+    size = np.asarray(end) - start
+    out = np.zeros(len(size), np.uint64)
+    if not len(size):
+        return out
+    level = np.frexp(size.astype(np.float64))[1] - 1
+    current = symbols
+    for turn in range(int(level.max()) + 1):
+        if turn:
+            half = 1 << (turn - 1)
+            current = mix(current[:-half] * k[turn] + current[half:])
+        at = np.flatnonzero(level == turn) if turn < level.max() or level.min() < turn else slice(None)
+        a, b = start[at], end[at] - (1 << turn)
+        out[at] = mix(mix(current[a] * k[60] + current[b]) + size[at].astype(np.uint64) * k[61])
+    return out
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of `width` values, by running minima of blocks from both sides."""
     n = len(values)
@@ -174,16 +249,23 @@ def families(grams: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.ndarr
 
 def words_of(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words [^\\x20\\x09-\\x0D]+ of all rows, and each row's first word's number (len + 1)."""
-    solid = ~IS_SPACE[body]
-    before = np.zeros(len(body), bool)
-    before[1:] = solid[:-1]
+    starts, ends = [], []
     cuts = offsets[1:-1]
-    before[cuts[cuts < len(body)]] = False
-    starts = np.flatnonzero(solid & ~before)
-    after = np.zeros(len(body), bool)
-    after[:-1] = solid[1:]
-    after[cuts[cuts > 0] - 1] = False
-    ends = np.flatnonzero(solid & ~after) + 1
+    cuts = cuts[(cuts > 0) & (cuts < len(body))]
+    for low in range(0, len(body), STEP):
+        high = min(low + STEP, len(body))
+        solid = ~IS_SPACE[body[max(low - 1, 0) : high + 1]]
+        own = solid[1 if low else 0 :][: high - low]
+        before, after = np.zeros(high - low, bool), np.zeros(high - low, bool)
+        before[0 if low else 1 :] = solid[: high - low - (0 if low else 1)]
+        rest = solid[2 if low else 1 :][: high - low]
+        after[: len(rest)] = rest
+        inside = cuts[(cuts >= low) & (cuts <= high)]
+        before[inside[inside < high] - low] = False
+        after[inside[inside > low] - 1 - low] = False
+        starts.append(np.flatnonzero(own & ~before) + low)
+        ends.append(np.flatnonzero(own & ~after) + 1 + low)
+    starts, ends = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
     return starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -191,6 +273,34 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _keys(df: DataFrame) -> list:
+    meta = df.metadataColumn("_metadata")
+    return [F.xxhash64(meta.getField("file_path")).alias("kf"), meta.getField("row_index").alias("kr")]
+
+
+def filed(docs: DataFrame, name: str = "filed") -> DataFrame:
+    """docs if its rows come from files in which they have a place, else docs stored."""
+    try:
+        docs.select(*_keys(docs)).schema  # noqa: B018  analysed here
+        return docs
+    except AnalysisException:
+        return stored(docs, name)
+
+
+def placed(docs: DataFrame, *columns, name: str = "placed") -> DataFrame:
+    """The columns and a key of each row, (kf, kr): its file and its place there, which a second reading gives again.
+
+    Rows that don't come from files are stored first.
+    """
+    try:
+        out = docs.select(*columns, *_keys(docs))
+        out.schema  # noqa: B018  analysed here
+        return out
+    except AnalysisException:
+        kept = stored(docs.select(*columns), name)
+        return kept.select("*", *_keys(kept))
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """A key for each row, null or repeated ids included; stable only once the result has been stored."""
     return df.withColumn(name, F.monotonically_increasing_id())

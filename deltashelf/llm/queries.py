@@ -43,7 +43,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents")).drop("row_key")
+    return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents")).drop("kf", "kr")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_similar(_read(spark, sf_dir, "documents")).drop("leads")
+    return jaccard_join.join_similar(_read(spark, sf_dir, "documents")).drop("leads", "kf", "kr")
 
 
 OP4_SQL = r"""
