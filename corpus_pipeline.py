@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 
 from deltashelf.llm import common, exact_dedup, jaccard_join, packing, quality, secrets
 
-KEY = "_llm_row_key"
-
-
 def _path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    return common.stored(common.with_row_key(docs, KEY), name)
+def _rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose keys kf, kr are among those kept."""
+    rows = common.placed(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(kept.select("kf", "kr").hint("merge"), ["kf", "kr"], "left_semi").select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,17 +33,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document of the smallest doc_id stays."""
-    rows = _keyed(docs, "stage-exact")
-    kept = exact_dedup.exact_dedup(rows, row_key=KEY).filter("kept").select(F.col("row_key").alias(KEY))
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    """Of equal texts the row of the smallest doc_id stays (null ids last), of rows that repeat an id and a text one.
+
+    Null and empty texts are equal to each other; other columns, whatever their names, are kept as they are.
+    """
+    docs = common.filed(docs, "stage-exact")
+    return _rows(docs, exact_dedup.exact_dedup(docs).filter("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
-    rows = _keyed(docs, "stage-near")
-    kept = jaccard_join.join_similar(rows, row_key=KEY).filter("leads").select(F.col("row_key").alias(KEY))
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    """Of each group of near duplicates the row of the smallest doc_id stays (null ids last); rows without words all stay.
+
+    Other columns, whatever their names, are kept as they are.
+    """
+    docs = common.filed(docs, "stage-near")
+    return _rows(docs, jaccard_join.join_similar(docs).filter("leads"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
