@@ -1,15 +1,15 @@
 """Approximate nearest neighbours by a permutation index.
 
-Each vector is represented by its nearest pivots in order of nearness and posted, with that order, in
-the inverted files of the first few of them. A query visits the files of its own nearest pivots, ranks
-what stands there by the footrule distance between the two orders, and scores the best exactly.
-
-Measured against brute force with these parameters: recall at 5 of 0.94 among 10,256 and 0.97 among 51,282
-nearly uniform 64-dimensional vectors.
+Each vector is represented by its nearest pivots in order of nearness and posted in the inverted files of
+the first few of them. The vectors are dealt to blocks by hash, each with its own inverted files; the
+queries, in blocks too, visit each block: the files of a query's nearest pivots are merged, what stands in
+at least two of them is ranked by the footrule distance between the two orders, over all those files, and
+the nearest share is scored exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Pivots, taken from a sample of rows by hash; how many nearest ones make the order, are posted, are visited.
-PIVOTS, ORDER, POSTED, VISITED = 256, 64, 16, 32
-#: Share of a file's vectors that are scored exactly after ranking, and the least number of them.
-SCORED, LEAST_SCORED = 0.3, 200
-#: Vectors of one inverted file that one task holds, about.
-BLOCK = 4096
+#: Least and most pivots; between them their number is the root of the number of vectors. They are taken by hash.
+LEAST_PIVOTS, MOST_PIVOTS = 256, 1024
+#: Cosine from which two vectors are too close to be pivots both, while there are others.
+ALIKE = 0.8
+#: How many nearest pivots make a vector's order, and a query's; in how many files a vector is posted, how many a query visits, and in how many of these a candidate stands.
+ORDER, ASKED, POSTED, VISITED, SHARED = 128, 64, 16, 24, 2
+#: Share of a block's vectors that a query scores exactly, and the least number of them.
+SCORED, LEAST_SCORED = 0.05, 256
+#: Candidates nearer than this share of the median distance, as in a dense cluster whose orders are much alike, are all scored.
+CLOSE = 0.6
+#: Vectors and queries of a block, about.
+BLOCK, QUERIES = 4096, 2048
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -37,11 +43,45 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, many: int) -> np.ndarray:
     return np.argsort(-(unit(vectors) @ pivots.T), axis=1, kind="stable")[:, :many].astype(np.int16)
 
 
-def footrule(query: np.ndarray, others: np.ndarray, pivots: int) -> np.ndarray:
-    """Sum over the query's pivots of the difference in place; a pivot that is missing counts as placed last."""
-    place = np.full((len(others), pivots), others.shape[1], np.int16)
-    np.put_along_axis(place, others.astype(np.int64), np.arange(others.shape[1], dtype=np.int16)[None, :], axis=1)
-    return np.abs(place[:, query] - np.arange(len(query), dtype=np.int16)).sum(axis=1)
+def apart(rows: np.ndarray, many: int) -> np.ndarray:
+    """The first `many` unit rows that are not close to one taken before, so that a dense cluster doesn't take most pivots; then any."""
+    taken: list[int] = []
+    for i in range(len(rows)):
+        if len(taken) == many:
+            break
+        if not taken or float((rows[taken] @ rows[i]).max()) < ALIKE:
+            taken.append(i)
+    rest = [i for i in range(len(rows)) if i not in set(taken)]
+    return rows[[*taken, *rest[: many - len(taken)]]]
+
+
+def places(order: np.ndarray, pivots: int) -> np.ndarray:
+    """Place of each pivot in each order; a pivot that is missing counts as placed last. One row per pivot."""
+    out = np.full((len(order), pivots), order.shape[1], np.int16)
+    np.put_along_axis(out, order.astype(np.int64), np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
+    return np.ascontiguousarray(out.T)
+
+
+def footrule(query: np.ndarray, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum over the query's pivots of the difference in place, for these rows."""
+    steps = np.arange(len(query), dtype=np.int16)[:, None]
+    return np.abs(place[query[:, None], rows[None, :]] - steps).sum(axis=0, dtype=np.int32)
+
+
+def files(order: np.ndarray, pivots: int) -> list[np.ndarray]:
+    """The inverted files: for each pivot the rows that are posted there."""
+    posted = order[:, :POSTED].astype(np.int64)
+    at = np.argsort(posted, axis=None, kind="stable")
+    bounds = np.searchsorted(posted.ravel()[at], np.arange(pivots + 1))
+    rows = at // posted.shape[1]
+    return [rows[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def candidates(own: np.ndarray, inverted: list[np.ndarray], rows: int) -> np.ndarray:
+    """Rows that stand in SHARED of the files that the query visits; if those are few, the rows that stand in most."""
+    found = np.bincount(np.concatenate([inverted[p] for p in own[:VISITED]]), minlength=rows)
+    most = np.flatnonzero(found >= SHARED)
+    return most if len(most) >= min(LEAST_SCORED, rows) else np.argsort(-found, kind="stable")[: min(LEAST_SCORED, rows)]
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -50,60 +90,62 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return table.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector")).filter(F.coalesce(v.isNotNull() & fine, F.lit(False)))
 
 
-def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest other vectors found for each query row, by cosine.
 
     Null ids, vectors that are null, zero or hold null or non-finite components take no part. Equal
     vectors are indexed once, under all their ids: of a group only its k + 1 smallest ids can be results.
-    Fewer than k other vectors give that many rows; an empty table gives an empty result.
+    Fewer than k other vectors give that many rows, ties go to smaller ids, a query id that repeats counts
+    once, an empty table gives an empty result; further columns, whatever their names, play no part.
     """
     spark = table.sparkSession
     rows = usable(table, id_col, vector_col).filter("vec_id is not null")
     # equal vectors: one posting with the k + 1 smallest ids (sorted, merged pairwise, so bounded)
     salted = rows.groupBy("vector", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
     distinct = stored(salted.groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")).withColumn("key", F.col("ids")[0]), "ann-distinct")
+    queries = stored(rows.filter(is_query).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id"]), "ann-queries")
 
-    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(pivots).select("vector").collect()  # at most `pivots` rows
+    n = distinct.count()
+    many = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(n)))
+    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(2 * many).select("vector").collect()  # at most 2 * MOST_PIVOTS rows
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    chosen = unit(np.array([r[0] for r in sample], np.float64))
-    pivot_count, order_len = len(chosen), min(ORDER, len(chosen))
-    shared = spark.sparkContext.broadcast(chosen)  # at most `pivots` vectors
-
-    def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            vectors = np.stack(b.column("vector").to_numpy(zero_copy_only=False))
-            order = orders(vectors, shared.value, order_len)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(order), pa.list_(pa.int16()))], [*b.schema.names, "order"])
-
-    indexed = stored(distinct.mapInArrow(represent, "vector array<double>, ids array<long>, key long, order array<short>"), "ann-index")
-    queries = stored(rows.filter(is_query).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id"]), "ann-queries")
-    asked = queries.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([*b.columns, pa.array(list(orders(np.stack(b.column("vector").to_numpy(zero_copy_only=False)), shared.value, order_len)), pa.list_(pa.int16()))], [*b.schema.names, "order"]) for b in it if b.num_rows), "query_id long, vector array<double>, order array<short>")
-
-    posted = indexed.withColumn("pivot", F.explode(F.slice("order", 1, min(POSTED, order_len))))
-    sizes = {r["pivot"]: r["n"] for r in posted.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `pivots` rows
-    blocks = {p: -(-n // BLOCK) for p, n in sizes.items()}
-    counts = spark.createDataFrame([(int(p), int(n)) for p, n in blocks.items()], "pivot short, blocks int")
-    posted = posted.join(F.broadcast(counts), "pivot").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    visits = asked.withColumn("pivot", F.explode(F.slice("order", 1, min(VISITED, order_len)))).join(F.broadcast(counts), "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    chosen = apart(unit(np.array([r[0] for r in sample], np.float64)), many)
+    pivot_count = len(chosen)
+    shared = spark.sparkContext.broadcast(chosen)  # at most MOST_PIVOTS vectors
+
+    def represent(length: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    order = orders(np.stack(b.column("vector").to_numpy(zero_copy_only=False)), shared.value, length)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(order), pa.list_(pa.int16()))], [*b.schema.names, "order"])
+
+        return run
+
+    blocks, lots = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(queries.count() / QUERIES))
+    every = lambda name, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(name)
+    dealt = lambda key, many: F.pmod(F.xxhash64(key), F.lit(many)).cast("int")
+    indexed = distinct.mapInArrow(represent(min(ORDER, pivot_count)), "vector array<double>, ids array<long>, key long, order array<short>")
+    asked = queries.mapInArrow(represent(min(ASKED, pivot_count)), "query_id long, vector array<double>, order array<short>")
+    indexed = indexed.select("vector", "ids", "order", dealt("key", blocks).alias("block"), every("lot", lots))
+    asked = asked.select("query_id", "vector", "order", dealt("query_id", lots).alias("lot"), every("block", blocks))
 
     def visit(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(v):
             vectors = np.stack(v["vector"].to_numpy())
             norms = np.sqrt((vectors * vectors).sum(axis=1))
-            order = np.stack(v["order"].to_numpy()).astype(np.int64)
-            place = np.full((len(v), pivot_count), order.shape[1], np.int16)
-            np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
+            order = np.stack(v["order"].to_numpy())
+            place, inverted = places(order, pivot_count), files(order, pivot_count)
             ids = v["ids"].to_numpy()
-            many = min(len(v), max(LEAST_SCORED, int(SCORED * len(v))))
-            steps = np.arange(order.shape[1], dtype=np.int16)[:, None]
-            columns = np.ascontiguousarray(place.T)
+            most = max(LEAST_SCORED, math.ceil(SCORED * len(v)))
             for query_id, vector, own in zip(q["query_id"], q["vector"], q["order"], strict=True):
-                far = np.abs(columns[np.asarray(own, np.int64)] - steps).sum(axis=0)
-                best = np.argpartition(far, many - 1)[:many] if many < len(v) else np.arange(len(v))
+                own = np.asarray(own, np.int64)
+                best = candidates(own, inverted, len(v))
+                if len(best) > most:
+                    far = footrule(own, place, best)
+                    best = best[far <= max(np.partition(far, most - 1)[most - 1], CLOSE * np.median(far))]
                 x = np.asarray(vector)
                 score = (vectors[best] @ x) / (norms[best] * np.sqrt((x * x).sum()))
                 top = best[np.argpartition(-score, k)[: k + 1]] if len(best) > k + 1 else best
@@ -113,7 +155,6 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
                     out += [(query_id, int(j), exact) for j in ids[i] if j != query_id]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = visits.groupBy("pivot", "block").cogroup(posted.select("pivot", "block", "vector", "ids", "order").groupBy("pivot", "block")).applyInPandas(visit, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = asked.groupBy("lot", "block").cogroup(indexed.groupBy("lot", "block")).applyInPandas(visit, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

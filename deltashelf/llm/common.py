@@ -212,6 +212,44 @@ def spans(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) ->
     return out
 
 
+def between(start: np.ndarray, end: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """The stretches of 0..n that none of the stretches [start, end) covers."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]]) if len(start) else np.zeros(0, np.int64)
+    at = 0
+    for x, y in zip(start[first].tolist(), end[np.r_[first[1:] - 1, len(end) - 1]].tolist() if len(first) else [], strict=True):
+        if x > at:
+            yield at, x
+        at = y
+    if at < n:
+        yield at, n
+
+
+def byte_grams(body: np.ndarray, seed: int) -> np.ndarray:
+    """Identifiers of the 32 bytes from each place on: of eight bytes, then twice of the identifiers there and half as far on."""
+    k = constants(seed, 4)
+    n = len(body) - 7
+    grams = mix(np.ascontiguousarray(np.lib.stride_tricks.as_strided(body, (n, 8), (1, 1))).view("<u8")[:, 0] * k[0] + k[1])
+    for turn, half in enumerate((8, 16)):
+        grams = mix(grams[:-half] * k[2 + turn] + grams[half:])
+    return grams
+
+
+def byte_spans(body: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, both: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Two independent 64-bit identifiers of each stretch [start, end) of at least eight bytes, taken from its bytes."""
+    k = constants(seed, 6)
+    size = (end - start).astype(np.uint64)
+    u, v = mix(size * k[0]), mix(size * k[1])
+    for step in range(0, int((end - start).max(initial=0)), 8):
+        at = np.flatnonzero(start + step < end)
+        got = words_at(body, np.minimum(start[at] + step, end[at] - 8))
+        u[at] = mix(u[at] * k[2] + got)
+        if both:
+            v[at] = mix((v[at] ^ got) * k[3] + k[4])
+    return signed(u), signed(v) if both else None
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of `width` values, by running minima of blocks from both sides."""
     n = len(values)
@@ -313,6 +351,17 @@ def batches_of(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTE
         yield batch.slice(i, j - i), body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
+def long_and_short(batch: pa.RecordBatch, most: int, overlap: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """As batches_of, but a text longer than `most` bytes comes in pieces that overlap: rows, place of the piece in its text, bytes, offsets."""
+    for part, body, offsets in batches_of(batch, text, most):
+        if part.num_rows == 1 and len(body) > most + overlap:
+            for low in range(0, len(body) - overlap, most):
+                piece = body[low : low + most + overlap]
+                yield part, low, piece, np.array([0, len(piece)])
+        else:
+            yield part, 0, body, offsets
+
+
 def listed(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
     """Row numbers and fields (long) of a column of lists of structs, flattened; a null list counts as empty."""
     sizes = np.asarray(column.value_lengths().fill_null(0))

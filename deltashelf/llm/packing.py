@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,11 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: White space from which on a run counts as long, in characters.
+LONG_RUN = 2000
+LONG_SPACE = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
 class Capacities:
     """Segment tree over remaining capacities 0..size: which of them have an open window; finds the least that fits."""
 
@@ -99,18 +105,32 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.lru_cache(maxsize=2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
+def ids_of(text: str, tokenizer: str) -> list[int]:
+    """Token ids. Long runs of white space, over which the fast encoder's pattern recurses, are left to the library itself."""
+    if len(text) > LONG_RUN and LONG_SPACE.search(text):
+        return library(tokenizer).encode(text, add_special_tokens=False).ids
+    enc = encoder(tokenizer)
+    return enc.encode(text, allowed_special=set(enc.special_tokens_set)) if "<|" in text else enc.encode_ordinary(text)
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Full windows and rests of each row: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        special = set(enc.special_tokens_set)
         for b in batches:
             who, rows = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                text = text or ""
-                ids = np.array(enc.encode(text, allowed_special=special) if "<|" in text else enc.encode_ordinary(text), "<u4")
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                ids = np.array([*ids_of(text or "", tokenizer), end_id], "<u4")
                 for start in range(0, len(ids), size):
                     part = ids[start : start + size]
                     who.append(i)
@@ -126,8 +146,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, id_
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text counts as empty, and an empty one still has its end token; repeated rows are packed each
-    for itself; an empty table gives an empty result; further columns play no part. Ties between equal
-    lengths go by stored order. Windows are numbered without gaps, the packed ones before the full ones.
+    for itself; very long texts are tokenised whole; an empty table gives an empty result; further columns,
+    whatever their names, play no part. Ties between equal lengths go by stored order. Windows are numbered without gaps, the packed ones before the full ones.
     """
     spark = docs.sparkSession
     # cut: the place of a piece among those of its length, by partition of the stored table and place there

@@ -1,9 +1,10 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 Two linear classifiers, one of the whole text's content and one of the page's metadata, are fitted on a
-bounded sample of labelled rows. Over some rounds each hands the other the rows of a bounded unlabelled
-pool of which it is most confident. Both are then calibrated on labelled rows held out from that, and a
-last linear model of the two calibrated logits scores every document.
+bounded sample of labelled rows. In each round both score every unlabelled document; of those of which one
+is confident, a bounded number, spread over the whole table by hash, is handed to the other as labelled.
+How confident is told on labelled rows held out for that. Both views are then calibrated on other held-out
+rows, and a last linear model of the two calibrated logits scores every document.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, batches_of, mix, words_of
 
-#: Bounds of the labelled sample and of the unlabelled pool, both taken in hash order of the id.
-LABELLED, POOL = 5000, 6000
-#: Share of the labelled sample that is held out; rounds; share of the pool handed over per round, view and class; least confidence.
-HELD_OUT, ROUNDS, SHARE, CONFIDENT = 0.25, 4, 0.02, 0.95
+#: Bound of the labelled sample, taken in hash order of the id.
+LABELLED = 5000
+#: Shares of the labelled sample held out for confidence and for the last calibration; rounds; rows handed over per round, view and class, at most; least confidence.
+HELD_OUT, ROUNDS, HANDED, CONFIDENT = (0.15, 0.15), 3, 150, 0.95
 #: Buckets of hashed words and of hashed metadata.
 WORDS, META = 1024, 128
 #: Documents whose score is under this are rejected.
@@ -74,32 +75,34 @@ class Linear:
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Linear:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        z = (x - self.mean) / self.scale
-        weight = np.ones(len(y)) if weight is None else weight
+        z = ((x - self.mean) / self.scale).astype(np.float32)
+        y = y.astype(np.float32)
+        weight = np.ones(len(y), np.float32) if weight is None else weight.astype(np.float32)
         weight = weight / weight.sum()
-        w, b = np.zeros(z.shape[1], np.float64), 0.0
+        w, b = np.zeros(z.shape[1], np.float32), np.float32(0)
         v, c, t = w, b, 1.0
-        rate = 1.0 / (0.25 * self._top(z, weight) + 0.25 + self.penalty)
+        rate = np.float32(1.0 / (0.25 * self._top(z, weight) + 0.25 + self.penalty))
+        penalty = np.float32(self.penalty)
         for _ in range(self.steps):
             p = 1 / (1 + np.exp(-np.clip(z @ v + c, -30, 30)))
             g = weight * (p - y)
-            w2, b2 = v - rate * (z.T @ g + self.penalty * v), c - rate * g.sum()
+            w2, b2 = v - rate * (z.T @ g + penalty * v), c - rate * g.sum()
             t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-            v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
+            v, c = w2 + np.float32((t - 1) / t2) * (w2 - w), b2 + np.float32((t - 1) / t2) * (b2 - b)
             w, b, t = w2, b2, t2
-        self.w = w / self.scale
+        self.w = w.astype(np.float64) / self.scale
         self.b = b - float(self.mean @ self.w)
         return self
 
     @staticmethod
     def _top(z: np.ndarray, weight: np.ndarray) -> float:
         """Largest eigenvalue of the weighted second moments, by power steps."""
-        v = np.ones(z.shape[1]) / z.shape[1] ** 0.5
+        v = np.full(z.shape[1], z.shape[1] ** -0.5, np.float32)
         top = 1.0
         for _ in range(12):
             u = z.T @ (weight * (z @ v))
             top = float(np.linalg.norm(u)) or 1.0
-            v = u / top
+            v = u / np.float32(top)
         return 1.2 * top
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -130,39 +133,12 @@ def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(m.w[0])), float(m.b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
-    """Fits both views on the rows not held out, exchanges pseudo-labels, calibrates and combines on the held-out rows."""
-    fit = ~held
-    given = {"text": (text[fit], y[fit]), "meta": (meta[fit], y[fit])}
-    pools = {"text": pool_text, "meta": pool_meta}
-    taken = {"text": np.zeros(len(pool_text), bool), "meta": np.zeros(len(pool_text), bool)}
-    models: dict[str, Linear] = {}
-    for turn in range(ROUNDS + 1):
-        for view, (x, label) in given.items():
-            models[view] = Linear().fit(x, label)
-        if turn == ROUNDS or not len(pool_text):
-            break
-        added = {}
-        for view, other in (("text", "meta"), ("meta", "text")):
-            scale = platt(models[view].logit((text if view == "text" else meta)[held]), y[held])
-            p = chance(scale[0] * models[view].logit(pools[view]) + scale[1])
-            most = max(1, int(SHARE * len(p)))
-            rows, labels = [], []
-            for label, sure in ((1, p), (0, 1 - p)):
-                order = np.argsort(-np.where(taken[other], -1, sure), kind="stable")[:most]
-                order = order[(sure[order] >= CONFIDENT) & ~taken[other][order]]
-                rows.append(order)
-                labels.append(np.full(len(order), label, np.float64))
-            rows, labels = np.concatenate(rows), np.concatenate(labels)
-            taken[other][rows] = True
-            added[other] = (pools[other][rows], labels)
-        for view, (x, label) in added.items():
-            given[view] = (np.concatenate([given[view][0], x]), np.concatenate([given[view][1], label]))
-    a, b = models["text"].logit(text[held]), models["meta"].logit(meta[held])
-    sa, sb = platt(a, y[held]), platt(b, y[held])
-    z = np.stack([sa[0] * a + sa[1], sb[0] * b + sb[1]], axis=1)
-    both = Linear(1e-3, 300).fit(z, y[held])
-    return CoTrained(models["text"], models["meta"], sa, sb, (float(both.w[0]), float(both.w[1]), float(both.b)))
+def calibrated(text: Linear, meta: Linear, text_held: np.ndarray, meta_held: np.ndarray, y: np.ndarray) -> CoTrained:
+    """The two views with scales and their combination, taken on held-out rows."""
+    a, b = text.logit(text_held), meta.logit(meta_held)
+    sa, sb = platt(a, y), platt(b, y)
+    both = Linear(1e-3, 300).fit(np.stack([sa[0] * a + sa[1], sb[0] * b + sb[1]], axis=1), y)
+    return CoTrained(text, meta, sa, sb, (float(both.w[0]), float(both.w[1]), float(both.b)))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +147,42 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, body, offsets in batches_of(batch):
             t = text_features(body, offsets, rolling).astype(np.float16)
             m = meta_features(part.column("lang"), part.column("source"), part.column("n_chars")).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column("target"), part.column("h"), pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], ["target", "h", "t", "m"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], ["doc_id", "t", "m"])
+
+
+HANDOVER = "turn int, view string, label int, h long, doc_id {kind}, features binary"
+
+
+def _confident(shared, turn: int):
+    """Of all rows those of which a view is confident, for the other view: of each class the least by hash that the task has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, model = Rolling(41), shared.value
+        held: dict[tuple[str, int], list] = {("text", 0): [], ("text", 1): [], ("meta", 0): [], ("meta", 1): []}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for part, body, offsets in batches_of(batch):
+                t = text_features(body, offsets, rolling).astype(np.float16)
+                m = meta_features(part.column("lang"), part.column("source"), part.column("n_chars")).astype(np.float16)
+                a, b, _ = model.scores(t.astype(np.float32), m.astype(np.float32))
+                h = mix(np.asarray(part.column("h")).view(np.uint64) + np.uint64(turn)) >> np.uint64(1)
+                known = np.asarray(part.column("doc_id").is_valid())
+                for view, p, features in (("text", b, t), ("meta", a, m)):
+                    for label, sure in ((1, p), (0, 1 - p)):
+                        rows = np.flatnonzero((sure >= CONFIDENT) & known)
+                        # twice as many as are handed over, as labelled ones still leave
+                        rows = rows[np.argsort(h[rows], kind="stable")[: 2 * HANDED]]
+                        mine = held[view, label]
+                        mine += [(int(h[i]), part.column("doc_id")[i].as_py(), features[i].tobytes()) for i in rows]
+                        mine.sort(key=lambda x: x[0])
+                        del mine[2 * HANDED :]
+        for (view, label), mine in held.items():
+            if mine:
+                n = len(mine)
+                yield pa.RecordBatch.from_arrays([pa.array([turn] * n, pa.int32()), pa.array([view] * n), pa.array([label] * n, pa.int32()), pa.array([x[0] for x in mine], pa.int64()), pa.array([x[1] for x in mine], kind), pa.array([x[2] for x in mine], pa.binary())], ["turn", "view", "label", "h", "doc_id", "features"])
+
+    return run
 
 
 def columns(docs: DataFrame, more: list = ()) -> DataFrame:
@@ -182,39 +193,57 @@ def columns(docs: DataFrame, more: list = ()) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> CoTrained | None:
-    """The fitted model, or None where the labelled sample doesn't hold both classes in both parts.
+    """The fitted model, or None where the labelled sample doesn't hold both classes in each of its parts.
 
-    At most LABELLED labelled rows and POOL others are looked at, in hash order of doc_id, so the sample
-    is the same wherever the rows lie. Rows without id or label, and ids labelled twice unlike, are left out.
+    At most LABELLED labelled documents are taken, in hash order of doc_id, so the sample is the same
+    wherever the rows lie; of a doc_id that repeats, one row. All rows without a label are scored in each
+    round. Rows without id or label, and ids labelled twice unlike, teach nothing.
     """
     h = F.xxhash64("doc_id").alias("h")
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("double").alias("target"), F.max(label_col).alias("most")).filter("target = most").select("doc_id", "target", h)
     rows = columns(docs)
-    present = rows.select("doc_id").filter("doc_id is not null")
-    labelled = known.join(present.distinct(), "doc_id", "left_semi").orderBy("h", "doc_id").limit(LABELLED)
-    pool = present.distinct().join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("target"), h).orderBy("h", "doc_id").limit(POOL)
-    wanted = F.broadcast(labelled.unionByName(pool))  # at most LABELLED + POOL ids
-    got = rows.join(wanted, "doc_id").select("target", "h", "text", "lang", "source", "n_chars").mapInArrow(_features, "target double, h long, t binary, m binary")
-    table = got.orderBy("h").limit(2 * (LABELLED + POOL)).toArrow()
+    sample = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy("h", "doc_id").limit(LABELLED)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = rows.join(F.broadcast(sample.select("doc_id")), "doc_id").select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(_features, f"doc_id {kind}, t binary, m binary")  # at most LABELLED ids
+    # of a repeated id the least row, so that it is the same one each time
+    one = got.groupBy("doc_id").agg(F.min(F.struct("t", "m")).alias("row"))
+    table = sample.join(one, "doc_id").orderBy("h", "doc_id").select("target", "h", "row.t", "row.m").toArrow()
     if not table.num_rows:
         return None
-    y = table.column("target").to_numpy()
-    t = np.stack([np.frombuffer(x, np.float16) for x in table.column("t").to_pylist()]).astype(np.float32)
-    m = np.stack([np.frombuffer(x, np.float16) for x in table.column("m").to_pylist()]).astype(np.float32)
-    have = ~np.isnan(y)
-    held = (mix(table.column("h").to_numpy().view(np.uint64)) % np.uint64(1000)).astype(float)[have] < 1000 * HELD_OUT
-    label = (y[have] > 0).astype(np.float64)
-    if len(set(label[held])) < 2 or len(set(label[~held])) < 2:
+    t = np.stack([np.frombuffer(x.as_buffer(), np.float16) for x in table.column("t")]).astype(np.float32)
+    m = np.stack([np.frombuffer(x.as_buffer(), np.float16) for x in table.column("m")]).astype(np.float32)
+    y = (table.column("target").to_numpy() > 0).astype(np.float64)
+    place = (mix(table.column("h").to_numpy().view(np.uint64)) % np.uint64(1000)).astype(float) / 1000
+    sure, last = place < HELD_OUT[0], (place >= HELD_OUT[0]) & (place < sum(HELD_OUT))
+    fit = ~(sure | last)
+    if any(len(set(y[part])) < 2 for part in (sure, last, fit)):
         return None
-    return co_train(t[have], m[have], label, held, t[~have], m[~have])
+
+    given = {"text": [(t[fit], y[fit])], "meta": [(m[fit], y[fit])]}
+    taken: set = set()
+    every = columns(docs, [h])
+    for turn in range(ROUNDS + 1):
+        models = {view: Linear().fit(*(np.concatenate(x) for x in zip(*parts, strict=True))) for view, parts in given.items()}
+        if turn == ROUNDS:
+            break
+        shared = docs.sparkSession.sparkContext.broadcast(calibrated(models["text"], models["meta"], t[sure], m[sure], y[sure]))  # a few thousand weights
+        found = every.mapInArrow(_confident(shared, turn), HANDOVER.format(kind=kind)).join(known.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["view", "label", "doc_id"])
+        first = F.row_number().over(Window.partitionBy("view", "label").orderBy("h", "doc_id"))
+        chosen = found.withColumn("nth", first).filter(F.col("nth") <= HANDED).select("view", "label", "doc_id", "features").orderBy("view", "label", "nth").collect()  # at most 4 * HANDED rows
+        for view in given:
+            mine = [r for r in chosen if r.view == view and (view, r.doc_id) not in taken]
+            taken |= {(view, r.doc_id) for r in mine}
+            if mine:
+                given[view].append((np.stack([np.frombuffer(r.features, np.float16) for r in mine]).astype(np.float32), np.array([r.label for r in mine], np.float64)))
+    return calibrated(models["text"], models["meta"], t[last], m[last], y[last])
 
 
 def score(docs: DataFrame, model: CoTrained | None, carry: list[str] = ()) -> DataFrame:
     """One row per row of docs: doc_id, p_text, p_meta, score, keep, and each column named in carry as `_<name>`.
 
     Without a model the scores are null and every row is kept. Null and empty texts are scored by their
-    metadata and the features of an empty text; repeated rows are scored each; an empty table gives an
-    empty result.
+    metadata and the features of an empty text; very long texts are scored whole; repeated rows are scored
+    each; an empty table gives an empty result; further columns, whatever their names, play no part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "p_text", "p_meta", "score", "keep", *(f"_{c}" for c in carry)]

@@ -17,29 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batches_of, dropped, families, listed, repeated, signed, staged_texts, stored, words_of
+from .common import batches_of, between, dropped, families, hashed_words, listed, repeated, signed, spans, staged_texts, stored, words_of
 
+#: Words that are joined at once.
+MANY = 100_000
 
-class Words:
-    """Fingerprints of any stretch of words of a batch of texts."""
 
-    def __init__(self):
-        self.bytes = Rolling(11)
-        self.first, self.second = Rolling(12), Rolling(13)
+class Words:
+    """Identifiers of any stretch of words of a batch of texts, made of those of its halves; two independent ones give 128 bits."""
 
-    def load(self, body: np.ndarray, offsets: np.ndarray, both: bool) -> np.ndarray:
+    def load(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Numbers of each text's first word (len + 1)."""
-        starts, ends, at = words_of(body, offsets)
-        word = self.bytes.of(self.bytes.sums(body), starts, ends)
-        self.a = self.first.sums(word)
-        self.b = self.second.sums(word) if both else None
+        self.a, self.b, at = hashed_words(body, offsets, 11)
         return at
 
     def one(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return signed(self.first.of(self.a, start, end))
+        return signed(spans(self.a, start, end, 12))
 
     def two(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.one(start, end), signed(self.second.of(self.b, start, end))
+        return self.one(start, end), signed(spans(self.b, start, end, 13))
 
 
 def _record(names: str, *columns) -> pa.RecordBatch:
@@ -53,12 +49,12 @@ def _anchors(base: int, length: int):
         words = Words()
         for batch in batches:
             for part, body, offsets in batches_of(batch):
-                at = words.load(body, offsets, both=False)
+                at = words.load(body, offsets)
                 total = int(at[-1])
                 if total < length:
                     continue
                 i = np.arange(total - base + 1)
-                grams = words.first.of(words.a, i, i + base)
+                grams = words.one(i, i + base).view(np.uint64)
                 doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 valid = np.zeros(len(grams), bool)
                 whole = np.arange(total - length + 1)
@@ -77,7 +73,7 @@ def _doubled(base: int, length: int):
         words = Words()
         for batch in batches:
             for part, body, offsets in batches_of(batch):
-                at = words.load(body, offsets, both=True)
+                at = words.load(body, offsets)
                 row, i0, i1, p = listed(part.column("runs"), "i0", "i1", "p")
                 i0, i1, p = i0 + at[row], i1 + at[row], p + at[row]
                 for side, a, b, start in ((0, np.maximum(i0, p - (length - 2 * base)), i1, p), (1, i0, np.minimum(i1, p - (length - 2 * base) - 1), p - base)):
@@ -96,7 +92,7 @@ def _windows(length: int):
         words = Words()
         for batch in batches:
             for part, body, offsets in batches_of(batch):
-                at = words.load(body, offsets, both=True)
+                at = words.load(body, offsets)
                 row, a, b = listed(part.column("runs"), "a", "b")
                 many = b - a + 1
                 own = np.repeat(row, many)
@@ -115,19 +111,17 @@ def _kept(length: int):
             row, a, b = listed(batch.column("ranges"), "a", "b")
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             total, gone, sha, texts = [], [], [], []
-            for k, (text, copy) in enumerate(zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True)):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                n = len(words)
+            for k, (text, copy) in enumerate(zip(batch.column("text"), batch.column("copy").to_pylist(), strict=True)):
+                data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
+                starts, stops, _ = words_of(data, np.array([0, len(data)]))
+                n = len(starts)
                 if copy:
-                    words = words if n < length else []
-                elif ends[k] < ends[k + 1]:
-                    edge = np.zeros(n + 1, np.int32)
-                    np.add.at(edge, a[ends[k] : ends[k + 1]], 1)
-                    np.add.at(edge, b[ends[k] : ends[k + 1]] + length, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
-                body = b" ".join(words)
+                    kept = [] if n >= length else [(0, n)]
+                else:
+                    kept = list(between(a[ends[k] : ends[k + 1]], b[ends[k] : ends[k + 1]] + length, n))
+                body = b" ".join(b" ".join(data[starts[i] : stops[j - 1]].tobytes().split()) for x, y in kept for i, j in ((i, min(i + MANY, y)) for i in range(x, y, MANY)))
                 total.append(n)
-                gone.append(n - len(words))
+                gone.append(n - sum(y - x for x, y in kept))
                 sha.append(hashlib.sha256(body).hexdigest())
                 texts.append(body.decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
@@ -140,8 +134,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, base: int = 5, id_col: str
 
     A word goes if a window of `length` words that covers it also starts earlier: in a row of smaller id
     (null ids last, rows that repeat an id in stored order), or earlier in the same row. Windows are
-    judged on the input. Null and empty texts have no words; an empty table gives an empty result;
-    further columns play no part. length is four times base; lengths double from base on.
+    judged on the input. Null and empty texts have no words; words of any length count, and very long texts
+    are worked on in pieces; an empty table gives an empty result; further columns, whatever their names,
+    play no part. length is four times base; lengths double from base on. Equal stands for equal in two
+    independent 64-bit identifiers, which go down to the words' bytes.
     """
     if length != 4 * base:
         raise ValueError("length must be four times base")

@@ -5,9 +5,9 @@ string of that length is named by its first least q-gram (its anchor, q = 32), w
 alone. Anchors fall into initial buckets by q-gram; a bucket of one leaves. The rest is refined: the
 strings of an anchor, told apart by how far before it they start, are put into blocks of 64, 8 and 1
 starts, and a block's bucket is split by the identifiers of the buckets at the offsets that follow.
-Identifiers are prefix sums of a fingerprint, so the identifier of a longer stretch comes from those of
-its pieces without looking at its bytes again. A block whose common part is alone leaves; blocks that are
-equal as a whole are settled at once, and one of them stands for all in the next round.
+An identifier is two independent 64-bit hashes of a bucket's bytes, so offsets learn their bucket where
+they lie, and only counts of buckets are shuffled. A block whose common part is alone leaves; blocks that
+are equal as a whole are settled at once, and one of them stands for all in the next round.
 """
 
 from __future__ import annotations
@@ -20,23 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batches_of, dropped, families, flat, listed, repeated, signed, slices, staged_texts, stored
+from .common import batches_of, between, byte_grams, byte_spans, dropped, families, flat, listed, long_and_short, repeated, signed, slices, staged_texts, stored
 from .substring_dedup import _record
 
 #: Bytes of an initial gram, and starts per block in each round of refinement.
 GRAM, BLOCKS = 32, (64, 8, 1)
+#: Bytes of text whose offsets are looked at at once.
+PIECE = 256 << 10
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Rolling(21), Rolling(22)
         for batch in batches:
-            for part, body, offsets in batches_of(batch):
+            for part, low, body, offsets in long_and_short(batch, PIECE, length - 1):
                 if len(body) < length:
                     continue
-                sums, more = one.sums(body), two.sums(body)
-                i = np.arange(len(body) - GRAM + 1)
-                grams = one.of(sums, i, i + GRAM)
+                grams = byte_grams(body, 21)
                 # a string may start where it still ends inside its text
                 valid = np.zeros(len(grams), bool)
                 for s, e in zip(offsets[:-1], offsets[1:], strict=True):
@@ -44,7 +43,8 @@ def _anchors(length: int):
                         valid[s : e - length + 1] = True
                 i0, i1, p = families(grams, length - GRAM + 1, valid)
                 own = np.searchsorted(offsets, i0, side="right") - 1
-                yield _record("rid i0 i1 p key u v", part.column("rid").take(pa.array(own)), *((x - offsets[own]).astype(np.int32) for x in (i0, i1, p)), signed(grams[p]), signed(one.of(sums, i0, i1 + length)), signed(two.of(more, i0, i1 + length)))
+                u, v = byte_spans(body, i0, i1 + length, 22)
+                yield _record("rid i0 i1 p key u v", part.column("rid").take(pa.array(own)), *((x - offsets[own] + low).astype(np.int32) for x in (i0, i1, p)), signed(grams[p]), u, v)
 
     return run
 
@@ -59,22 +59,20 @@ def blocks(i0: np.ndarray, i1: np.ndarray, p: np.ndarray, size: int) -> tuple[np
     return row, np.maximum(i0[row], p[row] - near - size + 1), np.minimum(i1[row], p[row] - near), near
 
 
-def _keys(one: Rolling, two: Rolling, body: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, near: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _keys(body: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, near: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Identifier of the part that all strings of the block have in common, and of the stretch that they cover together."""
-    sums, more = one.sums(body), two.sums(body)
-    common = one.of(sums, p - near, p - near - size + 1 + length)
-    return signed(common), signed(one.of(sums, a, b + length)), signed(two.of(more, a, b + length))
+    common, _ = byte_spans(body, p - near, p - near - size + 1 + length, 23, both=False)
+    return common, *byte_spans(body, a, b + length, 24)
 
 
 def _first_blocks(length: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Rolling(23), Rolling(24)
         for batch in batches:
             for part, body, offsets in batches_of(batch):
                 row, i0, i1, p = listed(part.column("runs"), "i0", "i1", "p")
                 own = offsets[row]
                 k, a, b, near = blocks(i0 + own, i1 + own, p + own, size)
-                key, u, v = _keys(one, two, body, a, b, (p + own)[k], near, size, length)
+                key, u, v = _keys(body, a, b, (p + own)[k], near, size, length)
                 start = own[k]
                 yield _record("rid a b p key u v", part.column("rid").take(pa.array(row[k])), *((x - start).astype(np.int32) for x in (a, b, (p + own)[k])), key, u, v)
 
@@ -100,7 +98,6 @@ def _next_blocks(length: int, size: int):
     """Blocks of the next size, keyed, out of the cut bytes (which start at `base`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Rolling(25 + size), Rolling(26 + size)
         for batch in batches:
             body, offsets = _flat_binary(batch.column("body"))
             for i, j in slices(offsets):
@@ -108,7 +105,7 @@ def _next_blocks(length: int, size: int):
                 base, i0, i1, p = (np.asarray(part.column(n)).astype(np.int64) for n in ("base", "a", "b", "p"))
                 shift = at[:-1] - base
                 k, a, b, near = blocks(i0 + shift, i1 + shift, p + shift, size)
-                key, u, v = _keys(one, two, cut, a, b, (p + shift)[k], near, size, length)
+                key, u, v = _keys(cut, a, b, (p + shift)[k], near, size, length)
                 rows = pa.array(k)
                 yield _record("rid base a b p key u v body", part.column("rid").take(rows), base[k].astype(np.int32), *((x - shift[k]).astype(np.int32) for x in (a, b)), p[k].astype(np.int32), key, u, v, part.column("body").take(rows) if size > 1 else pa.nulls(len(k), pa.binary()))
 
@@ -134,16 +131,13 @@ def _kept(length: int):
             for k, copy in enumerate(batch.column("copy").to_pylist()):
                 data = body[offsets[k] : offsets[k + 1]]
                 n = len(data)
-                gone = np.zeros(n + 2, bool)
                 if copy:
-                    gone[1 : n + 1] = n >= length
-                elif ends[k] < ends[k + 1]:
-                    edge = np.zeros(n + 1, np.int32)
-                    np.add.at(edge, a[ends[k] : ends[k + 1]], 1)
-                    np.add.at(edge, b[ends[k] : ends[k + 1]] + length, -1)
-                    gone[1 : n + 1] = np.cumsum(edge[:n]) > 0
-                spans = int((gone[1:] & ~gone[:-1]).sum())
-                rest = data[~gone[1 : n + 1]].tobytes() if spans else data.tobytes()
+                    left = [] if n >= length else [(0, n)][: min(n, 1)]
+                else:
+                    left = list(between(a[ends[k] : ends[k + 1]], b[ends[k] : ends[k + 1]] + length, n))
+                rest = b"".join(data[x:y].tobytes() for x, y in left)
+                # removed runs lie before, between and after what is left
+                spans = len(left) - 1 + (left[0][0] > 0) + (left[-1][1] < n) if left else int(n > 0)
                 rows.append((n, n - len(rest), spans))
                 kept.append((hashlib.sha256(rest).hexdigest(), rest))
             got = np.array(rows, np.int64).reshape(-1, 3)
@@ -165,8 +159,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     A byte of a text's UTF-8 form goes if a string of `length` bytes that covers it also starts anywhere
     else, in the same row too; matches never cross rows and are judged on the input. Null and empty texts
-    have no bytes; rows that repeat an id or a text count each; an empty table gives an empty result;
-    further columns play no part.
+    have no bytes; rows that repeat an id or a text count each; very long texts are worked on in pieces that
+    overlap; an empty table gives an empty result; further columns, whatever their names, play no part.
+    Equal stands for equal in 128 bits that are taken from the bytes themselves.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows, first = staged_texts(docs, id_col, text_col, "bytes")
@@ -189,7 +184,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     cut = distinct.join(runs, "rid").mapInArrow(_cut(length), "rid long, base int, a int, b int, p int, body binary")
     for size in BLOCKS[1:]:
         found = stored(cut.mapInArrow(_next_blocks(length, size), "rid long, base int, a int, b int, p int, key long, u long, v long, body binary"), "bytes-blocks")
-        alive = stored(repeated(found, ["key"], "bytes-keys"), "bytes-alive")
+        # a block of one start is its string, so all 128 bits tell its bucket
+        alive = stored(repeated(found, ["key"] if size > 1 else ["u", "v"], "bytes-keys"), "bytes-alive")
         if size == 1:
             done.append(alive.select("rid", "a", "b"))
         else:

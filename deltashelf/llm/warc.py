@@ -38,25 +38,29 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """
     hashed = pages.select("row_key", "page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
     first = hashed.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row_key")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    return stored(hashed.join(stored(first, "warc-first"), "digest", "left").select("row_key", "digest", "payload_bytes", F.when(F.col("first.row_key") != F.col("row_key"), F.col("first.page_id")).alias("refers_to"), F.when(F.col("first.row_key") != F.col("row_key"), "revisit").otherwise("response").alias("record_type")), "warc-plan")
+    return stored(hashed.join(stored(first, "warc-first"), "digest", "left").select("row_key", "digest", "payload_bytes", F.when(F.col("first.row_key") != F.col("row_key"), F.col("first.page_id")).alias("refers_to"), F.when(F.col("first.row_key") != F.col("row_key"), "revisit").otherwise("response").alias("record_type"), F.when(F.coalesce(F.col("first.row_key") != F.col("row_key"), F.lit(True)), F.col("row_key")).alias("own_key")), "warc-plan")
 
 
-def record(url: str, body: bytes, digest: str, kind: str, page_id: int | None, refers_to: int | None) -> bytes:
-    """One gzip member that holds a WARC record."""
+def record_id(digest: str, row_key: int | None) -> str:
+    """URN of a record: of the response of a digest that others revisit by the digest alone, of others by their row too."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, digest if row_key is None else f'{digest}|{row_key}')}>"
+
+
+def record(url: str, body: bytes, digest: str, kind: str, page_id: int | None, refers_to: int | None, row_key: int | None) -> bytes:
+    """One gzip member that holds a WARC record; row_key is None for the response that others revisit."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
     block = http if kind == "revisit" else http + body
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{digest}|{kind}")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{name}>",
+        f"WARC-Record-ID: {record_id(digest, row_key)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}", f"X-Payload-Length: {len(body)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(digest, None)}", f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}", f"X-Payload-Length: {len(body)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     head = ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "surrogatepass")
@@ -85,8 +89,8 @@ def write(pages: DataFrame, records: DataFrame, folder: str) -> DataFrame:
                 name = f"part-{uuid.uuid4().hex}.warc.gz"
                 out = fs.open_output_stream(f"{base}/{name}", compression=None)
             rows = []
-            for page_id, url, html, digest, kind, refers in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html", "digest", "record_type", "refers_to")), strict=True):
-                data = record(url or "", html, digest, kind, page_id, refers)
+            for page_id, url, html, digest, kind, refers, key in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html", "digest", "record_type", "refers_to", "own_key")), strict=True):
+                data = record(url or "", html, digest, kind, page_id, refers, key)
                 out.write(data)
                 rows.append((at, len(data)))
                 at += len(data)
@@ -94,7 +98,7 @@ def write(pages: DataFrame, records: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    joined = pages.join(records, "row_key").select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "record_type", "refers_to")
+    joined = pages.join(records, "row_key").select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "record_type", "refers_to", "own_key")
     return joined.mapInArrow(run, INDEX)
 
 
@@ -141,8 +145,11 @@ def read(index: DataFrame, folder: str) -> DataFrame:
         frame = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
+    # as many tasks as there are bytes to read; the index rows alone would look like work for one
+    total = index.agg(F.sum("length")).first()[0] or 0
     share = F.floor(F.col("offset") / READ_SHARE).alias("share")
-    return index.select("file", share, "offset", "length").groupBy("file", "share").applyInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    spread = index.select("file", share, "offset", "length").repartition(max(1, -(-total // READ_SHARE), index.sparkSession.sparkContext.defaultParallelism), "file", "share")
+    return spread.groupBy("file", "share").applyInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -171,6 +171,15 @@ def test_bpe_equals_library(spark):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.n_tokens == len(ids)
 
 
+def test_packing_of_long_white_space():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    for text in (" " * 1_500_000, "a" + "\n" * 300_000 + " b", "x" * 100_000 + "\t " * 5000):
+        assert packing.ids_of(text, path) == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_streams_alike():
     tok = bpe.tokenizer(P.path("word_bpe_49k.json"))
     word = "thequickbrownfoxjumps" * 400
@@ -211,6 +220,26 @@ def test_recall(spark):
     assert len(hits) == len(got) and np.mean(hits) >= 0.9
 
 
+def test_recall_beyond_what_is_scored(spark):
+    """Tables of several blocks, with a dense cluster: recall of what a query returns, not of a model of it."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 32))
+    x[:1500] = x[0] + 0.05 * rng.normal(size=(1500, 32))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(t, F.col("vec_id") % 50 == 0, 5).collect():
+        got[r.query_id].add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = []
+    for q in range(0, 9000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hits.append(len(got[q] & set(np.argsort(-s)[:5].tolist())) / 5)
+    assert len(got) == 180 and np.mean(hits) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.0, 1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 1.0]), (9, [2.0, 0.0])]
     from pyspark.sql import functions as F
@@ -252,7 +281,7 @@ def test_quality_holds_out(spark):
     model = quality.train(docs, labels.filter("doc_id % 4 <> 0"))
     got = quality.score(docs, model).join(labels.filter("doc_id % 4 = 0"), "doc_id").collect()
     good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
-    assert np.mean([r.keep for r in good]) > 0.95 and np.mean([r.keep for r in bad]) < 0.4
+    assert np.mean([r.keep for r in good]) > 0.97 and np.mean([r.keep for r in bad]) < 0.1
 
 
 def test_quality_edges(spark):

@@ -8,7 +8,11 @@ import pytest
 
 from deltashelf.llm import jaccard_join, substring_dedup, suffix_dedup
 
-SCHEMA = "doc_id long, text string, rid string, n string"
+SCHEMA = "doc_id long, text string, rid string, row_key string"
+
+
+def thue_morse(letters: int) -> str:
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(letters))
 
 
 def corpus(seed: int) -> list[tuple]:
@@ -122,6 +126,20 @@ def test_join(spark, seed):
     assert by_id(tuple(r) for r in got) == brute_join(rows)
 
 
+def test_texts_that_cheat_polynomials(spark):
+    """Words and texts whose polynomial fingerprints modulo a power of two are the same under any base."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    words = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{words} {one}"), (2, f"{words} {other}"), (3, f"a b c d {one}"), (4, f"a b c d {other}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs).orderBy("doc_id").collect()] == [0] * 4
+    # the first two share 15 of 17 shingles, the others have one each
+    assert [r.component_id for r in jaccard_join.join_similar(docs).orderBy("doc_id").collect()] == [1, 1, 3, 4]
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    rows = [(1, one), (2, other)]
+    assert by_id(tuple(r) for r in suffix_dedup.remove_repeats(docs).drop("kept_bytes").collect()) == brute_bytes(rows)
+
+
 @pytest.mark.parametrize("run", [suffix_dedup.remove_repeats, substring_dedup.remove_repeats, jaccard_join.join_similar])
 def test_empty(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
