@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named character references that product pages use in practice; numeric ones are decoded by rule.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&reg;": "®", "&trade;": "™", "&copy;": "©", "&euro;": "€", "&pound;": "£", "&eacute;": "é", "&amp;": "&"}
+#: Named character references: those of HTML 4, and the apostrophe.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def squeeze(c: Column) -> Column:
@@ -16,11 +18,25 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def code_point(number: Column) -> Column:
+    """The character of a code point; the replacement character where there is none."""
+    fine = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
 def unescape(c: Column) -> Column:
-    """Common named entities; `&amp;` goes last, so nothing is decoded twice."""
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Numeric and named character references, each decoded once; unknown names stay."""
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def decoded(ref: Column) -> Column:
+        body = F.substring_index(F.substring_index(ref, ";", 1), "&", -1)
+        hexed = F.conv(F.substring(body, 3, 8), 16, 10).cast("long")
+        plain = F.substring(body, 2, 8).try_cast("long")
+        return F.when(F.lower(F.substring(body, 1, 2)) == "#x", code_point(hexed)).when(F.substring(body, 1, 1) == "#", code_point(plain)).otherwise(F.coalesce(F.try_element_at(names, body), ref))
+
+    between = F.split(c, REFERENCE, -1)
+    found = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), decoded)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(c)
 
 
 def strip_html(c: Column) -> Column:

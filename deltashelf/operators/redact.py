@@ -10,11 +10,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SECRET = re.compile(r"(?i)auth|cookie|token|secret|passw|session|api[-_]?key|csrf|signature|e-?mail")
+SECRET = re.compile(r"(?i)auth|cookie|token|secret|passw|session|api[-_]?key|csrf|signature|e-?mail|bearer")
+#: Names and values of URL queries and of form bodies; credentials inside any text.
+PAIR = re.compile(r"(^|[?&;#])([^=&?#;\s]+)=([^&#;\s]*)")
+CREDENTIAL = re.compile(r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]{6,}")
+
+
+def cleaned_text(x: str) -> str:
+    """A text with the values of telling names in URL queries and form bodies, and credentials, blanked; JSON is cleaned as such."""
+    if x[:1] in ("{", "["):
+        try:
+            return json.dumps(cleaned(json.loads(x)), sort_keys=True, ensure_ascii=False)
+        except ValueError:
+            pass
+    x = PAIR.sub(lambda m: f"{m[1]}{m[2]}=[redacted]" if SECRET.search(m[2]) else m[0], x)
+    return CREDENTIAL.sub(lambda m: f"{m[1]} [redacted]", x)
 
 
 def cleaned(x):
-    """The value with everything under a telling name, and every name-value pair of such a name, blanked."""
+    """The value with everything under a telling name, every name-value pair of such a name, and telling parts of texts blanked."""
+    if isinstance(x, str):
+        return cleaned_text(x)
     if isinstance(x, dict):
         if isinstance(x.get("name"), str) and "value" in x and SECRET.search(x["name"]):
             return {**{k: cleaned(v) for k, v in x.items() if k != "value"}, "value": "[redacted]"}

@@ -85,8 +85,8 @@ def baseline_candidate(spark, sf_dir):
 # ---- text and pages
 
 ENTITY_SQL = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
-for _name, _char in text.ENTITIES.items():
-    ENTITY_SQL = f"replace({ENTITY_SQL}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+for _name, _char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&reg;", "\u00ae"), ("&trade;", "\u2122"), ("&copy;", "\u00a9"), ("&euro;", "\u20ac"), ("&pound;", "\u00a3"), ("&eacute;", "\u00e9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
+    ENTITY_SQL = f"replace({ENTITY_SQL}, '{_name}', '{_char}')"
 
 
 @Q.add(f"SELECT page_id, sha256(trim(regexp_replace({ENTITY_SQL}, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x0b]+', ' ', 'g'))) AS text_hash FROM pages")
@@ -94,6 +94,14 @@ def strip_html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_html(F.col("html")), 256).alias("text_hash"))
 
 
+@Q.add("SELECT event_id, chr(CAST(event_id % 55000 + 33 AS INT)) || '\u2013' || chr(CAST(floor(value) AS INT) % 90 + 33) || props AS decoded FROM events")
+def decode_references(spark, sf_dir):
+    """Character references written as numbers in both notations and as names, decoded once."""
+    e = table(spark, sf_dir, "events")
+    hexed = F.concat(F.lit("&#x"), F.lower(F.hex(F.col("event_id") % 55000 + 33)), F.lit(";&ndash;&#"), (F.floor("value") % 90 + 33).cast("string"), F.lit(";"), F.replace("props", F.lit("\""), F.lit("&quot;")))
+    return e.select("event_id", text.unescape(hexed).alias("decoded"))
+
+
 @Q.add("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), '') AS h1, coalesce(length(regexp_extract(html, '(?is)<link[^>]+rel=.canonical', 0)) > 0, false) AS has_canonical FROM pages")
 def page_title_h1(spark, sf_dir):
     one = lambda tag: F.nullif(F.trim(F.regexp_extract("html", f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
@@ -233,11 +241,7 @@ def store_api_products(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), F.try_parse_json(body).alias("item"))
     first = table(spark, sf_dir, "part").agg(F.min("p_type").alias("first_type"))
     got = normalize.store_api(rows, "Maker").crossJoin(F.broadcast(first)).filter(~F.exists("categories", lambda c: c == F.col("first_type")))
-    return got.select("product_key", "model", F.get("prices", F.lit(0))["amount"].alias("amount"), F.when(F.size("prices") > 0, F.get("prices", F.lit(0))["availability"]).otherwise(F.when(p_mod("product_key") == 0, "in_stock").when(p_mod("product_key") == 1, "sold_out").otherwise("unknown")).alias("availability"))
-
-
-def p_mod(key: str):
-    return F.substring_index(key, ":s", -1).cast("long") % 3
+    return got.select("product_key", "model", F.get("prices", F.lit(0))["amount"].alias("amount"), "availability")
 
 
 @Q.add("SELECT p_brand AS source, count(*) AS refs, count(*) - count(DISTINCT p_name) AS duplicates, count(DISTINCT p_name) AS uniques, round(avg(CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.0 END), 4) AS identity_quality, round(avg(CASE WHEN n <= 12 THEN CASE WHEN p_size > 10 THEN 1.0 ELSE 0.0 END END), 4) AS pass_rate FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) GROUP BY ALL")

@@ -77,6 +77,50 @@ def diff_description_tokens(spark, sf_dir):
     return d.select("doc_id", (F.length("text") != F.length("flat")).alias("text_differs"), e.isNotNull().alias("is_event"))
 
 
+#: Nested records of a listing's observations: two regional prices, processor, description, display and memory.
+def records(spark, sf_dir):
+    amount, region = F.col("amount"), lambda name, x: F.struct(x.alias("amount"), F.lit("USD").alias("currency"), F.lit(name).alias("region"))
+    chip = F.when(F.col("l_orderkey") % 5 > 0, F.concat(F.lit("Chip "), (F.col("l_orderkey") % 3).cast("string")))
+    part = F.struct(chip.alias("raw"), F.lit(None).cast("string").alias("canonical"), (F.col("l_orderkey") % 3 == 0).alias("known"))
+    words = F.concat(F.lit("Listing  of "), F.col("model"), F.when(F.col("l_linenumber") % 2 == 0, "  with dock ").otherwise(" "))
+    return views.snapshots(spark, sf_dir).select("listing", *ORDER, F.struct(F.array(region("EU", F.round(amount, 2)), region("US", F.round(amount * 2, 2))).alias("prices"), part.alias("cpu"), words.alias("description"), "memory").alias("record"))
+
+
+RECORD_SQL = f"""r AS (SELECT *, round(amount, 2) AS eu, round(amount * 2, 2) AS us, CASE WHEN l_orderkey % 5 > 0 THEN 'Chip ' || (l_orderkey % 3) END AS cpu, l_orderkey % 3 = 0 AS known,
+  'Listing of ' || trim(regexp_replace(model, '\\s+', ' ', 'g')) || CASE WHEN l_linenumber % 2 = 0 THEN ' with dock' ELSE '' END AS description FROM v_snapshots),
+o AS (SELECT *, lag(eu) OVER w AS old_eu, lag(us) OVER w AS old_us, lag(cpu) OVER w AS old_cpu, lag(description) OVER w AS old_description, lag(l_orderkey) OVER w AS before FROM r WINDOW w AS ({OVER}))"""
+
+
+def before_and_after(spark, sf_dir):
+    w = Window.partitionBy("listing").orderBy(*ORDER)
+    return records(spark, sf_dir).withColumn("old", F.lag("record").over(w)).filter("old is not null")
+
+
+@Q.add(f"""WITH v_snapshots AS ({views.SQL['v_snapshots']}), {RECORD_SQL}
+SELECT listing, l_orderkey, l_linenumber, CASE WHEN eu <> old_eu THEN CASE WHEN eu > old_eu THEN 'up' ELSE 'down' END ELSE CASE WHEN us > old_us THEN 'up' ELSE 'down' END END AS direction,
+  round(greatest(abs(eu - old_eu) / old_eu, abs(us - old_us) / old_us) * 100, 1) AS pct FROM o WHERE before IS NOT NULL AND (eu <> old_eu OR us <> old_us)""")
+def diff_price_regions(spark, sf_dir):
+    """Moves of sets of prices in two regions: the largest move, and the way of the first that moved."""
+    rows = before_and_after(spark, sf_dir).withColumn("e", diff.price_event(F.col("old"), F.col("record"))).filter("e is not null")
+    return rows.select("listing", "l_orderkey", "l_linenumber", "e.direction", F.col("e.magnitude_pct").alias("pct"))
+
+
+@Q.add(f"""WITH v_snapshots AS ({views.SQL['v_snapshots']}), {RECORD_SQL}
+SELECT listing, l_orderkey, l_linenumber, old_cpu AS old_value, cpu AS new_value, NOT known AS unseen_component FROM o WHERE before IS NOT NULL AND cpu IS NOT NULL AND cpu IS DISTINCT FROM old_cpu""")
+def diff_component(spark, sf_dir):
+    """Processors that became other ones or appeared; that one vanished is no event."""
+    rows = before_and_after(spark, sf_dir).withColumn("e", diff.component_event(F.col("old"), F.col("record"), "cpu")).filter("e is not null")
+    return rows.select("listing", "l_orderkey", "l_linenumber", "e.old_value", "e.new_value", "e.unseen_component")
+
+
+@Q.add(f"""WITH v_snapshots AS ({views.SQL['v_snapshots']}), {RECORD_SQL}
+SELECT listing, l_orderkey, l_linenumber, description <> old_description AS is_event FROM o WHERE before IS NOT NULL""")
+def diff_description(spark, sf_dir):
+    """Whether the words of a description changed; white space doesn't count."""
+    rows = before_and_after(spark, sf_dir)
+    return rows.select("listing", "l_orderkey", "l_linenumber", diff.description_event(F.col("old"), F.col("record")).isNotNull().alias("is_event"))
+
+
 @Q.add("""WITH v AS (SELECT page_id, split_part(url, '?', 1) AS bare, lag(split_part(url, '?', 1)) OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS old FROM pages)
 SELECT page_id, old <> bare AS is_event FROM v WHERE old IS NOT NULL""")
 def diff_images_set(spark, sf_dir):

@@ -341,16 +341,26 @@ def alert_related(spark, sf_dir):
     return views.events(spark, sf_dir).withColumn("near", F.collect_list("id").over(w.rowsBetween(-10, -1))).select("id", F.explode("near").alias("related_id"))
 
 
-@Q.add(sql("SELECT id, lag(id) OVER (ORDER BY id) AS prev_id, lead(id) OVER (ORDER BY id) AS next_id FROM v_events WHERE collector = 'src-1'", "v_events"))
+NEIGHBOURS = sql("SELECT id, lag(id) OVER (ORDER BY id) AS prev_id, lead(id) OVER (ORDER BY id) AS next_id FROM v_events", "v_events")
+
+
+@Q.add(NEIGHBOURS)
 def alert_prev_next(spark, sf_dir):
-    w = Window.partitionBy("collector").orderBy("id")
-    return views.events(spark, sf_dir).filter("collector = 'src-1'").select("id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"))
+    """The alerts before and after each alert, over the alerts of all collectors."""
+    return state.neighbours(views.events(spark, sf_dir), "id")
 
 
-@Q.add(sql("SELECT id, lag(id) OVER (ORDER BY id) AS prev_id, lead(id) OVER (ORDER BY id) AS next_id FROM v_events", "v_events"))
+@Q.add(NEIGHBOURS)
 def alert_prev_next_all(spark, sf_dir):
-    """The links over the alerts of all collectors; alert_prev_next keeps to one collector, as its SQL does."""
-    return state.neighbours(views.events(spark, sf_dir), "id")
+    """The name that alert_prev_next had while it kept to one collector."""
+    return alert_prev_next(spark, sf_dir)
+
+
+@Q.add(sql("SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM v_events WINDOW w AS (PARTITION BY product_key ORDER BY id)", "v_events"))
+def alert_prev_next_product(spark, sf_dir):
+    """The alerts of the same product before and after each alert."""
+    w = Window.partitionBy("product_key").orderBy("id")
+    return views.events(spark, sf_dir).select("id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"))
 
 
 @Q.add(sql("SELECT DISTINCT change_type FROM v_events", "v_events"))

@@ -80,6 +80,7 @@ def test_same_product(spark):
 
 
 def test_text(spark):
+    assert one(spark, text.strip_html, "it&#8217;s &#x27;x&#X1F600; &Eacute;&Uuml;&nosuch; &#0;&#xD800; & &amp;lt;") == "it\u2019s 'x\U0001f600 \u00c9\u00dc&nosuch; \ufffd\ufffd & &lt;"
     assert one(spark, text.strip_html, "<p>a&nbsp;&amp;amp;  b</p> c") == "a &amp; b c"
     assert one(spark, text.numeric, "about 1.5 TB") == 1536.0
     assert one(spark, text.numeric, "none") is None
@@ -97,6 +98,9 @@ def test_sizes(spark):
 def test_redaction(spark):
     got = one(spark, redact.redact_har, '{"a": [{"name": "Authorization", "value": "x"}], "token": "t", "n": 1}')
     assert got == '{"a": [{"name": "Authorization", "value": "[redacted]"}], "n": 1, "token": "[redacted]"}'
+    leaks = '{"request": {"url": "https://x.test/a?page=2&access_token=abc123&z=1", "postData": {"text": "user=me&password=hunter2"}, "headers": [{"name": "bearer", "value": "v"}]}, "note": "Authorization Bearer abcdef123456", "inner": {"text": "{\\"secret\\": \\"s3\\", \\"n\\": 1}"}}'
+    got = one(spark, redact.redact_har, leaks)
+    assert not any(x in got for x in ("abc123", "hunter2", '"v"', "abcdef123456", "s3")) and all(x in got for x in ("page=2", "z=1", "user=me"))
     assert one(spark, redact.redact_har, "{bad") is None
 
 
