@@ -153,7 +153,8 @@ def constants(seed: int, many: int) -> list[np.uint64]:
 
 def words_at(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number; `body` goes on for eight bytes after the last place."""
-    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(body, (len(body) - 7, 8), (1, 1))[at]).view("<u8")[:, 0]
+    eights = np.ndarray((len(body) - 7, 1), "V8", body, 0, (body.strides[0], 8)) if body.flags.c_contiguous else np.lib.stride_tricks.as_strided(body, (len(body) - 7, 8), (1, 1))
+    return np.ascontiguousarray(eights[at]).view("<u8")[:, 0]
 
 
 def hashed_words(body: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,13 +242,17 @@ def byte_spans(body: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int,
     k = constants(seed, 6)
     size = (end - start).astype(np.uint64)
     u, v = mix(size * k[0]), mix(size * k[1])
-    for step in range(0, int((end - start).max(initial=0)), 8):
-        at = np.flatnonzero(start + step < end)
+    high = np.uint64(32)
+    least = int(size.min()) if len(size) else 0
+    for step in range(0, int(size.max()) if len(size) else 0, 8):
+        at = slice(None) if step < least else np.flatnonzero(step < size)
         got = words_at(body, np.minimum(start[at] + step, end[at] - 8))
-        u[at] = mix(u[at] * k[2] + got)
+        x = (u[at] ^ got) * k[2]
+        u[at] = x ^ (x >> high)
         if both:
-            v[at] = mix((v[at] ^ got) * k[3] + k[4])
-    return signed(u), signed(v) if both else None
+            x = (v[at] + got) * k[3]
+            v[at] = x ^ (x >> high)
+    return signed(mix(u)), signed(mix(v)) if both else None
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
