@@ -23,6 +23,8 @@ from .common import Rolling, batches_of, mix, words_of
 LABELLED = 5000
 #: Shares of the labelled sample held out for confidence and for the last calibration; rounds; rows handed over per round, view and class, at most; least confidence.
 HELD_OUT, ROUNDS, HANDED, CONFIDENT = (0.15, 0.15), 3, 150, 0.95
+#: Pieces in which confident rows are first ranked.
+PIECES = 32
 #: Buckets of hashed words and of hashed metadata.
 WORDS, META = 1024, 128
 #: Documents whose score is under this are rejected.
@@ -228,6 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> CoT
             break
         shared = docs.sparkSession.sparkContext.broadcast(calibrated(models["text"], models["meta"], t[sure], m[sure], y[sure]))  # a few thousand weights
         found = every.mapInArrow(_confident(shared, turn), HANDOVER.format(kind=kind)).join(known.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["view", "label", "doc_id"])
+        # first within pieces, so that what reaches the four last groups is bounded whatever the number of tasks
+        piece = F.row_number().over(Window.partitionBy("view", "label", "piece").orderBy("h", "doc_id"))
+        found = found.withColumn("piece", F.pmod("h", F.lit(PIECES))).withColumn("nth", piece).filter(F.col("nth") <= HANDED)
         first = F.row_number().over(Window.partitionBy("view", "label").orderBy("h", "doc_id"))
         chosen = found.withColumn("nth", first).filter(F.col("nth") <= HANDED).select("view", "label", "doc_id", "features").orderBy("view", "label", "nth").collect()  # at most 4 * HANDED rows
         for view in given:
