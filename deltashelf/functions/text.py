@@ -114,6 +114,22 @@ def general(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", c), r"0+$", ""), r"\.$", "")
 
 
+def six_digits(c: Column) -> Column:
+    """A number of less than a million by at most six significant digits, rounded half up, without trailing zeros."""
+    exact = c.cast("decimal(18,6)")
+    cases = F.round(exact, 5)
+    for whole in range(2, 7):
+        cases = F.when(F.abs(exact) >= 10 ** (whole - 1), F.round(exact, 6 - whole).cast("decimal(18,5)")).otherwise(cases)
+    return F.regexp_replace(F.regexp_replace(cases.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def title_case(c: Column) -> Column:
+    """Each run of letters with its first letter large and the others small; runs also start behind digits and marks."""
+    parts = F.split(F.lower(c), r"(?<=[^a-z])(?=[a-z])")
+    return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000))), "")
+
+
 def clip(c: Column, most: int) -> Column:
-    """The text, or an error when it is longer than allowed."""
-    return F.when(F.length(c) > most, F.raise_error(F.lit(f"text longer than {most}")).cast("string")).otherwise(c)
+    """The stripped text, null if empty, or an error when it is longer than allowed."""
+    bare = F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return F.when(F.length(bare) > most, F.raise_error(F.lit(f"text longer than {most}")).cast("string")).otherwise(bare)
