@@ -128,6 +128,16 @@ def compared(now: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.withColumn("state", state)
 
 
+def digests(files: DataFrame) -> DataFrame:
+    """Path, size and SHA-256 of files read as binaryFile, each of which must fit a row (2 GB)."""
+    return files.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def empty_tables(counts: DataFrame) -> DataFrame:
+    """The tables that an audit found without rows: table."""
+    return counts.filter(F.col("check").startswith("rows:") & (F.col("n") == 0)).select(F.substring_index("check", ":", -1).alias("table"))
+
+
 def _linked(spans: DataFrame, shift: int) -> DataFrame:
     """lo, hi of disjoint spans with the end of the one before and the start of the one after."""
     whole = shift >= 64

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import desk, health, normalize, pages, telemetry
+from ..operators import desk, health, normalize, pages, state, telemetry
 from ..schema import REASON_CODES
 from . import catalogue, views
 from .views import Queries, sql, table
@@ -309,3 +309,9 @@ def outbox_drain(spark, sf_dir):
 @Q.add("SELECT page_id, CASE WHEN length(url) > 12 THEN array_to_string([CASE WHEN i = 1 OR NOT regexp_matches(u[i - 1], '[A-Za-z]') THEN upper(u[i]) ELSE lower(u[i]) END for i in range(1, length(u) + 1)], '') END AS title FROM (SELECT page_id, url, regexp_replace(url, '[^ -~]', '', 'g') AS u FROM pages)")
 def title_case(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.when(F.length("url") > 12, text.title_case(F.regexp_replace("url", "[^ -~]", ""))).alias("title"))
+
+
+@Q.add("SELECT t AS \"table\" FROM (SELECT 'parts' AS t, count(*) AS n FROM part UNION ALL SELECT 'free', count(*) FROM lineitem WHERE l_quantity < 0 UNION ALL SELECT 'orders', count(*) FROM orders) WHERE n = 0")
+def archive_empty_tables(spark, sf_dir):
+    tables = {"parts": table(spark, sf_dir, "part"), "free": table(spark, sf_dir, "lineitem").filter("l_quantity < 0"), "orders": table(spark, sf_dir, "orders")}
+    return state.empty_tables(state.audit(tables, []))

@@ -1,10 +1,12 @@
 """Small cases of the desk, page and telemetry operators: errors, nulls, ties, empty tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from deltashelf.functions import text
-from deltashelf.operators import desk, normalize, pages, telemetry
+from deltashelf.operators import desk, normalize, pages, state, telemetry
 from deltashelf.schema import REASON_CODES
 
 
@@ -88,3 +90,10 @@ def test_planning_and_totals(spark):
     assert [x.source for x in telemetry.planned(r).collect()] == ["a"] and telemetry.planned(r, "b").count() == 0
     none = spark.createDataFrame([], "source string, fetched boolean, result string, n_events int, error string")
     assert telemetry.run_totals(telemetry.run_stats(none)).collect()[0] == (0, 0, 0, 0)
+
+
+def test_file_digests(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"abc")
+    (tmp_path / "b").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[-1]: (r.n_bytes, r.sha256) for r in state.digests(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert got["a"] == (3, hashlib.sha256(b"abc").hexdigest()) and got.get("b", (0, ""))[0] == 0
