@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, jaccard_join, packing, quality, secrets, substring_dedup, suffix_dedup, warc
+from . import ann, audit, bpe, exact_dedup, jaccard_join, packing, pieces, quality, secrets, substring_dedup, suffix_dedup, warc
 
 
 def _path(name: str) -> str:
@@ -70,6 +70,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(_read(spark, sf_dir, "documents")).drop("leads", "kf", "kr")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(_read(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -113,9 +121,32 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(r), d.doc_id) AS c
 """
 
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT part, doc_id, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM t
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+k AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (SELECT [p.i, q.i, r.i, s.i, u.i] AS o FROM letters p, letters q, letters r, letters s, letters u WHERE len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5),
+steps AS (SELECT o, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step FROM orders, (SELECT i AS step FROM letters)),
+z AS (
+  SELECT part, filter_order, step, o[step] AS own, n, g, x, fails[o[step]] AS now, len(list_filter(o[1 : step - 1], lambda i: fails[i])) > 0 AS before,
+    len(list_filter(fails, lambda y: y)) = 1 AS alone FROM steps, k
+), r AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (NOT before AND NOT now) AS kept, sum(n) FILTER (NOT before AND now) AS removed, sum(n) FILTER (before AND now) AS redundant, sum(n) FILTER (now AND alone) AS unique_fails,
+    sum(g) FILTER (NOT before AND now) AS good_lost, sum(x) FILTER (NOT before AND now) AS toxic_lost FROM z GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_packing, op4_exact_dedup, op5_suffix_dedup, op6_substring_dedup, op7_bpe, op8_nearest, op9_warc, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_packing, op4_exact_dedup, op5_suffix_dedup, op6_substring_dedup, op7_bpe, op8_nearest, op9_warc, op10_jaccard_join, op11_sentencepiece, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op12_filter_audit": OP12_SQL}
