@@ -67,12 +67,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df written as a table bucketed by key in the shared folder, so that later joins on key leave it in place."""
+def bucketed(df: DataFrame, key: str, name: str, dealt: bool = True) -> DataFrame:
+    """df written as a table bucketed by key in the shared folder, so that later joins on key leave it in place.
+
+    Rows are dealt out by key first, so that a bucket is one file; few and large ones can go as they are.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"llm_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.option("compression", "zstd").option("path", scratch(spark, name)).bucketBy(n, key).format("parquet").saveAsTable(table)
+    (df.repartition(n, key) if dealt else df).write.option("compression", "zstd").option("path", scratch(spark, name)).bucketBy(n, key).format("parquet").saveAsTable(table)
     release(spark)
     return spark.table(table)
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bucketed
 
 #: The white-space marker (fixed value).
 MARK = "▁"
@@ -94,9 +94,15 @@ def _unpacked(data: bytes) -> list[bytes]:
     return [raw[at + a : at + b] for a, b in zip([0, *ends], ends)]
 
 
-def _plan(codes: np.ndarray) -> tuple[bytes, bytes]:
-    """Numbers as two planes of 16 bits, which compress better apart."""
-    return (codes & 0xFFFF).astype("<u2").tobytes(), (codes >> 16).astype("<u2").tobytes()
+def _planes(numbers: np.ndarray) -> list[bytes]:
+    """Numbers as planes of bytes, the low ones first, which compress better apart."""
+    numbers = numbers.astype(np.uint64)
+    many = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return [((numbers >> np.uint64(8 * i)) & np.uint64(255)).astype(np.uint8).tobytes() for i in range(many)]
+
+
+def _numbers(planes: list[bytes]) -> np.ndarray:
+    return sum((np.frombuffer(p, np.uint8).astype(np.int64) << 8 * i for i, p in enumerate(planes)), np.int64(0))
 
 
 def _blocks(buckets: int, id_type: pa.DataType):
@@ -104,19 +110,21 @@ def _blocks(buckets: int, id_type: pa.DataType):
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(id_type)), ("pack", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = itertools.count(TaskContext.get().partitionId() << 24)
+        blocks = itertools.count(TaskContext.get().partitionId() << 24)
 
         def ended(ids: list, sizes: list[int], parts: list[np.ndarray], known: dict[str, int]) -> pa.RecordBatch:
-            block = next(number)
+            block = next(blocks)
             raw = [c.encode("utf-8", "surrogatepass") for c in known]
+            codes = np.concatenate([np.zeros(0, np.uint32), *parts])
             bucket = np.fromiter((zlib.crc32(c) % buckets for c in raw), np.int64, len(raw))
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            codes = place[np.concatenate(parts)] if parts else np.zeros(0, np.int64)
+            # in a bucket the frequent first and rare ones by their letters: small numbers and like neighbours compress well
+            letters = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+            order = letters[np.lexsort((-np.bincount(codes, minlength=len(raw))[letters], bucket[letters]))]
             names, first = np.unique(bucket[order], return_index=True)
             ends = [*first[1:].tolist(), len(order)]
-            packs = [_packed(np.array(sizes, "<u8"), *_plan(codes))]
+            number = np.empty(len(order), np.int64)
+            number[order] = (np.arange(len(order)) - np.repeat(first, np.diff([*first, len(order)]))) * buckets + bucket[order]
+            packs = [_packed(np.array(sizes, "<u8"), *_planes(number[codes]))]
             for a, b in zip(first.tolist(), ends):
                 own = [raw[i] for i in order[a:b].tolist()]
                 packs.append(_packed(np.fromiter(map(len, own), "<u4", len(own)), b"".join(own)))
@@ -160,35 +168,37 @@ def _segmented(path: str):
                 for c, ids in zip(new, model.segment([c.decode("utf-8", "surrogatepass") for c in new])):
                     known[c] = np.array(ids, "<u4").tobytes()
                 got = [known[c] for c in chunks]
-                packs.append(_packed(np.fromiter(map(len, got), "<u4", len(got)) // 4, *_plan(np.frombuffer(b"".join(got), "<u4"))))
+                packs.append(_packed(np.fromiter(map(len, got), "<u4", len(got)) // 4, *_planes(np.frombuffer(b"".join(got), "<u4"))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(packs, pa.binary())], ["block", "bucket", "pack"])
 
     return run
 
 
-def _joined(path: str, with_ids: bool):
+def _joined(path: str, buckets: int, with_ids: bool):
     """Ids and decoded texts of a block's rows, from the numbers of their chunks and the answers of all its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
             for k in range(batch.num_rows):
-                sizes, low, high = _unpacked(batch.column("pack")[k].as_py())
-                sizes = np.frombuffer(sizes, "<u8").astype(np.int64)
-                codes = np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
+                sizes, *planes = _unpacked(batch.column("pack")[k].as_py())
+                sizes, codes = np.frombuffer(sizes, "<u8").astype(np.int64), _numbers(planes)
                 many, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                answers = batch.column("answers")[k].as_py() or []
-                for answer in sorted(answers, key=lambda x: x["bucket"]):
-                    counts, low, high = _unpacked(answer["pack"])
+                starts, total = np.full(buckets, -1, np.int64), 0
+                for answer in sorted(batch.column("answers")[k].as_py() or [], key=lambda x: x["bucket"]):
+                    counts, *planes = _unpacked(answer["pack"])
                     many.append(np.frombuffer(counts, "<u4").astype(np.int64))
-                    flat.append(np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16)
+                    flat.append(_numbers(planes))
+                    starts[answer["bucket"]] = total
+                    total += len(many[-1])
+                if len(codes) and int(starts[codes % buckets].min()) < 0:
+                    raise ValueError("a block lacks answers")
+                codes = starts[codes % buckets] + codes // buckets
                 many, flat = np.concatenate(many), np.concatenate(flat).tolist()
                 ends = np.cumsum(many).tolist()
                 chunks = [flat[a:b] for a, b in zip([0, *ends], ends)]
                 said = [",".join(map(str, c)) for c in chunks]
                 text = model.texts(chunks)
-                if len(codes) and int(codes.max()) >= len(chunks):
-                    raise ValueError("a block lacks answers")
                 n, sha, sha2, all_ids, texts = [], [], [], [], []
                 at = 0
                 for size in sizes.tolist():
@@ -228,13 +238,13 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     buckets = min(MOST, max(FEWEST, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = _arrow_type(rows)
-    blocks = stored(rows.mapInArrow(_blocks(buckets, id_type), f"block long, bucket int, ids array<{kind}>, pack binary"), "pieces-blocks")
+    # each task's blocks go to the files of their buckets as they are, so that answers come to them and they stay in place
+    blocks = bucketed(rows.mapInArrow(_blocks(buckets, id_type), f"block long, bucket int, ids array<{kind}>, pack binary"), "block", "pieces", dealt=False)
     asked = blocks.filter("bucket >= 0").select("block", "bucket", "pack").repartition("bucket").sortWithinPartitions("bucket")
-    answers = stored(asked.mapInArrow(_segmented(path), "block long, bucket int, pack binary"), "pieces-answers")
-    of_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "pack")).alias("answers"))
-    both = blocks.filter("bucket < 0").select("block", "ids", "pack").join(of_block, "block", "left")
+    answers = asked.mapInArrow(_segmented(path), "block long, bucket int, pack binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "pack")).alias("answers"))
+    both = blocks.filter("bucket < 0").select("block", "ids", "pack").join(answers.hint("merge"), "block", "left")
     more = ", ids array<long>, decoded string" if with_ids else ""
-    return both.mapInArrow(_joined(path, with_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return both.mapInArrow(_joined(path, buckets, with_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def _arrow_type(rows: DataFrame) -> pa.DataType:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bpe, exact_dedup, jaccard_join, packing, pieces, quality, secrets, substring_dedup, suffix_dedup, warc
+from . import ann, audit, bpe, exact_dedup, jaccard_join, packing, pieces, quality, secrets, spelling, substring_dedup, suffix_dedup, warc
 
 
 def _path(name: str) -> str:
@@ -78,6 +78,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -144,9 +148,31 @@ SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS k
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i::UBIGINT AS v FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM bits WHERE k < 8),
+tbl AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS n FROM d WHERE length(w) >= 6 GROUP BY ALL),
+crc AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode(s))), lambda i: ('0x' || substr(hex(encode(s)), 2 * i::INTEGER + 1, 2))::UBIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::INTEGER + 1])), 4294967295::UBIGINT) AS h FROM (SELECT w, n, coalesce(doc_id::VARCHAR, '') || ':' || w AS s FROM c), tbl
+), named AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, n FROM crc),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM named WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+dele AS (SELECT word, n, i, substr(word, 1, i::INTEGER) || substr(word, i::INTEGER + 2) AS x FROM v, unnest(range(length(word))) r(i)),
+pairs AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM dele a JOIN dele b ON a.x = b.x AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, b.word, b.n FROM dele a JOIN v b ON a.x = b.word
+  UNION SELECT DISTINCT b.word, a.word, a.n FROM dele a JOIN v b ON a.x = b.word
+), near AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM pairs GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN near USING (word)),
+up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f e ON e.word = up.root WHERE e.form IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_packing, op4_exact_dedup, op5_suffix_dedup, op6_substring_dedup, op7_bpe, op8_nearest, op9_warc, op10_jaccard_join, op11_sentencepiece, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_packing, op4_exact_dedup, op5_suffix_dedup, op6_substring_dedup, op7_bpe, op8_nearest, op9_warc, op10_jaccard_join, op11_sentencepiece, op12_filter_audit, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_spelling": OP13_SQL}
