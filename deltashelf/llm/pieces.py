@@ -33,6 +33,8 @@ CHUNKS = re.compile(" +[^ ]*")
 BLOCK = 24 << 20
 #: What a row counts besides its text, so that empty ones fill blocks too.
 PER_ROW = 16
+#: Chunks whose ids are turned to text at once.
+SLICE = 1 << 16
 #: Buckets for each shuffle partition, and their bounds.
 BUCKETS, FEWEST, MOST = 4, 64, 8192
 #: Distinct chunks that a bucket remembers at once; beyond it forgets them all and may segment some again.
@@ -194,11 +196,15 @@ def _joined(path: str, buckets: int, with_ids: bool):
                 if len(codes) and int(starts[codes % buckets].min()) < 0:
                     raise ValueError("a block lacks answers")
                 codes = starts[codes % buckets] + codes // buckets
-                many, flat = np.concatenate(many), np.concatenate(flat).tolist()
-                ends = np.cumsum(many).tolist()
-                chunks = [flat[a:b] for a, b in zip([0, *ends], ends)]
-                said = [",".join(map(str, c)) for c in chunks]
-                text = model.texts(chunks)
+                many, flat = np.concatenate(many), np.concatenate(flat)
+                ends = np.cumsum(many)
+                starts, said, text = ends - many, [], []
+                for low in range(0, len(many), SLICE):
+                    own = flat[starts[low] : ends[min(low + SLICE, len(many)) - 1]].tolist()
+                    cuts = (ends[low : low + SLICE] - starts[low]).tolist()
+                    chunks = [own[a:b] for a, b in zip([0, *cuts], cuts)]
+                    said += [",".join(map(str, c)) for c in chunks]
+                    text += model.texts(chunks)
                 n, sha, sha2, all_ids, texts = [], [], [], [], []
                 at = 0
                 for size in sizes.tolist():
@@ -211,7 +217,7 @@ def _joined(path: str, buckets: int, with_ids: bool):
                     decoded = "".join([text[c] for c in own])[1:]
                     sha2.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                     if with_ids:
-                        all_ids.append([i for c in own for i in chunks[c]])
+                        all_ids.append([i for c in own for i in flat[starts[c] : ends[c]].tolist()])
                         texts.append(decoded)
                 ids = batch.column("ids")[k].values
                 columns, names = [ids, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(sha2, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
