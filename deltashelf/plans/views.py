@@ -59,13 +59,18 @@ def sql(body: str, *views: str) -> str:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_events(table(spark, sf_dir, "events"))
+
+
+def as_events(rows: DataFrame) -> DataFrame:
+    """Rows of the events table as alerts."""
     k = F.get_json_object("props", "$.k").cast("int")
     names = {"signup": "new_product", "purchase": "price_changed", "click": "spec_changed", "view": "images_changed"}
     kind = F.lit("availability_changed")
     for a, b in names.items():
         kind = F.when(F.col("event_type") == a, b).otherwise(kind)
     source = F.concat(F.lit("src-"), (F.col("user_id") % 12).cast("string"))
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         F.col("event_id").alias("id"), F.col("ts").alias("detected_at"), "user_id", k.alias("k"), source.alias("collector"), F.concat(source, F.lit(":p"), F.col("user_id").cast("string")).alias("product_key"),
         kind.alias("change_type"), F.col("value").alias("magnitude_pct"), (k == 0).alias("baseline"), (k % 10 == 7).alias("unseen"), F.when(k % 2 == 0, "up").otherwise("down").alias("direction"),
     )

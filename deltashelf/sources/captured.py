@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 
 def bodies(spark: SparkSession, path: str) -> DataFrame:
     """Whole files: url (the path) and body."""
@@ -47,14 +47,6 @@ def is_index(body: Column) -> Column:
     return F.coalesce(body.rlike("(?i)<sitemapindex"), F.lit(False))
 
 
-def _checkpointed(rows: DataFrame) -> DataFrame:
-    """Rows with their lineage cut, in the folder of spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return rows.checkpoint()
-
-
 def walk_sitemaps(maps: DataFrame, roots: DataFrame, most_maps: int | None = 50, most_urls: int | None = 3000) -> DataFrame:
     """URLs of all sitemaps reachable from the roots, breadth first; a missing or broken one counts as empty.
 
@@ -66,7 +58,7 @@ def walk_sitemaps(maps: DataFrame, roots: DataFrame, most_maps: int | None = 50,
     depth = 0
     while True:
         inner = level.join(maps.filter(is_index(F.col("body"))), "url").select("source", F.explode(sitemap_urls(F.col("body"))).alias("url")).distinct()
-        level = _checkpointed(inner.join(seen.select("source", "url"), ["source", "url"], "left_anti"))
+        level = checkpointed(inner.join(seen.select("source", "url"), ["source", "url"], "left_anti"))
         if level.isEmpty():
             break
         depth += 1
