@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import same_product
+from ..shared import stored
 from .state import latest
 
 NEWEST = ("last_seen", "id")
@@ -22,8 +23,6 @@ def resolve_prior(incoming: DataFrame, listings: DataFrame) -> DataFrame:
     same = listings.select("product_key", F.lit(True).alias("same")).distinct()
     sku = listings.filter("vendor_sku is not null and vendor_sku <> ''")
     # the two newest listings of a SKU suffice: at most one of them is the record's own
-    from pyspark.sql import Window
-
     ranked = sku.withColumn("rn", F.row_number().over(Window.partitionBy("vendor_sku").orderBy(*newest))).filter("rn <= 2")
     by_sku = ranked.groupBy("vendor_sku").agg(F.sort_array(F.collect_list(F.struct("rn", F.col("product_key").alias("k")))).alias("sku_keys"))
     by_model = latest(listings, ["model_key"], newest).select("model_key", F.col("product_key").alias("model_prior"), F.col("model").alias("prior_model"), F.col("vendor_sku").alias("prior_sku"))
@@ -58,8 +57,86 @@ def link_evidence(items: DataFrame, listings: DataFrame, aliases: DataFrame) ->
 
 def unseen(components: DataFrame, known: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Adds is_unseen: the first sighting, in processing order, of a component that is not known. A null name can't be judged."""
-    from pyspark.sql import Window
-
     flags = known.select(name).distinct().withColumn("_known", F.lit(True))
     first = F.row_number().over(Window.partitionBy(name).orderBy(*order)) == 1
     return components.join(flags, name, "left").withColumn("is_unseen", F.when(F.col(name).isNotNull(), F.col("_known").isNull() & first)).drop("_known")
+
+
+#: Orders that one window holds at most, as a power of two.
+SPAN = 16
+
+
+def earlier(rows: DataFrame, key: list[str], order: Column, value: Column, name: str) -> DataFrame:
+    """Adds the last value, nulls aside, of the key's rows of smaller order (a whole number, one row each).
+
+    Windows hold at most 2^16 orders; what stands before each is handed on from one to the next, so no task takes a key.
+    """
+    rows = rows.withColumns({"_order": order, "_value": value}).withColumn("_span", F.shiftright("_order", SPAN))
+    inside = Window.partitionBy(*key, "_span").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*key, "_span").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_order"))).alias("_end")).withColumn("_end", F.last("_end", ignorenulls=True).over(along))
+    out = rows.withColumn(name, F.last("_value", ignorenulls=True).over(inside)).join(ends, [*key, "_span"], "left")
+    return out.withColumn(name, F.coalesce(name, "_end")).drop("_order", "_value", "_span", "_end")
+
+
+def resolve_in_order(incoming: DataFrame, listings: DataFrame) -> DataFrame:
+    """What each record of a batch belongs to if records come one after the other and each sees the table and all before it.
+
+    incoming: at (whole number, one a record), product_key, model, model_key, vendor_sku. listings as for
+    resolve_prior, one row a product_key. Adds prior_key, relation, and prior_at: the record of the batch that was
+    the prior's last one, null if that is the table's. A listing keeps the model key of its first record; its SKU is
+    the last one that wasn't null; the prior's own SKU and model decide on vetoes. Empty SKUs lead nowhere.
+
+    A record looks up what came just before it under its SKU, and under its model key. What has changed its
+    SKU meanwhile is stepped over, to what came before that, until no such step is left.
+    """
+    known = listings.select("product_key", F.col("model").alias("t_model"), F.col("model_key").alias("t_key"), F.col("vendor_sku").alias("t_sku"), "last_seen", "id")
+    firsts = incoming.groupBy("product_key").agg(F.min("at").alias("first_at"), F.min_by("model_key", "at").alias("first_key"))
+    rows = incoming.select("at", "product_key", "model", "model_key", "vendor_sku").join(firsts, "product_key").join(known.select("product_key", "t_key", "t_sku", F.lit(True).alias("in_table")), "product_key", "left")
+    rows = earlier(rows, ["product_key"], F.col("at"), F.col("vendor_sku"), "old_sku")
+    rows = earlier(rows, ["product_key"], F.col("at"), F.col("at"), "own_at")
+    rows = rows.withColumn("old_sku", F.coalesce("old_sku", "t_sku")).withColumn("sku", F.coalesce("vendor_sku", "old_sku"))
+    moved = F.when(~F.col("sku").eqNullSafe(F.col("old_sku")) & (F.col("in_table") | (F.col("at") != F.col("first_at"))), F.col("at"))
+    rows = stored(earlier(rows.withColumn("moved", moved), ["product_key"], -F.col("at"), F.col("moved"), "until"), "resolve-rows")
+
+    # under each SKU: records, listings of the table that change theirs in this batch, and of the others the newest
+    place = lambda at, k, sku, model, until: F.struct(at.alias("at"), k.alias("k"), sku.alias("sku"), model.alias("model"), until.alias("until"))
+    none = F.lit(None).cast("long")
+    leaving = rows.filter("in_table").groupBy("product_key").agg(F.min("moved").alias("until")).filter("until is not null")
+    table = known.filter("t_sku <> ''").join(leaving, "product_key", "left")
+    nth = F.row_number().over(Window.partitionBy("t_sku").orderBy(F.desc("last_seen"), F.desc("id")))
+    stays = table.filter("until is null").groupBy("t_sku").agg(F.max_by(F.struct("product_key", "t_model", "last_seen", "id", "until"), F.struct("last_seen", "id")).alias("x")).select("t_sku", "x.*")
+    table = table.filter("until is not null").select(*stays.columns).unionByName(stays).withColumn("at", -nth.cast("long"))
+    under_sku = rows.filter("sku <> ''").select(F.col("sku").alias("g"), place(F.col("at"), F.col("product_key"), F.col("vendor_sku"), F.col("model"), F.col("until")).alias("x"))
+    under_sku = under_sku.unionByName(table.select(F.col("t_sku").alias("g"), place(F.col("at"), F.col("product_key"), F.col("t_sku"), F.col("t_model"), F.col("until")).alias("x")))
+    under_sku = stored(earlier(under_sku, ["g"], F.col("x.at"), F.col("x"), "before"), "resolve-sku")
+
+    # only the first record of a listing that the table lacks looks elsewhere
+    fresh = rows.filter("in_table is null and at = first_at")
+    asked = fresh.filter("vendor_sku <> ''").select("at", F.col("vendor_sku").alias("g"))
+    open_ = asked.join(under_sku.select("g", F.col("x.at").alias("at"), "before"), ["g", "at"]).filter("before is not null")
+    found = None
+    while True:
+        open_ = stored(open_, "resolve-open")
+        done = open_.filter(F.coalesce(F.col("before.until") > F.col("at"), F.lit(True))).select("at", F.col("before").alias("by_sku"))
+        found = done if found is None else found.unionByName(done)
+        open_ = open_.filter("before.until <= at")
+        if open_.isEmpty():
+            break
+        steps = under_sku.select("g", F.col("x.at").alias("_at"), F.col("before").alias("_further"))
+        open_ = open_.withColumn("_at", F.col("before.at")).join(steps, ["g", "_at"]).filter("_further is not null").select("g", "at", F.col("_further").alias("before"))
+
+    by_key = rows.select(F.coalesce("t_key", "first_key").alias("g"), place(F.col("at"), F.col("product_key"), F.col("vendor_sku"), F.col("model"), none).alias("x"))
+    newest = known.groupBy(F.col("t_key").alias("g")).agg(F.max_by(place(F.lit(-1).cast("long"), F.col("product_key"), F.col("t_sku"), F.col("t_model"), none), F.struct("last_seen", "id")).alias("x"))
+    by_key = earlier(by_key.unionByName(newest).filter("g is not null"), ["g"], F.col("x.at"), F.col("x"), "by_key").select(F.col("x.at").alias("at"), F.col("g").alias("model_key"), "by_key").filter("at >= 0")
+
+    out = rows.join(found, "at", "left").join(by_key.select("at", "by_key"), "at", "left")
+    full = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    veto = full("vendor_sku") & full("by_key.sku") & (F.col("vendor_sku") != F.col("by_key.sku"))
+    other = F.coalesce("by_sku", F.when(~veto & same_product(F.col("by_key.model"), F.col("model")), F.col("by_key")))
+    new = F.col("in_table").isNull() & (F.col("at") == F.col("first_at"))
+    prior = F.when(new, other["k"]).otherwise(F.col("product_key"))
+    relation = F.when(~new, "same_listing").when(prior.isNotNull(), "existing_product").otherwise("none")
+    prior_at = F.when(new, F.when(other["at"] >= 0, other["at"])).otherwise(F.col("own_at"))
+    out = out.select("at", prior.alias("prior_key"), relation.alias("relation"), prior_at.alias("prior_at"))
+    return incoming.join(out, "at")
