@@ -22,6 +22,26 @@ def nodes(pages: DataFrame, html: str = "html", of_type: str | None = None) -> D
     return out if of_type is None else out.filter(is_type("node", of_type))
 
 
+def node_list(html: Column) -> Column:
+    """The nodes of a page as an array of VARIANT objects, as `nodes` finds them."""
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    is_a = lambda v, kind: F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+    def of_block(raw: Column) -> Column:
+        v = F.try_parse_json(F.trim(raw))
+        graph = get(v, '$["@graph"]', "variant")
+        none = F.array().cast("array<variant>")
+        return F.when(is_a(v, "ARRAY"), get(v, "$", "array<variant>")).when(is_a(graph, "ARRAY"), get(graph, "$", "array<variant>")).when(is_a(v, "OBJECT"), F.array(v)).otherwise(none)
+
+    return F.filter(F.flatten(F.transform(blocks(html), of_block)), lambda v: is_a(v, "OBJECT"))
+
+
+def is_product(node: Column) -> Column:
+    """As is_type for Product, of a column."""
+    one, many = F.lower(F.try_variant_get(node, '$["@type"]', "string")), F.try_variant_get(node, '$["@type"]', "array<string>")
+    return F.coalesce(one == "product", F.lit(False)) | F.coalesce(F.exists(many, lambda t: F.lower(t) == "product"), F.lit(False))
+
+
 def is_type(node: str, name: str) -> Column:
     """Whether the node's @type, a text or a list of them, is the name, case aside."""
     one = F.lower(F.expr(f"try_variant_get({node}, '$[\"@type\"]', 'string')"))

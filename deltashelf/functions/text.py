@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named character references: those of HTML 4, and the apostrophe.
-ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
-REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+#: Named character references of HTML 5, by their first two letters; those whose name ends without a semicolon also stand before other letters.
+ENTITIES: dict[str, dict[str, str]] = {}
+for _name, _value in sorted(html5.items()):
+    ENTITIES.setdefault(_name[:2], {})[_name] = _value
+BARE = sorted({len(name) for name in html5 if not name.endswith(";")}, reverse=True)
+#: Characters of the second control block, as Windows has them; five places stay controls.
+WINDOWS = [x if (x := bytes([n]).decode("cp1252", "replace")) != "\ufffd" else chr(n) for n in range(0x80, 0xA0)]
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def squeeze(c: Column) -> Column:
@@ -19,20 +25,29 @@ def squeeze(c: Column) -> Column:
 
 
 def code_point(number: Column) -> Column:
-    """The character of a code point; the replacement character where there is none."""
+    """The character that a numeric reference stands for: those of Windows for the second control block, none for other controls and non-characters, the replacement character where there is none."""
+    old = F.try_element_at(F.array(*map(F.lit, WINDOWS)), (number - 0x7F).cast("int"))
+    nothing = number.between(1, 8) | number.isin(11, 127) | number.between(14, 31) | number.between(0xFDD0, 0xFDEF) | (F.pmod(number, F.lit(0x10000)) >= 0xFFFE)
     fine = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    return F.when(number.between(0x80, 0x9F), old).when(fine & nothing, "").when(fine, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
 def unescape(c: Column) -> Column:
-    """Numeric and named character references, each decoded once; unknown names stay."""
-    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    """Numeric and named character references, each decoded once, as HTML 5 reads them; unknown names stay.
+
+    Of a name that isn't known the longest known start is decoded, if that needs no semicolon.
+    """
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,map<string,string>>")
 
     def decoded(ref: Column) -> Column:
-        body = F.substring_index(F.substring_index(ref, ";", 1), "&", -1)
-        hexed = F.conv(F.substring(body, 3, 8), 16, 10).cast("long")
-        plain = F.substring(body, 2, 8).try_cast("long")
-        return F.when(F.lower(F.substring(body, 1, 2)) == "#x", code_point(hexed)).when(F.substring(body, 1, 1) == "#", code_point(plain)).otherwise(F.coalesce(F.try_element_at(names, body), ref))
+        body = F.substr(ref, F.lit(2))
+        digits = lambda at: F.regexp_replace(F.rtrim(F.substr(body, F.lit(at)), F.lit(";")), "^0+(?=.)", "")
+        plain = F.when(F.length(digits(2)) <= 7, digits(2).try_cast("long")).otherwise(0x110000)
+        hexed = F.when(F.length(digits(3)) <= 6, F.conv(digits(3), 16, 10).try_cast("long")).otherwise(0x110000)
+        own = F.try_element_at(names, F.left(body, F.lit(2)))
+        starts = [F.when(F.length(body) > n, F.concat(F.try_element_at(own, F.left(body, F.lit(n))), F.substr(body, F.lit(n + 1)))) for n in BARE]
+        named = F.coalesce(F.try_element_at(own, body), *starts, ref)
+        return F.when(F.lower(F.left(body, F.lit(2))) == "#x", code_point(hexed)).when(F.left(body, F.lit(1)) == "#", code_point(plain)).otherwise(named)
 
     between = F.split(c, REFERENCE, -1)
     found = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), decoded)
@@ -126,7 +141,7 @@ def six_digits(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Each run of letters with its first letter large and the others small; runs also start behind digits and marks."""
     parts = F.split(F.lower(c), r"(?<=[^a-z])(?=[a-z])")
-    return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000))), "")
+    return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), "")
 
 
 def clip(c: Column, most: int) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.jsonld import blocks
+from ..shared import stored
 
 #: What tells a wall at any status, what does so only beside 403 or 503, and marks of platforms.
 STRONG_MARKS = ("checking your browser", "cf-chl", "just a moment", "attention required", "are you a human", "verify you are human", "solve the captcha")
@@ -53,47 +51,56 @@ def canonical(html: Column, url: Column) -> Column:
     return text.url_normal(F.coalesce(F.nullif(F.regexp_extract(tag, r"(?i)\bhref=[\"']([^\"']+)", 1), F.lit("")), url))
 
 
-def _product(raw: list[str]) -> dict | None:
-    """The first object of @type Product at any depth, in reading order; text that is no JSON is skipped."""
-    for one in raw:
-        try:
-            todo = [json.loads(one)]
-        except ValueError:
-            continue
-        while todo:
-            v = todo.pop()
-            if isinstance(v, list):
-                todo.extend(reversed(v))
-            elif isinstance(v, dict):
-                kind = v.get("@type")
-                if kind == "Product" or (isinstance(kind, list) and "Product" in kind):
-                    return v
-                todo.extend(reversed(list(v.values())))
-    return None
-
-
-FACTS = "model string, sku string, price string, availability string, found boolean"
-
-
-def _facts(raw: pd.Series) -> pd.DataFrame:
-    show = lambda x: None if x is None else str(x)
-    rows = []
-    for blocks_ in raw:
-        p = _product(list(blocks_) if blocks_ is not None else [])
-        offer = (p or {}).get("offers") or {}
-        if isinstance(offer, list):
-            offer = offer[0] if offer else {}
-        offer = offer if isinstance(offer, dict) else {}
-        rows.append((show((p or {}).get("name")), show((p or {}).get("sku") or (p or {}).get("mpn")), show(offer.get("price")), show(offer.get("availability")), p is not None))
-    return pd.DataFrame(rows, columns=["model", "sku", "price", "availability", "found"])
+def _kind(text_: Column, kinds: Column) -> Column:
+    return F.zip_with(text_, kinds, lambda t, k: F.struct(t.alias("text"), F.substring_index(F.substring_index(k, "<", 1), "(", 1).alias("kind")))
+
+
+def _inside(text_: str, kind: str) -> Column:
+    """The members of an object, or elements of a list, in the order in which they are written: an array of (text, kind)."""
+    parts = lambda f, to: f(F.from_json(text_, to))
+    same = lambda c: c
+    kinds = lambda values: F.transform(values, F.schema_of_variant)
+    members = _kind(parts(F.map_values, "map<string,string>"), kinds(parts(F.map_values, "map<string,variant>")))
+    return F.when(F.col(kind) == "OBJECT", members).otherwise(_kind(parts(same, "array<string>"), kinds(parts(same, "array<variant>"))))
+
+
+def first_products(texts: DataFrame) -> DataFrame:
+    """Of each row of JSON texts (id, raw: array of texts) the first object of @type Product at any depth, in reading order: id, product.
+
+    Texts that are no JSON are skipped. All rows go down one level at a time, with the place of each part, until no objects or lists are left; what
+    is found is not entered.
+    """
+    level = texts.select("id", F.posexplode("raw").alias("block", "text")).withColumn("v", F.try_parse_json("text"))
+    level = level.select("id", F.array("block").alias("place"), "text", F.substring_index(F.substring_index(F.schema_of_variant("v"), "<", 1), "(", 1).alias("kind"))
+    found = None
+    while True:
+        level = stored(level.filter(F.col("kind").isin("OBJECT", "ARRAY")), "json-level")
+        if level.isEmpty():
+            break
+        v = F.try_parse_json("text")
+        named = F.coalesce(F.try_variant_get(v, '$["@type"]', "string") == "Product", F.lit(False)) | F.coalesce(F.array_contains(F.try_variant_get(v, '$["@type"]', "array<string>"), "Product"), F.lit(False))
+        hit = (F.col("kind") == "OBJECT") & named
+        got = level.filter(hit).select("id", "place", "text")
+        found = got if found is None else found.unionByName(got)
+        level = level.filter(~hit).select("id", "place", F.posexplode(_inside("text", "kind")).alias("at", "x")).select("id", F.concat("place", F.array("at")).alias("place"), "x.text", "x.kind")
+    if found is None:
+        return texts.select("id", F.lit(None).cast("string").alias("product")).limit(0)
+    return found.groupBy("id").agg(F.min_by("text", "place").alias("product"))
 
 
 def product_identity(pages: DataFrame) -> DataFrame:
     """Identity of pages (url, html) that state a Product in JSON-LD: by SKU with high confidence, else by the last part of the address."""
-    got = pages.withColumn("p", F.pandas_udf(_facts, FACTS)(F.transform(blocks(F.col("html")), F.trim))).filter("p.found")
-    sku = F.col("p.sku")
-    key = F.coalesce(F.concat(F.lit("sku:"), F.lower(sku)), F.concat(F.lit("url:"), F.lower(text.url_slug(F.col("url")))))
-    return got.select("url", "p.model", "p.sku", canonical(F.col("html"), F.col("url")).alias("canonical_url"), "p.price", "p.availability", key.alias("identity_key"), F.when(sku.isNotNull(), "high").otherwise("medium").alias("confidence"))
+    rows = pages.select("url", canonical(F.col("html"), F.col("url")).alias("canonical_url"), F.transform(blocks(F.col("html")), F.trim).alias("raw"))
+    rows = stored(rows.filter(F.size("raw") > 0).withColumn("id", F.monotonically_increasing_id()), "json-pages")
+    p = F.from_json("product", "map<string,string>")
+    full = lambda c: F.nullif(c, F.lit(""))
+    offers = F.try_variant_get(F.try_parse_json("product"), "$.offers", "variant")
+    offer = F.coalesce(F.try_variant_get(offers, "$[0]", "variant"), offers)
+    of = lambda k: F.try_variant_get(offer, f"$.{k}", "string")
+    got = first_products(rows).withColumns({"model": F.try_element_at(p, F.lit("name")), "sku": F.coalesce(full(F.try_element_at(p, F.lit("sku"))), full(F.try_element_at(p, F.lit("mpn")))), "price": of("price"), "availability": of("availability")}).drop("product")
+    got = rows.drop("raw").join(got, "id")
+    key = F.coalesce(F.concat(F.lit("sku:"), F.lower("sku")), F.concat(F.lit("url:"), F.lower(text.url_slug(F.col("url")))))
+    return got.select("url", "model", "sku", "canonical_url", "price", "availability", key.alias("identity_key"), F.when(F.col("sku").isNotNull(), "high").otherwise("medium").alias("confidence"))
 
 
 def heading_identity(pages: DataFrame, maker: str) -> DataFrame:

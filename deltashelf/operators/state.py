@@ -158,3 +158,58 @@ def neighbours(rows: DataFrame, key: str) -> DataFrame:
     """
     ids = rows.select(F.col(key).cast("long").alias("lo"))
     return _linked(ids.withColumn("hi", F.col("lo")), 16).select(F.col("lo").alias(key), F.col("prev").alias("prev_id"), F.col("next").alias("next_id"))
+
+
+def content_digest(rows: DataFrame, name: str) -> DataFrame:
+    """One row: table, n, digest and schema of a table's content, whatever the order of its rows and columns or the files they lie in.
+
+    Each row is hashed by SHA-256 as JSON with its columns by name; the digest is the number of rows and the sums of the hashes'
+    quarters. Equal rows count as often as they stand. Maps, whose entries have no order, are refused.
+    """
+    columns = sorted(rows.columns)
+    row = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)), {"ignoreNullFields": "false"}), 256)
+    quarter = lambda i: F.sum(F.conv(F.substring("_row", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"q{i}")
+    sums = rows.select(row.alias("_row")).agg(F.count(F.lit(1)).alias("n"), *(quarter(i) for i in range(4)))
+    if any("map<" in f.dataType.simpleString() for f in rows.schema):
+        raise ValueError(f"{name} has a map, which has no order")
+    schema = ",".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    parts = [F.coalesce(F.col(f"q{i}"), F.lit(0)).cast("string") for i in range(4)]
+    return sums.select(F.lit(name).alias("table"), "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *parts), 256).alias("digest"), F.lit(schema).alias("schema"))
+
+
+def manifest_of(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """What an archive of these tables claims: table, n, digest, schema."""
+    out = None
+    for name, rows in tables.items():
+        one = content_digest(rows, name)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def archive_problems(tables: Mapping[str, DataFrame], manifest: DataFrame, references: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """What of an archive differs from its manifest: table, problem (missing, added, schema, rows, content or orphans). No row: it is what it claims to be."""
+    now = manifest_of(tables).select("table", F.struct("n", "digest", "schema").alias("now"))
+    both = now.join(manifest.select("table", F.struct("n", "digest", "schema").alias("then")), "table", "full_outer")
+    differs = lambda f: F.col(f"now.{f}") != F.col(f"then.{f}")
+    found = F.when(F.col("now").isNull(), F.array(F.lit("missing"))).when(F.col("then").isNull(), F.array(F.lit("added"))).otherwise(F.array_compact(F.array(F.when(differs("schema"), "schema"), F.when(differs("n"), "rows"), F.when(~differs("n") & differs("digest"), "content"))))
+    out = both.select("table", F.explode(found).alias("problem"))
+    for child, column, parent, target in references:
+        orphans = tables[child].filter(F.col(column).isNotNull()).join(tables[parent].select(F.col(target).alias(column)), column, "left_anti").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(orphans.filter("n > 0").select(F.lit(child).alias("table"), F.lit("orphans").alias("problem")))
+    return out
+
+
+def dealt_budget(items: DataFrame, budget: int, source: str = "source", key: str = "key", order: Sequence[str] = ("pos",), priority: str = "priority", limit: str | None = None) -> DataFrame:
+    """The items that a run's budget reaches: dealt in rounds, one item a source and round, sources by priority (larger first) and name.
+
+    Of items that repeat a source's key the first by order counts; items without a key are passed over; limit names a column with the
+    source's own most (null: none). Adds round and turn (1, 2, ...). The ranks before the exchange keep no more than the budget's items of a source
+    in a task, and the last choice is the top of the parts' tops, so no task takes a source or the table.
+    """
+    rows = keep_first(items.filter(F.col(key).isNotNull()), [source, key], list(order))
+    nth = F.row_number().over(Window.partitionBy(source).orderBy(*order, key))
+    most = F.lit(budget) if limit is None else F.least(F.lit(budget), F.coalesce(F.col(limit).cast("int"), F.lit(budget)))
+    rows = rows.withColumn("round", nth).filter(F.col("round") <= budget).filter(F.col("round") <= most)
+    top = rows.orderBy("round", F.desc_nulls_last(priority), F.asc_nulls_last(source)).limit(budget)
+    turn = F.row_number().over(Window.orderBy("round", F.desc_nulls_last(priority), F.asc_nulls_last(source)))
+    return top.withColumn("turn", turn)

@@ -264,10 +264,18 @@ def probe_score(spark, sf_dir):
     return normalize.probe(facts).select("p_partkey", "platform", "quality", "pursue")
 
 
-@Q.add("SELECT p_partkey, round((1 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END + 1 + CASE WHEN p_size > 20 THEN 1 ELSE 0 END) / 6 * 100, 1) AS richness FROM part")
+@Q.add("""SELECT p_partkey, round_even(CASE WHEN p_partkey % 4 = 0 THEN 100 * (a / 6.0 + 2 / 6.0) / 2 ELSE 100 * a / 6.0 END, 0)::INTEGER AS richness FROM (
+SELECT p_partkey, 1 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size > 20 THEN 1 ELSE 0 END + CASE WHEN p_size > 30 THEN 1 ELSE 0 END + 1 AS a FROM part)""")
 def jsonld_richness(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "part").select("p_partkey", normalize.richness(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "s"), F.col("p_retailprice"), F.when(F.col("p_size") > 20, "InStock"), none, F.lit("")).alias("richness"))
+    """Pages that state a product, each fourth a second one, with members that are missing, null or empty."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    node = F.concat(
+        F.lit('{"@type": "Product", "name": "'), F.col("p_name"), F.lit('", "sku": '), F.when(k % 2 == 0, '"s"').otherwise('""'), F.lit(', "mpn": '), F.when(size > 20, "0").otherwise("null"),
+        F.lit(', "offers": '), F.when(size > 30, '[{"price": 1}]').otherwise("[]"), F.lit(', "image": {}, "brand": {"name": "'), F.col("p_brand"), F.lit('"}}'),
+    )
+    second = F.when(k % 4 == 0, ', {"@type": ["Thing", "product"], "name": "x", "brand": "y"}').otherwise(', {"@type": "Brand", "name": "z"}')
+    html = F.concat(F.lit('<script type="application/ld+json">['), node, second, F.lit("]</script>"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.richness(F.filter(jsonld.node_list(html), jsonld.is_product)).alias("richness"))
 
 
 # ---- deltas
