@@ -63,8 +63,3 @@ def products(pages: DataFrame, html: str = "html") -> DataFrame:
     seen = items.select(*keep, text("node", "url").alias("seen_url")).filter("seen_url is not null").distinct()
     own = nodes(pages, html, "Product").withColumn("seen_url", text("node", "url")).join(seen, [*keep, "seen_url"], "left_anti")
     return items.unionByName(own.select(*keep, "block", "pos", F.lit(-1).alias("item"), "node"))
-
-
-def first_offer(node: str) -> str:
-    """SQL for the offers member, or the first of its list."""
-    return f"coalesce(try_variant_get({node}, '$.offers[0]', 'variant'), try_variant_get({node}, '$.offers', 'variant'))"

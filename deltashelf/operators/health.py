@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import share
@@ -65,8 +65,15 @@ def signal_rates(events: DataFrame) -> DataFrame:
     return one.select("total", "baseline", "unseen", F.round("days", 2).alias("span_days"), *(F.round(F.col(c) / F.col("days"), 2).alias(f"{c}_per_day") for c in ("total", "unseen")))
 
 
-def runtime_state(runs: DataFrame, now: Column, stale_hours: int = 24) -> DataFrame:
-    """The last finished run, and healthy, degraded or failed by its status and age."""
-    last = runs.filter("finished_at is not null").agg(F.max_by(F.struct("id", "source", "status", "finished_at"), F.struct("finished_at", "id")).alias("r")).select("r.*")
-    old = F.col("finished_at") < now - F.make_dt_interval(hours=F.lit(stale_hours))
-    return last.withColumn("state", F.when(F.col("status") == "failed", "failed").when(old, "degraded").otherwise("healthy"))
+def runtime_state(runs: DataFrame | None, writable: bool) -> DataFrame:
+    """One row: the last finished run whatever its status, the state by whether the run log exists and its folder can be written, and reasons.
+
+    Neither is failed, one of them degraded; how the last run ended, or how long ago, doesn't count.
+    """
+    state = F.lit("healthy" if runs is not None and writable else "failed" if runs is None and not writable else "degraded").alias("state")
+    why = [] if writable else ["folder not writable"]
+    if runs is None:
+        return SparkSession.active().range(1).select(F.lit(None).cast("timestamp_ntz").alias("last_finished_run"), state, F.array(*map(F.lit, ["no run log", *why])).alias("reasons"))
+    last = runs.agg(F.max("finished_at").alias("last_finished_run"))
+    reasons = F.array_compact(F.array(*map(F.lit, why), F.when(F.lit(not why) & F.col("last_finished_run").isNull(), "no finished run")))
+    return last.select("last_finished_run", state, reasons.alias("reasons"))

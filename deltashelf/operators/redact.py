@@ -34,7 +34,8 @@ def cleaned(x):
     if isinstance(x, dict):
         if isinstance(x.get("name"), str) and "value" in x and SECRET.search(x["name"]):
             return {**{k: cleaned(v) for k, v in x.items() if k != "value"}, "value": "[redacted]"}
-        return {k: "[redacted]" if SECRET.search(k) and not isinstance(v, dict | list) else [] if k in ("cookies",) else cleaned(v) for k, v in x.items()}
+        # the cookies of a record are a list that stays one; anything else under a telling name goes whole
+        return {k: [] if k == "cookies" and isinstance(v, list) else "[redacted]" if SECRET.search(k) else cleaned(v) for k, v in x.items()}
     if isinstance(x, list):
         return [cleaned(v) for v in x]
     return x
@@ -50,6 +51,12 @@ def _redacted(body: pd.Series) -> pd.Series:
     return body.map(one)
 
 
-def redact_har(body: Column) -> Column:
-    """Redacted JSON with sorted keys; null for malformed input."""
-    return F.pandas_udf(_redacted, T.StringType())(body)
+def is_har(body: Column) -> Column:
+    """Whether a text is JSON with a list of log.entries."""
+    return F.try_variant_get(F.try_parse_json(body), "$.log.entries", "array<variant>").isNotNull()
+
+
+def redact_har(body: Column, strict: bool = False) -> Column:
+    """Redacted JSON with sorted keys; null for malformed input. strict: an error for what isn't a recording with log.entries."""
+    out = F.pandas_udf(_redacted, T.StringType())(body)
+    return F.when(is_har(body) | body.isNull(), out).otherwise(F.raise_error(F.lit("not a HAR file: log.entries is missing")).cast("string")) if strict else out

@@ -65,10 +65,10 @@ def marked(outbox: DataFrame, results: DataFrame, key: str = "id") -> DataFrame:
 
 
 def enqueued(events: DataFrame, outbox: DataFrame, min_severity: int, quiet_baseline: bool = True) -> DataFrame:
-    """New outbox rows: severity gate, baseline suppressed, each dedup key once for ever."""
-    status = F.when(F.lit(quiet_baseline) & F.col("baseline"), "suppressed").otherwise("pending")
-    gated = events.filter(F.col("severity") >= min_severity).withColumn("status", status).withColumn("attempts", F.lit(0))
-    return new_rows(gated, outbox, ["dedup_key"], ["detected_at", "id"])
+    """New outbox rows, each dedup key once for ever: below the severity gate, or of a baseline, they are suppressed, but kept."""
+    quiet = (F.lit(quiet_baseline) & F.coalesce("baseline", F.lit(False))) | ~F.coalesce(F.col("severity") >= min_severity, F.lit(False))
+    rows = events.withColumn("status", F.when(quiet, "suppressed").otherwise("pending")).withColumn("attempts", F.lit(0))
+    return new_rows(rows, outbox, ["dedup_key"], ["detected_at", "id"])
 
 
 def review_state(history: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def product_pages(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), F.concat(F.lit("https://x.test/"), n).alias("url"), html.alias("html"))
 
 
-@Q.add("SELECT 'https://x.test/' || p_partkey AS url, p_name AS model, 'S' || p_partkey AS vendor_sku, p_retailprice AS amount, 'EUR' AS currency, CASE p_partkey % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'preorder' ELSE 'sold_out' END AS availability, 'https://i.test/' || p_partkey || '.png' AS image, 1 AS n_prices, 0.9 AS confidence FROM part".replace("0.9 AS", "0.9::DOUBLE AS"))
+@Q.add("SELECT 'https://x.test/' || p_partkey AS url, p_name AS model, 'S' || p_partkey AS vendor_sku, p_retailprice AS amount, 'EUR' AS currency, CASE p_partkey % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'preorder' ELSE 'sold_out' END AS availability, 'https://i.test/' || p_partkey || '.png?w=' || (2 - (p_partkey + 1) % 2) AS image, 1 AS n_prices, 1.0::DOUBLE AS confidence FROM part")
 def jsonld_products(spark, sf_dir):
     got = normalize.jsonld(jsonld.products(product_pages(spark, sf_dir)), "Maker")
     p = F.col("prices")[0]
@@ -218,30 +218,37 @@ def sitemap_urls(spark, sf_dir):
 def feed_pages(spark, sf_dir):
     """Numbered pages of a bulk feed made from part rows, the third of each source empty; a page comes in as many bodies as it needs."""
     p = F.col("p_partkey")
-    variant = F.struct(F.lit("16GB RAM + 1TB SSD").alias("title"), F.lit("a").alias("option1"), F.lit("EU").alias("option2"), F.concat(F.lit("S"), p.cast("string")).alias("sku"), (p % 2 == 0).alias("available"), F.col("p_retailprice").cast("string").alias("price"))
-    item = F.struct(F.concat(F.lit("h"), p.cast("string")).alias("handle"), F.concat(F.lit("Maker "), F.col("p_name"), F.when(p % 3 == 0, " Ryzen 7 8845HS").otherwise("")).alias("title"), F.lit("<p>Body &amp; soul</p>").alias("body_html"), F.lit("Maker").alias("vendor"), F.when(p % 7 == 0, "Accessories").otherwise("PC").alias("product_type"), F.array(variant).alias("variants"))
+    price = F.when(p % 11 == 0, "ask").when(p % 10 == 0, "").otherwise(F.col("p_retailprice").cast("string"))
+    variant = F.struct(F.lit("base").alias("title"), F.when(p % 2 == 0, "1TB SSD + 32GB RAM").otherwise("a").alias("option1"), F.lit("EU").alias("option2"), F.concat(F.lit("S"), p.cast("string")).alias("sku"), (p % 2 == 0).alias("available"), price.alias("price"))
+    item = F.struct(F.concat(F.lit("h"), p.cast("string")).alias("handle"), F.concat(F.lit("MAKER  Co "), F.col("p_name"), F.when(p % 3 == 0, " Ryzen 7 8845HS").otherwise("")).alias("title"), F.lit("<p>Body &amp; soul, 8GB LPDDR5 and 256 GB M.2 fast SSD</p>").alias("body_html"), F.lit("co").alias("vendor"), F.when(p % 7 == 0, "Accessories").otherwise("PC").alias("product_type"), F.when(p % 3 == 0, F.array(F.lit("Mini"))).alias("tags"), F.array(variant).alias("variants"))
     rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("source"), (p % 5 + 1).alias("page"), chunk(p)).agg(F.collect_list(item).alias("products"))
     return rows.select("source", F.col("page").cast("int").alias("page"), F.to_json(F.struct(F.when(F.col("page") != 3, F.col("products")).otherwise(F.array().cast(rows.schema["products"].dataType)).alias("products"))).alias("body"))
 
 
-@Q.add("""SELECT p_brand || ':h' || p_partkey AS product_key, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' Ryzen 7 8845HS' ELSE '' END AS model, CASE WHEN p_partkey % 3 = 0 THEN 'Ryzen 7 8845HS' END AS cpu, '16 GB' AS memory, '1 TB' AS storage, p_retailprice AS amount, CASE WHEN p_partkey % 2 = 0 THEN 'in_stock' ELSE 'sold_out' END AS availability, 'Body & soul' AS description,
- CASE WHEN p_partkey % 7 = 0 THEN 0.0::DOUBLE WHEN p_partkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM part WHERE p_partkey % 5 + 1 < 3 OR (p_partkey % 5 + 1 > 3 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 5 + 1 = 3))""")
+@Q.add("""SELECT p_brand || ':h' || p_partkey AS product_key, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' Ryzen 7 8845HS' ELSE '' END AS model, CASE WHEN p_partkey % 3 = 0 THEN 'mini-pc' WHEN p_partkey % 7 > 0 THEN 'desktop' END AS category, CASE WHEN p_partkey % 3 = 0 THEN 'Ryzen 7 8845HS' END AS cpu,
+ CASE WHEN p_partkey % 2 = 0 AND p_partkey % 11 > 0 THEN '32 GB' ELSE '8 GB' END AS memory, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 11 > 0 THEN '1 TB' ELSE '256 GB' END AS storage, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 10 = 0 THEN 0.0 ELSE p_retailprice END::DOUBLE AS amount, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'in_stock' ELSE 'sold_out' END AS availability,
+ 'Body & soul, 8GB LPDDR5 and 256 GB M.2 fast SSD' AS description, round(CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE 1.0 - CASE WHEN p_partkey % 3 > 0 THEN 0.3 ELSE 0.0 END - CASE WHEN p_partkey % 11 = 0 THEN 0.3 ELSE 0.0 END END, 2)::DOUBLE AS confidence FROM part WHERE p_partkey % 5 + 1 < 3 OR (p_partkey % 5 + 1 > 3 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 5 + 1 = 3))""")
 def bulk_store_products(spark, sf_dir):
-    got = normalize.bulk_store(captured.list_pages(feed_pages(spark, sf_dir), "products"), "Maker", "https://x.test")
-    p = F.col("prices")[0]
-    return got.select("product_key", "model", F.col("cpu.raw").alias("cpu"), "memory", "storage", p["amount"].alias("amount"), p["availability"].alias("availability"), "description", "confidence")
+    got = normalize.bulk_store(captured.list_pages(feed_pages(spark, sf_dir), "products"), "Maker", "https://x.test", categories={"mini": "mini-pc", "PC": "desktop"})
+    p = F.get("prices", F.lit(0))
+    return got.select("product_key", "model", "category", F.col("cpu.raw").alias("cpu"), "memory", "storage", p["amount"].alias("amount"), p["availability"].alias("availability"), "description", F.round("confidence", 2).alias("confidence"))
 
 
-@Q.add("SELECT p_brand || ':s' || p_partkey AS product_key, p_name AS model, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE round(CAST(round(p_retailprice * 100) AS BIGINT) / 100.0, 2) END AS amount, CASE p_partkey % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'sold_out' ELSE 'unknown' END AS availability FROM part WHERE p_type <> (SELECT min(p_type) FROM part)")
+@Q.add("""SELECT p_brand || ':' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 's' END || p_partkey AS product_key, p_name AS model, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE round(CAST(round(p_retailprice * 100) AS BIGINT) / 100.0, 2) END AS amount, CASE p_partkey % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'sold_out' ELSE 'unknown' END AS availability,
+ CASE WHEN p_partkey % 2 = 0 THEN 'W' || p_partkey END AS vendor_sku, CASE WHEN p_partkey % 5 = 0 THEN 'long' ELSE 'short' END AS description, CASE WHEN p_partkey % 2 = 0 THEN 'W' || p_partkey || ',' ELSE '' END || p_partkey AS aliases,
+ CASE WHEN contains(lower(p_type), 'econ') OR p_partkey % 8 = 0 THEN 0.0 WHEN p_partkey % 2 = 1 OR p_partkey % 9 = 0 THEN 0.6 ELSE 1.0 END::DOUBLE AS confidence FROM part""")
 def store_api_products(spark, sf_dir):
     p = F.col("p_partkey")
+    n = p.cast("string")
     stock = F.when(p % 3 == 0, F.lit("true")).when(p % 3 == 1, F.lit("false")).otherwise("null")
     price = F.when(p % 9 == 0, "null").otherwise(F.concat(F.lit('"'), F.round(F.col("p_retailprice") * 100).cast("long").cast("string"), F.lit('"')))
-    body = F.concat(F.lit('{"slug":"s'), p.cast("string"), F.lit('","name":"'), F.col("p_name"), F.lit('","permalink":"https://x.test/1","sku":"","is_in_stock":'), stock, F.lit(',"prices":{"price":'), price, F.lit(',"currency_minor_unit":2,"currency_code":"EUR"},"categories":[{"name":"'), F.col("p_type"), F.lit('"}]}'))
+    body = F.concat(
+        F.lit('{"id":'), n, F.lit(',"slug":"'), F.when(p % 4 == 0, "").otherwise(F.concat(F.lit("s"), n)), F.lit('","name":"'), F.col("p_name"), F.lit('","permalink":"https://x.test/1","sku":"'), F.when(p % 2 == 0, F.concat(F.lit("W"), n)).otherwise(""), F.lit('","is_in_stock":'), stock,
+        F.lit(',"description":"<p>long</p>","short_description":"'), F.when(p % 5 == 0, "").otherwise("<b>short</b>"), F.lit('","prices":{"price":'), price, F.lit(',"currency_minor_unit":2,"currency_code":"EUR"},"categories":[{"name":"'), F.col("p_type"), F.lit('"},{"name":"'), F.when(p % 8 == 0, "Docks").otherwise("PCs"), F.lit('"}]}'),
+    )
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), F.try_parse_json(body).alias("item"))
-    first = table(spark, sf_dir, "part").agg(F.min("p_type").alias("first_type"))
-    got = normalize.store_api(rows, "Maker").crossJoin(F.broadcast(first)).filter(~F.exists("categories", lambda c: c == F.col("first_type")))
-    return got.select("product_key", "model", F.get("prices", F.lit(0))["amount"].alias("amount"), "availability")
+    got = normalize.store_api(rows, "Maker", include=["PC", "dock"], exclude=["Econ"])
+    return got.select("product_key", "model", F.get("prices", F.lit(0))["amount"].alias("amount"), "availability", "vendor_sku", "description", F.array_join("aliases", ",").alias("aliases"), "confidence")
 
 
 @Q.add("SELECT p_brand AS source, count(*) AS refs, count(*) - count(DISTINCT p_name) AS duplicates, count(DISTINCT p_name) AS uniques, round(avg(CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.0 END), 4) AS identity_quality, round(avg(CASE WHEN n <= 12 THEN CASE WHEN p_size > 10 THEN 1.0 ELSE 0.0 END END), 4) AS pass_rate FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) GROUP BY ALL")

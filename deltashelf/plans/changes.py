@@ -242,8 +242,8 @@ def manifest_compare(spark, sf_dir):
     return state.compared(count(part.filter("p_partkey % 3 <> 0")), count(part.filter("p_partkey % 7 <> 0 or p_size > 25")))
 
 
-@Q.add(sql(f"""SELECT change_type, severity, status, count(*) AS n FROM (SELECT *, CASE WHEN change_type = 'new_product' THEN 5 WHEN change_type = 'spec_changed' THEN 2 ELSE 3 END AS severity, CASE WHEN baseline THEN 'suppressed' ELSE 'pending' END AS status,
- row_number() OVER (PARTITION BY product_key, change_type, k ORDER BY detected_at, id) AS rn FROM v_events WHERE change_type <> 'spec_changed') e WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM v_events o WHERE o.id % 50 = 0 AND o.product_key = e.product_key AND o.change_type = e.change_type AND o.k = e.k) GROUP BY ALL""", "v_events"))
+@Q.add(sql(f"""SELECT change_type, severity, status, count(*) AS n FROM (SELECT *, CASE WHEN change_type = 'new_product' THEN 5 WHEN change_type = 'spec_changed' THEN 2 ELSE 3 END AS severity, CASE WHEN baseline OR change_type = 'spec_changed' THEN 'suppressed' ELSE 'pending' END AS status,
+ row_number() OVER (PARTITION BY product_key, change_type, k ORDER BY detected_at, id) AS rn FROM v_events) e WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM v_events o WHERE o.id % 50 = 0 AND o.product_key = e.product_key AND o.change_type = e.change_type AND o.k = e.k) GROUP BY ALL""", "v_events"))
 def outbox_enqueue(spark, sf_dir):
     e = views.events(spark, sf_dir).withColumn("dedup_key", identity.key_of(F.col("product_key"), F.col("change_type"), F.col("k"))).withColumn("severity", rules.severity({"change_type": F.col("change_type"), "field": F.lit(None).cast("string"), "unseen_component": F.lit(False)}))
     return state.enqueued(e, e.filter("id % 50 = 0"), 3).groupBy("change_type", "severity", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
+from .. import shared
 from ..operators import feedback, health, state, stories, suggest
 from ..schema import EVIDENCE_TYPES, FeedbackThresholds, StoryRule
 from . import views
@@ -301,9 +302,9 @@ def outbox_status(spark, sf_dir):
     return state.marked(outbox, results).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("attempts"))
 
 
-@Q.add(sql("SELECT id, source, status, finished_at, CASE WHEN status = 'failed' THEN 'failed' WHEN finished_at < TIMESTAMP '1998-08-03' - INTERVAL 24 HOUR THEN 'degraded' ELSE 'healthy' END AS state FROM v_runs ORDER BY finished_at DESC, id DESC LIMIT 1", "v_runs"))
+@Q.add(sql("SELECT max(finished_at) AS last_finished_run, 'healthy' AS state, '' AS reasons FROM v_runs", "v_runs"))
 def runtime_state(spark, sf_dir):
-    return health.runtime_state(views.runs(spark, sf_dir), F.expr("timestamp_ntz'1998-08-03'"))
+    return health.runtime_state(views.runs(spark, sf_dir), shared.writable(spark, shared.folder(spark))).withColumn("reasons", F.array_join("reasons", ","))
 
 
 # ---- dashboard
