@@ -263,6 +263,34 @@ ODD_NUMBER = re.compile("[" + "".join(re.escape(c) for c in sorted(ODD) if c < "
 BEYOND = re.compile("[\U00010000-\U0010FFFF]")
 
 
+def _class(test) -> re.Pattern:
+    """A pattern of one of the code points that a test holds for."""
+    parts, start = [], None
+    for c in range(0x110001):
+        hit = c < 0x110000 and test(chr(c))
+        if hit and start is None:
+            start = c
+        elif not hit and start is not None:
+            parts.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile("[" + "".join(parts) + "]")
+
+
+#: What this Python's Unicode tables don't know, and the library's newer ones may.
+UNKNOWN = _class(lambda c: unicodedata.category(c) == "Cn")
+
+
+def unknown(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        # the first 256 code points are all known, and most texts hold no others
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return UNKNOWN.search(text) is not None
+
+
 def odd_number(text: str) -> bool:
     return not text.isascii() and (ODD_NUMBER.search(text) is not None or (BEYOND.search(text) is not None and not ODD.isdisjoint(text)))
 
@@ -296,6 +324,7 @@ class WordTokenizer:
         self.split_any = regex.compile(pattern.replace(r"\s", WHITE))
         self.split_plain = re.compile(pattern.replace(r"[\p{L}]", r"[^\W\d_]").replace(r"[\p{N}]", r"\d").replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^{WHITE}\w]|_)+"))
         self.encoder = Encoder(self.merges)
+        self.path, self.library = path, None
         self.known: dict[str, tuple[bytes, bytes, int]] = {}
         self.older: dict[str, tuple[bytes, bytes, int]] = {}
         self.keep = keep
@@ -309,6 +338,14 @@ class WordTokenizer:
         split = self.split_any if odd_number(text) else self.split_plain
         return split.findall(text)
 
+    def newer(self, part: str) -> list[str]:
+        """Words, in the byte alphabet, of a text with code points newer than this Python's tables: the library's normaliser and splitter know them."""
+        if self.library is None:
+            import tokenizers
+
+            self.library = tokenizers.Tokenizer.from_file(self.path)
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+
     def encode_word(self, word: str) -> list[int]:
         return self.encoder.feed("".join([BYTE_TEXT[b] for b in word.encode("utf-8", "surrogatepass")]), last=True)
 
@@ -316,9 +353,10 @@ class WordTokenizer:
         old = self.older.get(word)
         if old is not None:
             return self._remember(word, old)
-        ids = self.encode_word(word)
-        entry = (np.array(ids, "<u4").tobytes(), self.joined.join(self.token[i] for i in ids).encode(), len(ids))
-        return self._remember(word, entry)
+        return self._remember(word, self._ids(self.encode_word(word)))
+
+    def _ids(self, ids: list[int]) -> tuple[bytes, bytes, int]:
+        return np.array(ids, "<u4").tobytes(), self.joined.join(self.token[i] for i in ids).encode(), len(ids)
 
     def _remember(self, word: str, entry: tuple[bytes, bytes, int]) -> tuple[bytes, bytes, int]:
         if len(word) <= 64:
@@ -333,6 +371,8 @@ class WordTokenizer:
         for kind, part in self.segments(text):
             if kind:
                 entries.append((np.array([self.special[part]], "<u4").tobytes(), part.encode(), 1))
+            elif unknown(part):
+                entries += [self._ids(self.encoder.feed(w, last=True)) for w in self.newer(part)]
             else:
                 for w in self.words(self.normal(part)):
                     entries.append(get(w) or self._entry(w))
@@ -368,8 +408,9 @@ def tokenizer(path: str) -> WordTokenizer:
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) of each row's whole text.
 
-    Null texts count as empty and have no tokens; repeated rows give repeated rows; an empty table an
-    empty result; further columns play no part.
+    Null texts count as empty and have no tokens; very long texts are taken whole; repeated rows give repeated rows; an empty
+    table an empty result; further columns play no part. Texts with code points newer than this Python's Unicode tables are normalised and split by the
+    library, and encoded as all others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
