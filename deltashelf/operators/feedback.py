@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import collector_of
 from ..functions.text import share
 from ..schema import OUTCOMES
 
@@ -39,6 +40,15 @@ def summary(alerts: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
+def with_manufacturer(alerts: DataFrame, listings: DataFrame) -> DataFrame:
+    """Alerts with what the listing of their product says (manufacturer, model, url and more); the collector stands for an unknown manufacturer.
+
+    listings: one row a product_key.
+    """
+    rows = alerts.join(listings, "product_key", "left")
+    return rows.withColumn("manufacturer", F.coalesce("manufacturer", collector_of(F.col("product_key"))))
+
+
 def breakdown(reviewed: DataFrame, by: Column, limit: int | None = None) -> DataFrame:
     """Tallies per value, largest first, ties by value."""
     out = reviewed.groupBy(by.alias("key")).agg(*tallies())

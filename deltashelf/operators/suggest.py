@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import key_of
 from ..functions.text import share
-from ..schema import FeedbackThresholds
+from ..schema import OUTCOMES, FeedbackThresholds
 
 CHURN = ("CDN_URL_CHURN", "ROUTINE_IMAGE_CHANGE", "MARKETING_ASSET_REFRESH")
 UNCHANGED = ("UNCHANGED_DOCUMENT", "DOCUMENT_METADATA_ONLY")
@@ -29,67 +32,57 @@ def same_content(row: str = "meta") -> Column:
     return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(F.col(f"{row}.identical_content_hash").isNotNull()), F.lit(False))
 
 
-def _candidates(rows: DataFrame, rule: str, reason: Column, parameters: str, limits: FeedbackThresholds) -> DataFrame:
-    n = F.count(F.lit(1))
-    out = rows.groupBy("collector", "alert_type").agg(
-        reason.alias("reason_code"),
-        n.alias("samples"),
-        *(F.count_if(F.col("outcome") == x).alias(x.lower()) for x in ("HIT", "INTERESTING", "NOISE", "BUG")),
-        F.min("detected_at").alias("sample_start"),
-        F.max("detected_at").alias("sample_end"),
-    )
-    ratio = lambda *names: F.round(sum((F.col(x) for x in names), F.lit(0)) / F.col("samples"), 4)
-    out = out.filter((F.col("samples") >= limits.min_samples) & (F.col("noise") / F.col("samples") >= limits.min_noise))
-    return out.select(
-        F.lit(rule).alias("rule_type"), "collector", "alert_type", "reason_code", F.lit(parameters).alias("parameters"), "samples", "hit", "interesting", "noise", "bug",
-        ratio("noise").alias("noise_reduction"), ratio("hit").alias("hit_loss"), ratio("interesting").alias("interesting_loss"), ratio("hit", "interesting").alias("signal_loss"), "sample_start", "sample_end",
-    )
-
-
-def _preferring(rows: DataFrame, wanted: Column, fallback: Column) -> DataFrame:
-    """In each group the rows that are wanted, or where there are none the fallback's."""
-    any_ = F.max(F.coalesce(wanted, F.lit(False))).over(Window.partitionBy("collector", "alert_type"))
-    return rows.withColumn("_any", any_).filter(F.when(F.col("_any"), wanted).otherwise(fallback)).drop("_any")
-
-
-def temporary_404(rows: DataFrame, limits: FeedbackThresholds) -> DataFrame:
-    rows = rows.filter(F.col("alert_type").isin("product_removed", "availability_changed"))
-    return _candidates(_preferring(rows, cites("TEMPORARY_404"), F.lit(True)), "require_consecutive_missing", F.first(F.lit("TEMPORARY_404")), '{"minimum_elapsed_hours":24,"minimum_observations":2}', limits)
-
+@dataclass(frozen=True)
+class Detector:
+    """A rule that reviews may suggest: which reviews speak for it, which of them are preferred where a group has any, and what it is called."""
 
-def duplicates(rows: DataFrame, limits: FeedbackThresholds) -> DataFrame:
-    rows = rows.filter(cites("DUPLICATE_ALERT") | (F.col("outcome") == "NOISE"))
-    return _candidates(_preferring(rows, cites("DUPLICATE_ALERT"), F.col("outcome") == "NOISE"), "suppress_exact_duplicate", F.first(F.lit("DUPLICATE_ALERT")), '{"window_hours":24}', limits)
+    rule: str
+    parameters: str
+    takes: Column
+    wanted: Column | None = None
+    reason: str | None = None
 
 
-def image_churn(rows: DataFrame, limits: FeedbackThresholds) -> DataFrame:
-    rows = rows.filter((F.col("alert_type") == "images_changed") & (cites(*CHURN) | only_query_differs(F.col("old_urls"), F.col("new_urls"))))
-    primary = F.when(F.max(cites(CHURN[0])), CHURN[0]).when(F.max(cites(CHURN[1])), CHURN[1]).when(F.max(cites(CHURN[2])), CHURN[2]).otherwise(CHURN[0])
-    return _candidates(rows, "normalize_image_url", primary, '{"normalize_cdn_host":true,"strip_query":true}', limits)
-
-
-def unchanged_document(rows: DataFrame, limits: FeedbackThresholds) -> DataFrame:
-    return _candidates(rows.filter(cites(*UNCHANGED) & same_content()), "compare_content_hash", F.first(F.lit("UNCHANGED_DOCUMENT")), "{}", limits)
-
+def detectors(least_price: float = 5.0) -> dict[str, Detector]:
+    kind = F.col("alert_type")
+    return {
+        "temporary_404": Detector("require_consecutive_missing", '{"minimum_elapsed_hours":24,"minimum_observations":2}', kind.isin("product_removed", "availability_changed"), cites("TEMPORARY_404"), "TEMPORARY_404"),
+        "duplicates": Detector("suppress_exact_duplicate", '{"window_hours":24}', cites("DUPLICATE_ALERT") | (F.col("outcome") == "NOISE"), cites("DUPLICATE_ALERT"), "DUPLICATE_ALERT"),
+        # its reason is the first of the three that the group cites
+        "image_churn": Detector("normalize_image_url", '{"normalize_cdn_host":true,"strip_query":true}', (kind == "images_changed") & (cites(*CHURN) | only_query_differs(F.col("old_urls"), F.col("new_urls")))),
+        "unchanged_document": Detector("compare_content_hash", "{}", cites(*UNCHANGED) & same_content(), None, "UNCHANGED_DOCUMENT"),
+        "minor_price": Detector("minimum_price_change_percent", f'{{"minimum_pct":{least_price}}}', (kind == "price_changed") & (F.col("magnitude_pct") < least_price), None, "MINOR_PRICE_FLUCTUATION"),
+    }
 
-def minor_price(rows: DataFrame, limits: FeedbackThresholds, least: float = 5.0) -> DataFrame:
-    rows = rows.filter((F.col("alert_type") == "price_changed") & (F.col("magnitude_pct") < least))
-    return _candidates(rows, "minimum_price_change_percent", F.first(F.lit("MINOR_PRICE_FLUCTUATION")), f'{{"minimum_pct":{least}}}', limits)
 
+def candidates(rows: DataFrame, limits: FeedbackThresholds = FeedbackThresholds(), names: Sequence[str] | None = None) -> DataFrame:
+    """What the named detectors, or all, make of the reviews, in one pass: each review is counted under each rule that it speaks for.
 
-DETECTORS = {"temporary_404": temporary_404, "duplicates": duplicates, "image_churn": image_churn, "unchanged_document": unchanged_document, "minor_price": minor_price}
+    Reviews that a rule prefers are counted apart, and where a group has any, they alone count; so groups are sums, and no task takes one.
+    """
+    some = {k: d for k, d in detectors().items() if names is None or k in names}
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    spoken = F.explode(F.array_compact(F.array(*(F.when(yes(d.takes), F.struct(F.lit(d.rule).alias("rule_type"), (F.lit(True) if d.wanted is None else yes(d.wanted)).alias("wanted"))) for d in some.values())))).alias("spoken")
+    counts = [F.count(F.lit(1)).alias("samples"), *(F.count_if(F.col("outcome") == x).alias(x.lower()) for x in OUTCOMES), F.min("detected_at").alias("sample_start"), F.max("detected_at").alias("sample_end"), *(F.max(yes(cites(c))).alias(f"churn{i}") for i, c in enumerate(CHURN))]
+    sums = rows.select("collector", "alert_type", "outcome", "detected_at", "reasons", spoken).groupBy("spoken.rule_type", "collector", "alert_type", "spoken.wanted").agg(*counts)
+    names_ = [c for c in sums.columns if c not in ("rule_type", "collector", "alert_type", "wanted")]
+    out = sums.groupBy("rule_type", "collector", "alert_type").agg(F.max_by(F.struct(*names_), "wanted").alias("x")).select("rule_type", "collector", "alert_type", "x.*")
+    out = out.filter((F.col("samples") >= limits.min_samples) & (F.col("noise") / F.col("samples") >= limits.min_noise))
+    of_rule = lambda value: F.coalesce(*(F.when(F.col("rule_type") == d.rule, value(d)) for d in some.values()))
+    churn = F.when(F.col("churn0"), CHURN[0]).when(F.col("churn1"), CHURN[1]).when(F.col("churn2"), CHURN[2]).otherwise(CHURN[0])
+    ratio = lambda *of: F.round(sum((F.col(x) for x in of), F.lit(0)) / F.col("samples"), 4)
+    return out.select(
+        "rule_type", "collector", "alert_type", of_rule(lambda d: churn if d.reason is None else F.lit(d.reason)).alias("reason_code"), of_rule(lambda d: F.lit(d.parameters)).alias("parameters"), "samples", "hit", "interesting", "noise", "bug",
+        ratio("noise").alias("noise_reduction"), ratio("hit").alias("hit_loss"), ratio("interesting").alias("interesting_loss"), ratio("hit", "interesting").alias("signal_loss"), "sample_start", "sample_end",
+    )
 
 
 def suggestions(rows: DataFrame, limits: FeedbackThresholds = FeedbackThresholds()) -> DataFrame:
-    """All detectors' candidates, one of each fingerprint.
+    """All detectors' candidates with their fingerprints; each rule gives one of a group.
 
     rows: collector, alert_type, outcome, reasons, detected_at, magnitude_pct, old_urls, new_urls, meta.
     """
-    out = None
-    for detect in DETECTORS.values():
-        got = detect(rows, limits)
-        out = got if out is None else out.unionByName(got)
-    return out.withColumn("fingerprint", key_of(*map(F.col, ("rule_type", "collector", "alert_type", "reason_code", "parameters")))).dropDuplicates(["fingerprint"])
+    return candidates(rows, limits).withColumn("fingerprint", key_of(*map(F.col, ("rule_type", "collector", "alert_type", "reason_code", "parameters"))))
 
 
 def rule_matches(rule_type: str, minimum_pct: float = 5.0, strict: bool = False) -> Column:

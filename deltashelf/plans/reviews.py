@@ -64,11 +64,28 @@ for _name, (_sql, _key) in _breakdowns.items():
     _make(_name, _sql, _key)
 
 
-@Q.add(sql(grouped("coalesce(n_name, collector)", "(SELECT r.*, n_name FROM v_reviewed r LEFT JOIN nation ON n_nationkey = user_id)"), *RV))
+OEM_SQL = "(SELECT r.*, p_brand FROM v_reviewed r LEFT JOIN (SELECT p_partkey, p_brand FROM part WHERE p_size > 10) ON p_partkey = user_id)"
+
+
+@Q.add(sql(grouped("coalesce(p_brand, collector)", OEM_SQL), *RV))
 def breakdown_oem(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("user_id"), "n_name")
-    rows = views.reviewed(spark, sf_dir).join(names, "user_id", "left")
-    return feedback.breakdown(rows, F.coalesce("n_name", "collector"))
+    """The manufacturer of the alert's product, of which some are unknown: then the collector stands for it."""
+    rows = feedback.with_manufacturer(views.reviewed(spark, sf_dir), listed_parts(spark, sf_dir))
+    return feedback.breakdown(rows, F.col("manufacturer"))
+
+
+def listed_parts(spark, sf_dir):
+    """Listings of the events' products, as far as they are known: product_key, manufacturer, model, url."""
+    k = F.col("p_partkey")
+    key = F.concat(F.lit("src-"), (k % 12).cast("string"), F.lit(":p"), k.cast("string"))
+    return table(spark, sf_dir, "part").filter("p_size > 10").select(key.alias("product_key"), F.col("p_brand").alias("manufacturer"), F.col("p_name").alias("model"), F.concat(F.lit("https://x.test/"), k.cast("string")).alias("url"))
+
+
+@Q.add(sql("SELECT id, coalesce(p_brand, collector) AS manufacturer, p_name AS model, 'https://x.test/' || p_partkey AS url, change_type FROM v_events LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = user_id WHERE detected_at >= TIMESTAMP '2024-01-17'", "v_events"))
+def story_rows(spark, sf_dir):
+    """The alerts that stories look at, with the manufacturer, model and address of their product."""
+    e = views.events(spark, sf_dir).filter(F.col("detected_at") >= F.expr("timestamp_ntz'2024-01-17'"))
+    return feedback.with_manufacturer(e, listed_parts(spark, sf_dir)).select("id", "manufacturer", "model", "url", "change_type")
 
 
 REASONS = "(SELECT outcome, CASE WHEN len(reasons) = 0 THEN ['(none)'] ELSE list_distinct(reasons) END AS c FROM v_reviewed)"
@@ -146,7 +163,7 @@ DETECTOR_SQL = {
 
 def _suggest(name):
     def run(spark, sf_dir):
-        return suggest.DETECTORS[name](alerts(spark, sf_dir, True), FeedbackThresholds())
+        return suggest.candidates(alerts(spark, sf_dir, True), FeedbackThresholds(), [name])
 
     run.__name__ = f"suggest_{name}"
     Q.add(sql(DETECTOR_SQL[name], "v_events", "v_reviews"))(run)

@@ -7,7 +7,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 
-from .operators import normalize
+from .operators import normalize, payloads
+from .sources import captured
 
 
 class Normalizer(Protocol):
@@ -22,6 +23,20 @@ class EvidenceSource(Protocol):
     def __call__(self, bodies: DataFrame) -> DataFrame: ...
 
 
+class Discovery(Protocol):
+    """Maps captured answers (source, page or url, body) to references of items."""
+
+    def __call__(self, answers: DataFrame) -> DataFrame: ...
+
+
+class SnapshotStore(Protocol):
+    """Says what a listing was last, and takes what it is now."""
+
+    def read(self, name: str, before: int | None = None) -> DataFrame | None: ...
+
+    def publish(self, batch: int, tables) -> bool: ...
+
+
 class Notifier(Protocol):
     """Takes outbox rows that are due and returns (id, result, at)."""
 
@@ -51,3 +66,13 @@ normalizers.add("bulk_store", lambda items, manufacturer: normalize.bulk_store(i
 normalizers.add("store_api", normalize.store_api)
 normalizers.add("jsonld", normalize.jsonld)
 normalizers.add("listing_lines", normalize.listing_lines)
+normalizers.add("catalogue_item", normalize.catalogue_item)
+normalizers.add("category_item", normalize.category_item)
+
+discoveries = Registry("discovery")
+discoveries.add("numbered_pages", lambda answers: captured.list_pages(answers, None))
+discoveries.add("vendor_catalogue", captured.vendor_catalogue)
+discoveries.add("catalogue_tree", captured.catalogue_tree)
+
+evidence_sources = Registry("evidence source")
+evidence_sources.add("product_database", lambda bodies: payloads.product_evidence(bodies, "product_database", ""))
