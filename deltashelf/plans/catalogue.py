@@ -335,9 +335,15 @@ def removed_listings(spark, sf_dir):
     return deltas.removed(seen, views.runs(spark, sf_dir), 40).select("product_key")
 
 
-@Q.add()
+@Q.add("""SELECT event_id, '{"log": {"entries": [{"auth": "[redacted]", "cookies": [], "headers": [{"name": "Cookie", "value": "[redacted]"}, {"name": "Accept", "value": "' || event_type || '"}], "postData": "a=' || user_id || '&password=[redacted]", "session_id": "[redacted]", "text": "{\\"k\\": ' || json_extract_string(props, '$.k') || '}", "tokens": "[redacted]"}]}}' AS body FROM events""")
 def har_redaction(spark, sf_dir):
-    """Rows only: nesting is unbounded, so SQL has no equal; tests hold it against hand-made cases."""
+    """Recordings with secrets as values, as whole objects and lists, in forms and in headers."""
     e = table(spark, sf_dir, "events")
-    body = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("Cookie").alias("name"), F.col("event_type").alias("value"))).alias("headers"), F.col("props").alias("text"), F.col("user_id").alias("session_id")).alias("request")))
-    return e.select("event_id", redact.redact_har(body).alias("body"))
+    user = F.col("user_id").cast("string")
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    entry = F.struct(
+        F.struct(user.alias("v"), F.struct(user.alias("w")).alias("x")).alias("auth"), F.array(header("sid", user)).alias("cookies"), F.array(header("Cookie", F.col("event_type")), header("Accept", F.col("event_type"))).alias("headers"),
+        F.concat(F.lit("a="), user, F.lit("&password="), user).alias("postData"), F.col("user_id").alias("session_id"), F.col("props").alias("text"), F.array(user, user).alias("tokens"),
+    )
+    body = F.to_json(F.struct(F.struct(F.array(entry).alias("entries")).alias("log")))
+    return e.select("event_id", redact.redact_har(body, strict=True).alias("body"))
