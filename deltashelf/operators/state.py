@@ -76,12 +76,17 @@ def review_state(history: DataFrame) -> DataFrame:
     return latest(history, ["alert_id"], [F.col("changed_at").desc(), F.col("id").desc()])
 
 
-def checked_transition(current: Column, new: Column, legal: Mapping[str, Sequence[str]] = TRANSITIONS) -> Column:
-    """The new status, or an error where the step is not allowed."""
+def legal(current: Column, new: Column, steps: Mapping[str, Sequence[str]] = TRANSITIONS) -> Column:
+    """Whether a status may become another; a missing one may not."""
     ok = F.lit(False)
-    for a, targets in legal.items():
+    for a, targets in steps.items():
         ok = ok | ((current == a) & new.isin(*targets)) if targets else ok
-    return F.when(ok, new).otherwise(F.raise_error(F.concat(F.lit("illegal status change "), current, F.lit(" to "), new)).cast("string"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def checked_transition(current: Column, new: Column, steps: Mapping[str, Sequence[str]] = TRANSITIONS) -> Column:
+    """The new status, or an error where the step is not allowed."""
+    return F.when(legal(current, new, steps), new).otherwise(F.raise_error(F.concat(F.lit("illegal status change "), F.coalesce(current, F.lit("null")), F.lit(" to "), F.coalesce(new, F.lit("null")))).cast("string"))
 
 
 def merged_suggestions(table: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import desk, health, payloads, state
+from ..functions import identity
+from ..operators import desk, health, normalize, payloads, state
+from ..schema import SUGGESTION_STATUSES
 from ..shared import scratch
 from ..sources import captured
 from ..streaming import ingest
@@ -158,3 +160,68 @@ def product_evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.to_json(F.struct(k.alias("ProductID"), F.when(k % 10 > 0, "key").otherwise("").alias("ProductKey"), F.col("s_name").alias("ProductName"), F.concat(F.lit("series "), F.col("s_nationkey").cast("string")).alias("_series"), (k % 3 == 0).cast("int").alias("Withdraw")))
     bodies = table(spark, sf_dir, "supplier").select(F.concat(F.lit("https://x.test/"), k.cast("string")).alias("url"), F.when(k % 10 == 1, "{cut").otherwise(whole).alias("body"))
     return payloads.product_evidence(bodies, "database", "Maker", withdrawn=True).select("canonical_url", "external_id", "model", "family", "state")
+
+
+# ---- references of pages
+
+@Q.add("""WITH i AS (SELECT p_brand AS source, p_partkey AS k, p_size AS nth, CASE WHEN p_partkey % 3 = 0 THEN 'M' || (p_partkey % 90) END AS mpn, CASE WHEN p_partkey % 5 > 0 THEN 'https://x.test/' || p_partkey || CASE WHEN p_partkey % 3 = 1 THEN '-SKU-np' || (p_partkey % 70) ELSE '' END END AS own FROM part),
+h AS (SELECT *, coalesce(mpn, CASE WHEN k % 3 = 1 AND own IS NOT NULL THEN 'NP' || (k % 70) END) AS sku, coalesce(mpn, CASE WHEN k % 3 = 1 AND own IS NOT NULL THEN 'NP' || (k % 70) END, own) AS handle FROM i)
+SELECT source, handle, sku, coalesce(own, 'https://x.test/list/' || nth) AS url FROM h WHERE handle IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, handle ORDER BY nth, k) = 1""")
+def category_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category pages with lists of items, some without a SKU but with a code in their address, some with neither."""
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    url = F.when(k % 5 > 0, F.concat(F.lit("https://x.test/"), n, F.when(k % 3 == 1, F.concat(F.lit("-SKU-np"), (k % 70).cast("string"))).otherwise("")))
+    item = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.lit("").alias("sku"), F.when(k % 3 == 0, F.concat(F.lit("M"), (k % 90).cast("string"))).alias("mpn"), url.alias("url"))
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("source"), F.col("p_size").alias("nth")).agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("item")))), lambda x: F.struct(x["item"].alias("item"))).alias("itemListElement"))
+    html = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("ItemList").alias("@type"), "itemListElement")), F.lit("</script>"))
+    pages = rows.select("source", "nth", F.concat(F.lit("https://x.test/list/"), F.col("nth").cast("string")).alias("url"), html.alias("html"))
+    return normalize.category_refs(pages).select("source", "handle", "sku", "url")
+
+
+@Q.add("""SELECT p_brand AS source, p_partkey AS id, x AS pos, CASE x WHEN 0 THEN 'AB' ELSE 'CD' END || lpad(p_partkey::VARCHAR, 6, '0') AS sku, CASE WHEN x = 0 AND p_size % 3 > 0 THEN 1000 + p_partkey + 0.5 WHEN x = 0 AND p_size % 3 = 0 THEN 7.0 WHEN x = 1 THEN 7.0 END::DOUBLE AS amount, 'USD' AS currency, CASE WHEN x = 0 AND p_size % 2 = 0 THEN '15.6"' END AS display FROM part, (VALUES (0), (1)) v(x)""")
+def listing_text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages without JSON-LD: two models each, the first of which takes the second's price where it has none of its own."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    code = F.lpad(k.cast("string"), 6, "0")
+    body = F.concat(
+        F.lit("<p>Model\n AB"), code, F.lit("</p> "), F.when(size % 2 == 0, 'Display <b>15.6</b> " ').otherwise("Display none "), F.when(size % 3 > 0, F.concat(F.lit("Starting at <i>$"), F.format_number(k + 1000.5, 2), F.lit("</i>"))).otherwise(""),
+        F.lit(" Model ab123456 Model AB12 Model CD"), code, F.lit(" Starting at $7.00"),
+    )
+    got = normalize.listing_items(table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), k.cast("string").alias("url"), body.alias("body")))
+    return got.select("source", F.col("url").cast("long").alias("id"), "pos", "sku", "amount", "currency", "display")
+
+
+# ---- small checks
+
+STATUSES = "[" + ", ".join(f"'{x}'" for x in SUGGESTION_STATUSES) + "]"
+
+
+@Q.add(sql(f"""SELECT a AS current, b AS new, count(*) AS n, (a = 'PROPOSED' AND b IN ('ACCEPTED', 'REJECTED')) OR (a = 'ACCEPTED' AND b IN ('IMPLEMENTED', 'REJECTED')) OR (a = 'IMPLEMENTED' AND b = 'REVERTED') OR (a = 'REVERTED' AND b = 'ACCEPTED') AS legal FROM (SELECT ({STATUSES})[k % 5 + 1] AS a, ({STATUSES})[user_id % 5 + 1] AS b FROM v_events) GROUP BY ALL""", "v_events"))
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of suggestions' status that alerts ask for, and whether they are allowed; the allowed ones are made."""
+    all_ = F.array(*map(F.lit, SUGGESTION_STATUSES))
+    at = lambda c: F.element_at(all_, (F.col(c) % 5 + 1).cast("int"))
+    rows = views.events(spark, sf_dir).select(at("k").alias("current"), at("user_id").alias("new"))
+    rows = rows.withColumn("legal", state.legal(F.col("current"), F.col("new")))
+    made = rows.filter("legal").withColumn("new", state.checked_transition(F.col("current"), F.col("new")))
+    return made.unionByName(rows.filter("not legal")).groupBy("current", "new", "legal").agg(F.count(F.lit(1)).alias("n"))
+
+
+@Q.add("""SELECT sha256('{"brand":' || CASE WHEN p_size % 5 = 0 THEN 'null' ELSE '"' || p_brand || '"' END || ',"name":"' || p_name || '","size":' || p_size % 3 || '}') AS content_hash, min(p_partkey) AS first_id, count(*) AS n_seen FROM part GROUP BY 1""")
+def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of equal content, missing values included, whatever their ids."""
+    whole = F.struct(F.when(F.col("p_size") % 5 > 0, F.col("p_brand")).alias("brand"), F.col("p_name").alias("name"), (F.col("p_size") % 3).alias("size"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", identity.content_hash(whole).alias("content_hash"))
+    return rows.groupBy("content_hash").agg(F.min("p_partkey").alias("first_id"), F.count(F.lit(1)).alias("n_seen"))
+
+
+@Q.add("""SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE p_name END AS name, CASE WHEN p_size % 3 = 0 THEN 'beta' WHEN p_size % 3 = 1 THEN 'ok' END AS support_status FROM part""")
+def unwrapped_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that wrap their product, or don't, or are cut off, and what the comments before a descriptor say."""
+    k, name = F.col("p_partkey"), F.concat(F.lit('{"title": "'), F.col("p_name"), F.lit('"}'))
+    body = F.when(k % 4 == 3, F.expr("left('{\"product\": {', 12)")).when(k % 2 == 0, F.concat(F.lit('{"product": '), name, F.lit("}"))).otherwise(name)
+    note = F.when(F.col("p_size") % 3 == 0, "# made\n#  Support_Status: beta (soon)\nid: x").when(F.col("p_size") % 3 == 1, "# support_status: ok\n").otherwise("id: x\nsupport_status: no")
+    files = table(spark, sf_dir, "part").select(k.alias("url"), captured.payload(body, "product").alias("v"), note.alias("body"))
+    told = captured.support_status(files.select("url", "body"))
+    return files.select(F.col("url").alias("p_partkey"), F.try_variant_get("v", "$.title", "string").alias("name")).join(told.withColumnRenamed("url", "p_partkey"), "p_partkey")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .operators import normalize, payloads
 from .sources import captured
@@ -65,11 +66,12 @@ normalizers = Registry("normalizer")
 normalizers.add("bulk_store", lambda items, manufacturer: normalize.bulk_store(items, manufacturer, ""))
 normalizers.add("store_api", normalize.store_api)
 normalizers.add("jsonld", normalize.jsonld)
-normalizers.add("listing_lines", normalize.listing_lines)
+normalizers.add("listing_items", lambda pages, manufacturer: normalize.listing_items(pages).withColumn("manufacturer", F.lit(manufacturer)))
 normalizers.add("catalogue_item", normalize.catalogue_item)
 normalizers.add("category_item", normalize.category_item)
 
 discoveries = Registry("discovery")
+discoveries.add("category_pages", normalize.category_refs)
 discoveries.add("numbered_pages", lambda answers: captured.list_pages(answers, None))
 discoveries.add("vendor_catalogue", captured.vendor_catalogue)
 discoveries.add("catalogue_tree", captured.catalogue_tree)
