@@ -94,7 +94,11 @@ def strip_html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_html(F.col("html")), 256).alias("text_hash"))
 
 
-@Q.add("SELECT event_id, chr(CAST(event_id % 55000 + 33 AS INT)) || '\u2013' || chr(CAST(floor(value) AS INT) % 90 + 33) || props AS decoded FROM events")
+#: What numbers from 128 to 159 stand for in pages, as HTML 5 has it (fixed values).
+LATIN = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+@Q.add(f"SELECT event_id, CASE WHEN c = 127 THEN '' WHEN c BETWEEN 128 AND 159 THEN substr('{LATIN}', c - 127, 1) ELSE chr(c) END || '\u2013' || chr(CAST(floor(value) AS INT) % 90 + 33) || props AS decoded FROM (SELECT *, CAST(event_id % 55000 + 33 AS INT) AS c FROM events)")
 def decode_references(spark, sf_dir):
     """Character references written as numbers in both notations and as names, decoded once."""
     e = table(spark, sf_dir, "events")

@@ -75,7 +75,7 @@ def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     }, runs)
 
 
-@Q.add(sql("""SELECT id, left(upper(replace(change_type, '_', ' ')) || ' — ' || product_key || ' ' || repeat('long name ', k), 256) AS title, len(f) AS n_fields, array_to_string(f, '|') AS fields, 'Alert ID: ' || id || ' · Review: http://r/alerts/' || id AS footer FROM (SELECT *, list_filter([CASE WHEN k % 3 > 0 THEN 'CPU=c' || CASE k % 3 WHEN 1 THEN ' (unseen before)' ELSE ' (not recognized)' END END,
+@Q.add(sql("""SELECT id, left(upper(replace(change_type, '_', ' ')) || ' — ' || product_key || ' ' || repeat('long name ', k), 256) AS title, len(f)::INTEGER AS n_fields, array_to_string(f, '|') AS fields, 'Alert ID: ' || id || ' · Review: http://r/alerts/' || id AS footer FROM (SELECT *, list_filter([CASE WHEN k % 3 > 0 THEN 'CPU=c' || CASE k % 3 WHEN 1 THEN ' (unseen before)' ELSE ' (not recognized)' END END,
  CASE WHEN k % 2 = 0 THEN 'Changed: memory=' || left(repeat('8 GB,', k * 5) || ' → ' || '16 GB', 1024) END, 'Severity=' || repeat('★', s) || repeat('☆', 5 - s), CASE WHEN k % 7 = 0 THEN 'Discovery=hidden listing' END, CASE WHEN k < 80 THEN 'Parse confidence=' || k || '%' END, 'Collector=' || collector, 'Alert type=' || change_type, 'Confidence=' || k || '%'], lambda x: x IS NOT NULL) AS f
 FROM (SELECT *, k % 5 + 1 AS s FROM v_events))""", "v_events"))
 def notification_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
