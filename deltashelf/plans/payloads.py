@@ -111,7 +111,7 @@ def components_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [p.filter("p_size < 10"), p.filter("p_size >= 10 and p_size < 30"), p.filter("p_size >= 30")]
     for n in (0, 1, 1, 2):
         ingest.learned(tables, parts[n].drop("p_size"), n)
-    return tables.read("components").select("canonical_name", "seen_at", "batch")
+    return tables.read("components").select("canonical_name", "seen_at", F.col("batch").cast("long").alias("batch"))
 
 
 @Q.add("""WITH b AS (SELECT s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos, s_suppkey FROM supplier), p AS (SELECT *, pos // 3 + 1 AS page FROM b WHERE NOT (n % 4 = 0 AND pos % 3 = 2 AND pos // 3 = 0)), short AS (SELECT n, min(page) AS stop FROM (SELECT n, page FROM p GROUP BY ALL HAVING count(*) < 3) GROUP BY n)
