@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by a permutation index.
 
 Each vector is represented by its nearest pivots in order of nearness and posted in the inverted files of
-the first few of them. The vectors are dealt to blocks by hash, each with its own inverted files; the
-queries, in blocks too, visit each block: the files of a query's nearest pivots are merged, what stands in
-at least two of them is ranked by the footrule distance between the two orders, over all those files, and
-the nearest share is scored exactly.
+the first few of them; the files hold the whole table. A query visits the files of its nearest pivots, each
+a group of its own, however many tasks there are: what stands there is ranked by the footrule distance
+between the two orders, what lies within the query's bound is scored exactly, and the file's k best leave
+it. The bound is the footrule distance within which a fixed share of a sample of the index lies. Files and
+the queries that visit one are split where they are large, so that a dense cluster isn't one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -24,14 +26,16 @@ from .common import stored
 LEAST_PIVOTS, MOST_PIVOTS = 256, 1024
 #: Cosine from which two vectors are too close to be pivots both, while there are others.
 ALIKE = 0.8
-#: How many nearest pivots make a vector's order, and a query's; in how many files a vector is posted, how many a query visits, and in how many of these a candidate stands.
-ORDER, ASKED, POSTED, VISITED, SHARED = 128, 64, 16, 24, 2
-#: Share of a block's vectors that a query scores exactly, and the least number of them.
+#: How many nearest pivots make a vector's order, and a query's.
+ORDER, ASKED = 128, 64
+#: In how many files a vector is posted; the share of all files that a query visits, and the least number of them.
+POSTED, VISITED, LEAST_VISITED = 4, 3 / 16, 48
+#: Share of the vectors that lie within a query's footrule bound, and the least number of them.
 SCORED, LEAST_SCORED = 0.05, 256
-#: Candidates nearer than this share of the median distance, as in a dense cluster whose orders are much alike, are all scored.
+#: What is nearer than this share of the median distance, as in a dense cluster whose orders are much alike, lies within the bound too.
 CLOSE = 0.6
-#: Vectors and queries of a block, about.
-BLOCK, QUERIES = 4096, 2048
+#: Postings and queries of one group at most, about.
+POSTINGS, QUERIES = 16384, 16384
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -43,6 +47,11 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, many: int) -> np.ndarray:
     return np.argsort(-(unit(vectors) @ pivots.T), axis=1, kind="stable")[:, :many].astype(np.int16)
 
 
+def table_of(column) -> np.ndarray:
+    """The vectors of an Arrow column, one a row, in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def apart(rows: np.ndarray, many: int) -> np.ndarray:
     """The first `many` unit rows that are not close to one taken before, so that a dense cluster doesn't take most pivots; then any."""
     taken: list[int] = []
@@ -62,32 +71,62 @@ def places(order: np.ndarray, pivots: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def footrule(query: np.ndarray, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sum over the query's pivots of the difference in place, for these rows."""
+def footrule(query: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sum over the query's pivots of the difference in place, for each of the orders."""
     steps = np.arange(len(query), dtype=np.int16)[:, None]
-    return np.abs(place[query[:, None], rows[None, :]] - steps).sum(axis=0, dtype=np.int32)
+    return np.abs(place[query] - steps).sum(axis=0, dtype=np.int32)
 
 
-def files(order: np.ndarray, pivots: int) -> list[np.ndarray]:
-    """The inverted files: for each pivot the rows that are posted there."""
-    posted = order[:, :POSTED].astype(np.int64)
-    at = np.argsort(posted, axis=None, kind="stable")
-    bounds = np.searchsorted(posted.ravel()[at], np.arange(pivots + 1))
-    rows = at // posted.shape[1]
-    return [rows[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+def bound(far: np.ndarray, vectors: int) -> int:
+    """The footrule distance up to which vectors are scored, by the distances of a sample of the index."""
+    share = min(1.0, max(SCORED, LEAST_SCORED / vectors))
+    return int(max(np.sort(far)[math.ceil(share * len(far)) - 1], CLOSE * np.median(far)))
 
 
-def candidates(own: np.ndarray, inverted: list[np.ndarray], rows: int) -> np.ndarray:
-    """Rows that stand in SHARED of the files that the query visits; if those are few, the rows that stand in most."""
-    found = np.bincount(np.concatenate([inverted[p] for p in own[:VISITED]]), minlength=rows)
-    most = np.flatnonzero(found >= SHARED)
-    return most if len(most) >= min(LEAST_SCORED, rows) else np.argsort(-found, kind="stable")[: min(LEAST_SCORED, rows)]
+def visits(pivots: int) -> int:
+    return min(pivots, max(LEAST_VISITED, math.ceil(VISITED * pivots)))
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Ids and vectors that can be compared; floats stay floats until they are computed with."""
     v = F.col(vector_col)
+    kind = table.schema[vector_col].dataType
+    v = v if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else v.cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return table.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector")).filter(F.coalesce(v.isNotNull() & fine, F.lit(False)))
+    return table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).filter(F.coalesce(v.isNotNull() & fine, F.lit(False)))
+
+
+def posted(rows: DataFrame, files: DataFrame, own: str, own_parts: str, other_parts: str) -> DataFrame:
+    """A row per file of `pivots`; a row stands in one of its own side's parts of a file, by hash of `own`, and meets all parts of the other side."""
+    at = rows.withColumn("pivot", F.explode("pivots")).drop("pivots").join(F.broadcast(files), "pivot")  # at most MOST_PIVOTS files
+    part = F.pmod(F.xxhash64(own), F.col(own_parts)).cast("int").alias(own_parts)
+    every = F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)).alias(other_parts)
+    return at.select(*rows.drop("pivots").columns, "pivot", part, every)
+
+
+def file_parts(indexed: DataFrame, asked: DataFrame) -> DataFrame:
+    """pivot, and the parts that its postings and its queries are split into."""
+    count = lambda rows, name: rows.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.count("*").alias(name))
+    both = count(indexed, "n_posted").join(count(asked, "n_asked"), "pivot")
+    return stored(both.select("pivot", F.ceil(F.col("n_posted") / POSTINGS).cast("int").alias("split"), F.ceil(F.col("n_asked") / QUERIES).cast("int").alias("lot")), "ann-files")
+
+
+def represented(rows: DataFrame, length: int, shared, many: int, sample=None, vectors: int = 0) -> DataFrame:
+    """Rows with their order, the `many` pivots whose files they go to, and for queries their footrule bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                full = orders(table_of(b.column("vector")), shared.value, max(length, many))
+                out = {n: b.column(n) for n in b.schema.names}
+                out["order"] = pa.array([o.tobytes() for o in np.ascontiguousarray(full[:, :length])], pa.binary())
+                out["pivots"] = pa.array(list(full[:, :many].astype(np.int32)), pa.list_(pa.int32()))
+                if sample is not None:
+                    out["within"] = pa.array([bound(footrule(o, sample.value), vectors) for o in full[:, :length].astype(np.int64)], pa.int32())
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("order", T.BinaryType()), T.StructField("pivots", T.ArrayType(T.IntegerType())), *([T.StructField("within", T.IntegerType())] if sample is not None else [])])
+    return rows.mapInArrow(run, schema)
 
 
 def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
@@ -110,51 +149,43 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     sample = distinct.orderBy(F.xxhash64("key"), "key").limit(2 * many).select("vector").collect()  # at most 2 * MOST_PIVOTS rows
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    chosen = apart(unit(np.array([r[0] for r in sample], np.float64)), many)
+    sampled = np.array([r[0] for r in sample], np.float64)
+    chosen = apart(unit(sampled), many)
     pivot_count = len(chosen)
+    length, asks = min(ORDER, pivot_count), min(ASKED, pivot_count)
     shared = spark.sparkContext.broadcast(chosen)  # at most MOST_PIVOTS vectors
+    spread = spark.sparkContext.broadcast(places(orders(sampled, chosen, length), pivot_count))  # at most 2 * MOST_PIVOTS orders
 
-    def represent(length: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    order = orders(np.stack(b.column("vector").to_numpy(zero_copy_only=False)), shared.value, length)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(order), pa.list_(pa.int16()))], [*b.schema.names, "order"])
-
-        return run
-
-    blocks, lots = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(queries.count() / QUERIES))
-    every = lambda name, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(name)
-    dealt = lambda key, many: F.pmod(F.xxhash64(key), F.lit(many)).cast("int")
-    indexed = distinct.mapInArrow(represent(min(ORDER, pivot_count)), "vector array<double>, ids array<long>, key long, order array<short>")
-    asked = queries.mapInArrow(represent(min(ASKED, pivot_count)), "query_id long, vector array<double>, order array<short>")
-    indexed = indexed.select("vector", "ids", "order", dealt("key", blocks).alias("block"), every("lot", lots))
-    asked = asked.select("query_id", "vector", "order", dealt("query_id", lots).alias("lot"), every("block", blocks))
+    indexed = stored(represented(distinct, length, shared, min(POSTED, pivot_count)), "ann-index")
+    asked = stored(represented(queries, asks, shared, visits(pivot_count), spread, n), "ann-asked")
+    files = file_parts(indexed, asked)
 
     def visit(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(v):
-            vectors = np.stack(v["vector"].to_numpy())
+            vectors = np.stack(v["vector"].to_numpy()).astype(np.float64)
             norms = np.sqrt((vectors * vectors).sum(axis=1))
-            order = np.stack(v["order"].to_numpy())
-            place, inverted = places(order, pivot_count), files(order, pivot_count)
+            place = places(np.frombuffer(b"".join(v["order"]), np.int16).reshape(len(v), length), pivot_count)
             ids = v["ids"].to_numpy()
-            most = max(LEAST_SCORED, math.ceil(SCORED * len(v)))
-            for query_id, vector, own in zip(q["query_id"], q["vector"], q["order"], strict=True):
-                own = np.asarray(own, np.int64)
-                best = candidates(own, inverted, len(v))
-                if len(best) > most:
-                    far = footrule(own, place, best)
-                    best = best[far <= max(np.partition(far, most - 1)[most - 1], CLOSE * np.median(far))]
-                x = np.asarray(vector)
-                score = (vectors[best] @ x) / (norms[best] * np.sqrt((x * x).sum()))
+            for query_id, vector, own, within in zip(q["query_id"], q["vector"], q["order"], q["within"], strict=True):
+                far = footrule(np.frombuffer(own, np.int16).astype(np.int64), place)
+                best = np.flatnonzero(far <= within)
+                if len(best) <= k:
+                    # a file gives k all the same, so that no query goes without
+                    best = np.argsort(far, kind="stable")[: k + 1]
+                x = np.asarray(vector, np.float64)
+                size = np.sqrt((x * x).sum())
+                score = (vectors[best] @ x) / (norms[best] * size)
                 top = best[np.argpartition(-score, k)[: k + 1]] if len(best) > k + 1 else best
                 # the scores that count are taken one by one, so that equal vectors score alike everywhere
-                for i in top:
-                    exact = float((vectors[i] * x).sum() / (norms[i] * np.sqrt((x * x).sum())))
-                    out += [(query_id, int(j), exact) for j in ids[i] if j != query_id]
+                near = [(-float((vectors[i] * x).sum() / (norms[i] * size)), int(j)) for i in top for j in ids[i] if j != query_id]
+                out += [(query_id, j, -far_off) for far_off, j in sorted(near)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("lot", "block").cogroup(indexed.groupBy("lot", "block")).applyInPandas(visit, "query_id long, vec_id long, score double")
+    by = ("pivot", "split", "lot")
+    left = posted(asked, files, "query_id", "lot", "split").groupBy(*by)
+    right = posted(indexed, files, "key", "split", "lot").select("vector", "ids", "order", *by).groupBy(*by)
+    # a vector that stands in several of the files is found in each
+    found = left.cogroup(right).applyInPandas(visit, "query_id long, vec_id long, score double").repartition("query_id").dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
