@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> CoT
     """The fitted model, or None where the labelled sample doesn't hold both classes in each of its parts.
 
     At most LABELLED labelled documents are taken, in hash order of doc_id, so the sample is the same
-    wherever the rows lie; of a doc_id that repeats, one row. All rows without a label are scored in each
+    wherever the rows lie; of a doc_id that repeats, the row of the least features. All rows without a label are scored in each
     round. Rows without id or label, and ids labelled twice unlike, teach nothing.
     """
     h = F.xxhash64("doc_id").alias("h")
@@ -229,7 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> CoT
         if turn == ROUNDS:
             break
         shared = docs.sparkSession.sparkContext.broadcast(calibrated(models["text"], models["meta"], t[sure], m[sure], y[sure]))  # a few thousand weights
-        found = every.mapInArrow(_confident(shared, turn), HANDOVER.format(kind=kind)).join(known.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["view", "label", "doc_id"])
+        found = every.mapInArrow(_confident(shared, turn), HANDOVER.format(kind=kind)).join(known.select("doc_id"), "doc_id", "left_anti")
+        # of a repeated id the least features, so that they are the same ones each time
+        found = found.groupBy("view", "label", "h", "doc_id").agg(F.min("features").alias("features"))
         # first within pieces, so that what reaches the four last groups is bounded whatever the number of tasks
         piece = F.row_number().over(Window.partitionBy("view", "label", "piece").orderBy("h", "doc_id"))
         found = found.withColumn("piece", F.pmod("h", F.lit(PIECES))).withColumn("nth", piece).filter(F.col("nth") <= HANDED)

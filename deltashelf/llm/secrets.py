@@ -115,8 +115,8 @@ def counter(path: str) -> Callable[[str], int]:
 def scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans array<struct<kind, start, end>> of each row's whole text.
 
-    A null or empty text has no spans; repeated rows give repeated rows; an empty table an empty result;
-    further columns play no part.
+    A null or empty text has no spans; very long texts are scanned whole, offsets count from their start;
+    repeated rows give repeated rows; an empty table an empty result; further columns play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,11 @@ def scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 
 def redact(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """docs with each secret in text_col replaced by [kind]; overlapping spans become one, under the first's kind. Nulls stay null."""
+    """docs with each secret in text_col replaced by [kind]; overlapping spans become one, under the first's kind.
+
+    Nulls stay null and empty texts empty; very long texts are redacted whole; repeated rows stay repeated;
+    an empty table gives an empty result; further columns, whatever their names, are kept as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)

@@ -155,8 +155,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) and reads all back; one row per row of pages.
 
-    A null html is an empty payload; payloads under LEAST_REVISIT bytes are all responses; an empty table
-    gives no archive and an empty result; repeated rows each get a record; further columns play no part.
+    A null html is an empty payload; payloads under LEAST_REVISIT bytes are all responses; very long ones
+    are written and digested whole; an empty table gives no archive and an empty result; repeated rows
+    each get a record; further columns play no part.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
