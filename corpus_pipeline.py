@@ -26,7 +26,12 @@ def _rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are judged by their metadata and the features of an empty text, very long ones whole;
+    repeated rows are judged alike and all stay or go, so do ties at the bound; where the labels don't hold both
+    classes, as in empty tables, every document stays; other columns, whatever their names, are kept as they are.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, model, carry=docs.columns)
     return scored.filter("keep").select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
@@ -51,13 +56,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by their kind in brackets; every document stays."""
+    """Secrets in the texts are replaced by their kind in brackets; every document stays.
+
+    Null and empty texts stay as they are, very long ones are searched whole; repeated rows stay repeated; where there
+    is a column n_chars it counts the new text; other columns, whatever their names, are kept as they are.
+    """
     clean = secrets.redact(docs, _path("byte_bpe_50k.tiktoken"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    Null and empty texts are one id each, very long ones are cut into full sequences first; repeated rows are packed
+    each; an empty table gives an empty result; further columns play no part.
+    """
     return packing.pack(docs, _path("byte_bpe_50k.json"), 1024, 0)
 
 
