@@ -66,14 +66,16 @@ def signal_rates(events: DataFrame) -> DataFrame:
 
 
 def runtime_state(runs: DataFrame | None, writable: bool) -> DataFrame:
-    """One row: the last finished run whatever its status, the state by whether the run log exists and its folder can be written, and reasons.
+    """One row: id, source, status and end of the last finished run whatever its status, the state by whether the run log exists and its folder can be written, and reasons.
 
-    Neither is failed, one of them degraded; how the last run ended, or how long ago, doesn't count.
+    Neither is failed, one of them degraded; how the last run ended, or how long ago, doesn't count. Of runs that ended at once the last is that of
+    the greatest id; without a finished run its columns are null.
     """
     state = F.lit("healthy" if runs is not None and writable else "failed" if runs is None and not writable else "degraded").alias("state")
     why = [] if writable else ["folder not writable"]
     if runs is None:
-        return SparkSession.active().range(1).select(F.lit(None).cast("timestamp_ntz").alias("last_finished_run"), state, F.array(*map(F.lit, ["no run log", *why])).alias("reasons"))
-    last = runs.agg(F.max("finished_at").alias("last_finished_run"))
-    reasons = F.array_compact(F.array(*map(F.lit, why), F.when(F.lit(not why) & F.col("last_finished_run").isNull(), "no finished run")))
-    return last.select("last_finished_run", state, reasons.alias("reasons"))
+        none = (F.lit(None).cast(kind).alias(name) for name, kind in (("id", "bigint"), ("source", "string"), ("status", "string"), ("last_finished_run", "timestamp_ntz")))
+        return SparkSession.active().range(1).select(*none, state, F.array(*map(F.lit, ["no run log", *why])).alias("reasons"))
+    last = runs.filter("finished_at is not null").agg(F.max_by(F.struct("id", "source", "status", "finished_at"), F.struct("finished_at", "id")).alias("last"))
+    reasons = F.array_compact(F.array(*map(F.lit, why), F.when(F.lit(not why) & F.col("last").isNull(), "no finished run")))
+    return last.select("last.id", "last.source", "last.status", F.col("last.finished_at").alias("last_finished_run"), state, reasons.alias("reasons"))

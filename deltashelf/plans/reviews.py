@@ -319,7 +319,7 @@ def outbox_status(spark, sf_dir):
     return state.marked(outbox, results).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("attempts"))
 
 
-@Q.add(sql("SELECT max(finished_at) AS last_finished_run, 'healthy' AS state, '' AS reasons FROM v_runs", "v_runs"))
+@Q.add(sql("SELECT r.id, r.source, r.status, r.finished_at AS last_finished_run, 'healthy' AS state, CASE WHEN r IS NULL THEN 'no finished run' ELSE '' END AS reasons FROM (SELECT arg_max({'id': id, 'source': source, 'status': status, 'finished_at': finished_at}, (finished_at, id)) FILTER (WHERE finished_at IS NOT NULL) AS r FROM v_runs)", "v_runs"))
 def runtime_state(spark, sf_dir):
     return health.runtime_state(views.runs(spark, sf_dir), shared.writable(spark, shared.folder(spark))).withColumn("reasons", F.array_join("reasons", ","))
 

@@ -135,6 +135,17 @@ def test_health(spark):
     assert (got[0].health, got[1].health, got[2].health, got[5].health) == ("ok", "degraded", "failed", "failed")
 
 
+def test_runtime_state_has_the_last_run(spark):
+    """The whole record of the last finished run, not only its time; a run that hasn't ended, or none, gives no other."""
+    at = dt.datetime(2024, 1, 1)
+    kind = "id bigint, source string, status string, finished_at timestamp_ntz"
+    runs = spark.createDataFrame([(9, "a", "ok", at), (7, "b", "failed", at + dt.timedelta(days=1)), (8, "c", "ok", at + dt.timedelta(days=1)), (10, "d", "ok", None)], kind)
+    assert [tuple(r) for r in health.runtime_state(runs, True).collect()] == [(8, "c", "ok", at + dt.timedelta(days=1), "healthy", [])]
+    assert tuple(health.runtime_state(runs, False).first())[:1] + tuple(health.runtime_state(runs, False).first())[4:] == (8, "degraded", ["folder not writable"])
+    assert tuple(health.runtime_state(runs.filter("id = 10"), True).first()) == (None, None, None, None, "healthy", ["no finished run"])
+    assert tuple(health.runtime_state(None, False).first()) == (None, None, None, None, "failed", ["no run log", "folder not writable"])
+
+
 def test_suggestions(spark):
     rows = [("s", "price_changed", "NOISE", ["OTHER"], T0, 1.0, None, None, (None, None, None))] * 12 + [("s", "images_changed", "HIT", [], T0, None, ["u?a"], ["u?b"], (None, None, None))] * 12
     d = spark.createDataFrame(rows, "collector string, alert_type string, outcome string, reasons array<string>, detected_at timestamp, magnitude_pct double, old_urls array<string>, new_urls array<string>, meta struct<content_hash_before:string,content_hash_after:string,identical_content_hash:boolean>")
