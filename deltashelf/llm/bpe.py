@@ -17,17 +17,71 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class After(dict):
+    """Tokens that may follow a token, each with whether the pair is stable, as they are asked for."""
+
+    __slots__ = ("merges", "token")
+
+    def __init__(self, merges: Merges, token: int):
+        self.merges, self.token = merges, token
+
+    def __missing__(self, b: int) -> bool:
+        m = self.merges
+        if m.kept >= m.KEEP:
+            for x in m.after.values():
+                x.clear()
+            m.kept = 0
+        got = self[b] = m.stable(self.token, b)
+        m.kept += 1
+        return got
+
+
+class Rows(dict):
+    """After by token."""
+
+    __slots__ = ("merges",)
+
+    def __missing__(self, a: int) -> After:
+        got = self[a] = After(self.merges, a)
+        return got
+
+
+class State(dict):
+    """A state of the automaton, the longest end of the text that begins a token: next states by symbol, as they are asked for.
+
+    ends: the tokens that end here, the longest first, with their length and what may follow them; closes: those that end a word.
+    """
+
+    __slots__ = ("merges", "text", "ends", "closes")
+
+    def __init__(self, merges: Merges, text: str):
+        self.merges, self.text = merges, text
+        here = [text[i:] for i in range(len(text))]
+        self.ends, self.closes = (tuple((known[t], len(t), merges.after[known[t]]) for t in here if t in known) for known in (merges.standing, merges.final))
+
+    def __missing__(self, symbol: str) -> State:
+        m, t = self.merges, self.text + symbol
+        while t not in m.begun:
+            t = t[1:]
+        got = m.states.get(t)
+        if got is None:
+            got = m.states[t] = State(m, t)
+        if m.steps < m.KEEP:
+            m.steps += 1
+            self[symbol] = got
+        return got
+
+
 class Merges:
     """A merge list by ids: what each token is made of, and which pairs of tokens are stable."""
 
-    #: Stable pairs remembered at most.
+    #: Pairs of tokens, and steps between states, remembered at most.
     KEEP = 1 << 19
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
@@ -49,14 +103,16 @@ class Merges:
         #: A token that ends later begins less than the longest token's length back.
         self.lookahead = self.longest - 1
         self.alone: dict[int, bool] = {}
-        self.pairs: dict[int, bool] = {}
         self.left, self.right = {}, {}
         self.final = {t: i for t, i in self.final.items() if self.stands(i)}
-        self.ending = ahocorasick.Automaton()
-        for t, i in self.plain.items():
-            if self.stands(i):
-                self.ending.add_word(t, (i, len(t)))
-        self.ending.make_automaton()
+        self.standing = {t: i for t, i in self.plain.items() if self.stands(i)}
+        self.after, self.kept = Rows(), 0
+        self.after.merges = self
+        #: What tokens begin with, and the states so far; the first is that of no symbols.
+        self.begun = {t[:i] for known in (self.standing, self.final) for t in known for i in range(len(t) + 1)} | {""}
+        self.states: dict[str, State] = {}
+        self.steps = 0
+        self.start = self.states[""] = State(self, "")
 
     def _edge(self, token: int, side: int, kept: dict) -> list[tuple[int, int]]:
         """The parts of a token that touch its edge, least first, each with the rank of the merge that ends it."""
@@ -75,30 +131,21 @@ class Merges:
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the symbols of a and b, merged together, end as a and b: no merge across the border comes up in time."""
-        key = a << 32 | b
-        got = self.pairs.get(key)
-        if got is None:
-            xs, ys = self._edge(a, 2, self.right), self._edge(b, 1, self.left)
-            i = j = 0
-            rank = self.rank.get
-            got = True
-            while True:
-                (x, x_ends), (y, y_ends) = xs[i], ys[j]
-                r = rank(x << 32 | y)
-                # of merges of one rank the leftmost goes first
-                if r is not None and r < x_ends and r <= y_ends:
-                    got = False
-                    break
-                if x_ends <= y_ends:
-                    i += 1
-                else:
-                    j += 1
-                if i == len(xs) or j == len(ys):
-                    break
-            if len(self.pairs) >= self.KEEP:
-                self.pairs.clear()
-            self.pairs[key] = got
-        return got
+        xs, ys = self._edge(a, 2, self.right), self._edge(b, 1, self.left)
+        i = j = 0
+        rank = self.rank.get
+        while True:
+            (x, x_ends), (y, y_ends) = xs[i], ys[j]
+            r = rank(x << 32 | y)
+            # of merges of one rank the leftmost goes first
+            if r is not None and r < x_ends and r <= y_ends:
+                return False
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+            if i == len(xs) or j == len(ys):
+                return True
 
     def stands(self, token: int) -> bool:
         """Whether the token's own symbols are merged into it: its parts stand, and theirs is the merge that comes last."""
@@ -135,8 +182,9 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        # text after the last settled position; for each position in it the last token up to there and where that begins
-        self.buffer, self.token, self.begin = "", [-1], [-1]
+        # text after the last settled position; for each position in it the last token up to there, by what may follow it, and where that begins
+        self.buffer, self.after, self.begin = "", [None], [-1]
+        self.state = self.m.start
 
     def feed(self, text: str, last: bool = False) -> list[int]:
         out: list[int] = []
@@ -152,42 +200,35 @@ class Encoder:
 
     def _take(self, text: str, last: bool) -> None:
         m = self.m
-        buffer = self.buffer = self.buffer + text
-        token, begin = self.token, self.begin
-        stable, pairs = m.stable, m.pairs
-        n = len(buffer)
-        old = n - len(text)
-        # the automaton reports, for each position, the tokens that end there, the longest first
-        done, stop = old, n - 1 if last else n
-        for end, (t, size) in m.ending.iter(buffer, max(0, old - m.longest), stop):
+        after, begin, state = self.after, self.begin, self.state
+        end = len(self.buffer)
+        self.buffer += text
+        for symbol in text[:-1] if last else text:
             end += 1
-            if end != done + 1:
-                continue
-            start = end - size
-            p = token[start]
-            if p >= 0:
-                ok = pairs.get(p << 32 | t)
-                if not (stable(p, t) if ok is None else ok):
-                    continue
-            token.append(t)
-            begin.append(start)
-            done = end
-        if done != stop:
-            raise ValueError(f"no token ends with {buffer[done]!r}")
+            state = state[symbol]
+            for t, size, following in state.ends:
+                before = after[end - size]
+                if before is None or before[t]:
+                    after.append(following)
+                    begin.append(end - size)
+                    break
+            else:
+                raise ValueError(f"no token ends with {symbol!r}")
+        self.state = state
         if last:
-            known = m.final
-            for start in range(max(0, n - m.longest), n):
-                t = known.get(buffer[start:n])
-                if t is not None and (token[start] < 0 or stable(token[start], t)):
-                    token.append(t)
-                    begin.append(start)
+            end += 1
+            for t, size, following in state[text[-1]].closes:
+                before = after[end - size]
+                if before is None or before[t]:
+                    after.append(following)
+                    begin.append(end - size)
                     return
-            raise ValueError(f"no token ends a word with {buffer[-1]!r}")
+            raise ValueError(f"no token ends a word with {text[-1]!r}")
 
     def _chain(self, end: int) -> list[int]:
         got = []
         while end > 0:
-            got.append(self.token[end])
+            got.append(self.after[end].token)
             end = self.begin[end]
         return got[::-1]
 
@@ -203,7 +244,7 @@ class Encoder:
         if upto <= 0:
             return []
         out = self._chain(upto)
-        self.buffer, self.token = self.buffer[upto:], self.token[upto:]
+        self.buffer, self.after = self.buffer[upto:], self.after[upto:]
         self.begin = [x - upto for x in self.begin[upto:]]
         return out
 
@@ -280,15 +321,20 @@ def _class(test) -> re.Pattern:
 UNKNOWN = _class(lambda c: unicodedata.category(c) == "Cn")
 
 
-def unknown(text: str) -> bool:
+def narrow(text: str) -> bool:
+    """Whether a text holds none but the first 256 code points."""
     if text.isascii():
-        return False
+        return True
     try:
-        # the first 256 code points are all known, and most texts hold no others
         text.encode("latin-1")
-        return False
+        return True
     except UnicodeEncodeError:
-        return UNKNOWN.search(text) is not None
+        return False
+
+
+def unknown(text: str) -> bool:
+    # the first 256 code points are all known, and most texts hold no others
+    return not narrow(text) and UNKNOWN.search(text) is not None
 
 
 def odd_number(text: str) -> bool:
@@ -298,6 +344,32 @@ def odd_number(text: str) -> bool:
 #: White space as Unicode's property has it (fixed values); Python's own class adds four separators.
 WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 SPACE_RUN = re.compile(f"[{WHITE}]+")
+#: The classes that end the splitter's pattern, and of the first 256 code points those in each (letters, numbers, all else but white space), spelt out.
+CLASSES = (r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+")
+NARROW = [
+    "[" + "".join(re.escape(c) for c in map(chr, range(256)) if test(c)) + "]"
+    for test in (lambda c: unicodedata.category(c)[0] == "L", lambda c: unicodedata.category(c)[0] == "N", lambda c: unicodedata.category(c)[0] not in "LN" and not re.match(f"[{WHITE}]", c))
+]
+
+
+class Known(dict):
+    """Bytes of the ids and of the decoded text by word. Of two generations the older goes when the younger is full; long words are not kept."""
+
+    __slots__ = ("tokenizer", "keep", "older")
+
+    def __init__(self, tokenizer: WordTokenizer, keep: int):
+        self.tokenizer, self.keep, self.older = tokenizer, keep, {}
+
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+        got = self.older.get(word)
+        if got is None:
+            got = self.tokenizer._ids(self.tokenizer.encode_word(word))
+        if len(word) <= 64:
+            if len(self) >= self.keep:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
+        return got
 
 
 class WordTokenizer:
@@ -322,19 +394,31 @@ class WordTokenizer:
 
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split_any = regex.compile(pattern.replace(r"\s", WHITE))
-        self.split_plain = re.compile(pattern.replace(r"[\p{L}]", r"[^\W\d_]").replace(r"[\p{N}]", r"\d").replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^{WHITE}\w]|_)+"))
+        head, tail = pattern.removesuffix("|".join(CLASSES)), (r"[^\W\d_]+", r"\d", rf"(?:[^{WHITE}\w]|_)+")
+        if not re.fullmatch(r"('[a-z]+\|)*", head) or head == pattern:
+            raise ValueError(f"a splitter of another kind: {pattern}")
+        # what begins with an apostrophe begins no letters and no number, so these can be tried first, as most words are letters
+        self.split_plain, self.split_narrow = (re.compile(f"{letters}|{number}|{head}{other}") for letters, number, other in (tail, (NARROW[0] + "+", NARROW[1], NARROW[2] + "+")))
         self.encoder = Encoder(self.merges)
         self.path, self.library = path, None
-        self.known: dict[str, tuple[bytes, bytes, int]] = {}
-        self.older: dict[str, tuple[bytes, bytes, int]] = {}
-        self.keep = keep
+        #: Bytes of each id, and of its token's text.
+        self.number = {i: i.to_bytes(4, "little") for i in self.token}
+        self.written = {i: t.encode() for i, t in self.token.items()}
+        self.between = self.joined.encode()
+        self.known = Known(self, keep)
 
     def normal(self, text: str) -> str:
+        return self.lower(SPACE_RUN.sub(" ", text))
+
+    def lower(self, text: str) -> str:
+        """The normal form but for runs of white space, which only part words."""
+        text = unicodedata.normalize("NFC", text)
         # lower-casing goes character by character, so the final sigma has no form of its own
-        text = SPACE_RUN.sub(" ", unicodedata.normalize("NFC", text))
         return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
 
     def words(self, text: str) -> list[str]:
+        if narrow(text):
+            return self.split_narrow.findall(text)
         split = self.split_any if odd_number(text) else self.split_plain
         return split.findall(text)
 
@@ -347,36 +431,29 @@ class WordTokenizer:
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
 
     def encode_word(self, word: str) -> list[int]:
-        return self.encoder.feed("".join([BYTE_TEXT[b] for b in word.encode("utf-8", "surrogatepass")]), last=True)
+        # printable ASCII stands for itself, and words hold no space
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([BYTE_TEXT[b] for b in word.encode("utf-8", "surrogatepass")])
+        return self.encoder.feed(word, last=True)
 
-    def _entry(self, word: str) -> tuple[bytes, bytes, int]:
-        old = self.older.get(word)
-        if old is not None:
-            return self._remember(word, old)
-        return self._remember(word, self._ids(self.encode_word(word)))
-
-    def _ids(self, ids: list[int]) -> tuple[bytes, bytes, int]:
-        return np.array(ids, "<u4").tobytes(), self.joined.join(self.token[i] for i in ids).encode(), len(ids)
-
-    def _remember(self, word: str, entry: tuple[bytes, bytes, int]) -> tuple[bytes, bytes, int]:
-        if len(word) <= 64:
-            if len(self.known) >= self.keep:
-                self.known, self.older = {}, self.known
-            self.known[word] = entry
-        return entry
+    def _ids(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return b"".join([self.number[i] for i in ids]), self.between.join([self.written[i] for i in ids])
 
     def digests(self, text: str) -> tuple[int, bytes, bytes]:
         """Number of ids, their bytes and the decoded text's bytes."""
-        get, entries = self.known.get, []
+        entries: list[tuple[bytes, bytes]] = []
         for kind, part in self.segments(text):
             if kind:
-                entries.append((np.array([self.special[part]], "<u4").tobytes(), part.encode(), 1))
+                entries.append(self._ids([self.special[part]]))
             elif unknown(part):
                 entries += [self._ids(self.encoder.feed(w, last=True)) for w in self.newer(part)]
             else:
-                for w in self.words(self.normal(part)):
-                    entries.append(get(w) or self._entry(w))
-        return sum(e[2] for e in entries), b"".join([e[0] for e in entries]), self.joined.encode().join([e[1] for e in entries])
+                entries += map(self.known.__getitem__, self.words(self.lower(part)))
+        if not entries:
+            return 0, b"", b""
+        numbers, written = zip(*entries, strict=True)
+        data = b"".join(numbers)
+        return len(data) // 4, data, self.between.join(written)
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         if self.special_at is None or "<|" not in text:
