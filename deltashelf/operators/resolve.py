@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import same_product
-from ..shared import stored
+from ..shared import dropped, release, stored
 from .state import latest
 
 NEWEST = ("last_seen", "id")
@@ -62,21 +64,45 @@ def unseen(components: DataFrame, known: DataFrame, name: str, order: list[str])
     return components.join(flags, name, "left").withColumn("is_unseen", F.when(F.col(name).isNotNull(), F.col("_known").isNull() & first)).drop("_known")
 
 
-#: Orders that one window holds at most, as a power of two.
-SPAN = 16
+#: Rows of a key that one window holds at most. A key with more is cut into spans of so many orders, as a power of two.
+HOT, SPAN = 1 << 20, 16
+#: Rows that are sent to all tasks at most.
+FEW = 50_000
+
+
+def windowed(rows: DataFrame, key: list[str], order: Column, values: dict[str, Column]) -> DataFrame:
+    """Adds, by name, each value's last one, nulls aside, of the key's rows of smaller order (a whole number, one row each)."""
+    window = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({name: F.last(v, ignorenulls=True).over(window) for name, v in values.items()})
 
 
-def earlier(rows: DataFrame, key: list[str], order: Column, value: Column, name: str) -> DataFrame:
-    """Adds the last value, nulls aside, of the key's rows of smaller order (a whole number, one row each).
+def earlier(rows: DataFrame, key: list[str], order: Column, values: dict[str, Column]) -> DataFrame:
+    """As `windowed`, for keys of any number of rows.
 
     Windows hold at most 2^16 orders; what stands before each is handed on from one to the next, so no task takes a key.
     """
-    rows = rows.withColumns({"_order": order, "_value": value}).withColumn("_span", F.shiftright("_order", SPAN))
+    of, ends = {n: f"_value_{n}" for n in values}, {n: f"_end_{n}" for n in values}
+    rows = rows.withColumns({"_order": order} | {of[n]: v for n, v in values.items()}).withColumn("_span", F.shiftright("_order", SPAN))
     inside = Window.partitionBy(*key, "_span").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(*key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*key, "_span").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_order"))).alias("_end")).withColumn("_end", F.last("_end", ignorenulls=True).over(along))
-    out = rows.withColumn(name, F.last("_value", ignorenulls=True).over(inside)).join(ends, [*key, "_span"], "left")
-    return out.withColumn(name, F.coalesce(name, "_end")).drop("_order", "_value", "_span", "_end")
+    last = rows.groupBy(*key, "_span").agg(*(F.max_by(of[n], F.when(F.col(of[n]).isNotNull(), F.col("_order"))).alias(ends[n]) for n in values))
+    last = last.withColumns({e: F.last(e, ignorenulls=True).over(along) for e in ends.values()})
+    out = rows.withColumns({n: F.last(v, ignorenulls=True).over(inside) for n, v in of.items()}).join(last, [*key, "_span"], "left")
+    return out.withColumns({n: F.coalesce(n, e) for n, e in ends.items()}).drop("_order", "_span", *of.values(), *ends.values())
+
+
+def by_key(rows: DataFrame, key: str, steps: Callable[[DataFrame, Callable], DataFrame]) -> DataFrame:
+    """What steps make of a stored table's rows, by one window a key (`windowed`), but for keys of over HOT rows (`earlier`).
+
+    Keys are counted one by one only in buckets with so many rows, and hot ones are so few that all tasks get them.
+    """
+    dealt = rows.select(key, F.pmod(F.xxhash64(key), F.lit(1 << 16)).alias("_bucket"))
+    full = dealt.groupBy("_bucket").count().filter(F.col("count") > HOT).select("_bucket")
+    if full.isEmpty():
+        return steps(rows, windowed)
+    hot = stored(dealt.join(F.broadcast(full), "_bucket", "left_semi").groupBy(key).count().filter(F.col("count") > HOT).select(key), "resolve-hot")
+    plain = steps(rows.join(F.broadcast(hot), key, "left_anti"), windowed)
+    return plain.unionByName(steps(rows.join(F.broadcast(hot), key, "left_semi"), earlier))
 
 
 def resolve_in_order(incoming: DataFrame, listings: DataFrame) -> DataFrame:
@@ -88,55 +114,84 @@ def resolve_in_order(incoming: DataFrame, listings: DataFrame) -> DataFrame:
     the last one that wasn't null; the prior's own SKU and model decide on vetoes. Empty SKUs lead nowhere.
 
     A record looks up what came just before it under its SKU, and under its model key. What has changed its
-    SKU meanwhile is stepped over, to what came before that, until no such step is left.
+    SKU meanwhile is stepped over, to what came before that, until no such step is left. By listing, by SKU and by model key
+    the records go through one exchange each, with no more columns than the step needs, and its files are let go before the next.
     """
+    spark, own = incoming.sparkSession, ["at", "product_key", "model", "model_key", "vendor_sku"]
+
+    def keep(rows: DataFrame, name: str) -> DataFrame:
+        out = stored(rows, f"resolve-{name}", "zstd")
+        release(spark)
+        return out
+
     known = listings.select("product_key", F.col("model").alias("t_model"), F.col("model_key").alias("t_key"), F.col("vendor_sku").alias("t_sku"), "last_seen", "id")
-    firsts = incoming.groupBy("product_key").agg(F.min("at").alias("first_at"), F.min_by("model_key", "at").alias("first_key"))
-    rows = incoming.select("at", "product_key", "model", "model_key", "vendor_sku").join(firsts, "product_key").join(known.select("product_key", "t_key", "t_sku", F.lit(True).alias("in_table")), "product_key", "left")
-    rows = earlier(rows, ["product_key"], F.col("at"), F.col("vendor_sku"), "old_sku")
-    rows = earlier(rows, ["product_key"], F.col("at"), F.col("at"), "own_at")
-    rows = rows.withColumn("old_sku", F.coalesce("old_sku", "t_sku")).withColumn("sku", F.coalesce("vendor_sku", "old_sku"))
-    moved = F.when(~F.col("sku").eqNullSafe(F.col("old_sku")) & (F.col("in_table") | (F.col("at") != F.col("first_at"))), F.col("at"))
-    rows = stored(earlier(rows.withColumn("moved", moved), ["product_key"], -F.col("at"), F.col("moved"), "until"), "resolve-rows")
-
-    # under each SKU: records, listings of the table that change theirs in this batch, and of the others the newest
-    place = lambda at, k, sku, model, until: F.struct(at.alias("at"), k.alias("k"), sku.alias("sku"), model.alias("model"), until.alias("until"))
-    none = F.lit(None).cast("long")
-    leaving = rows.filter("in_table").groupBy("product_key").agg(F.min("moved").alias("until")).filter("until is not null")
+    at = F.col("at")
+
+    def listed(rows: DataFrame, look: Callable) -> DataFrame:
+        rows = rows.join(known.select("product_key", "t_key", "t_sku", F.lit(True).alias("in_table")), "product_key", "left")
+        rows = look(rows, ["product_key"], at, {"old_sku": F.col("vendor_sku"), "own_at": at})
+        first = F.col("own_at").isNull()
+        rows = look(rows, ["product_key"], at, {"_first": F.when(first, F.struct(F.col("model_key").alias("key")))})
+        old = F.coalesce("old_sku", "t_sku")
+        rows = rows.withColumn("sku", F.coalesce("vendor_sku", old)).withColumn("moved", F.when(~F.col("sku").eqNullSafe(old) & (F.col("in_table") | ~first), at))
+        rows = look(rows, ["product_key"], -at, {"until": F.col("moved")})
+        key = F.coalesce("t_key", F.when(first, F.col("model_key")).otherwise(F.col("_first.key")))
+        leaves = F.when(F.col("in_table") & first, F.coalesce("moved", "until"))
+        return rows.select(*own, "sku", key.alias("key"), "own_at", "until", leaves.alias("leaves"), (F.col("in_table").isNull() & first).alias("fresh"))
+
+    batch = keep(incoming.select(own).filter("product_key is not null and at is not null"), "batch")
+    rows = keep(by_key(batch, "product_key", listed), "rows")
+    dropped(batch)
+
+    # under each SKU: records, listings of the table that change theirs in this batch, and of the others the newest; of listings, only the first record of one that the table lacks looks elsewhere
+    leaving = rows.filter("leaves is not null").select("product_key", F.col("leaves").alias("until"))
     table = known.filter("t_sku <> ''").join(leaving, "product_key", "left")
     nth = F.row_number().over(Window.partitionBy("t_sku").orderBy(F.desc("last_seen"), F.desc("id")))
-    stays = table.filter("until is null").groupBy("t_sku").agg(F.max_by(F.struct("product_key", "t_model", "last_seen", "id", "until"), F.struct("last_seen", "id")).alias("x")).select("t_sku", "x.*")
-    table = table.filter("until is not null").select(*stays.columns).unionByName(stays).withColumn("at", -nth.cast("long"))
-    under_sku = rows.filter("sku <> ''").select(F.col("sku").alias("g"), place(F.col("at"), F.col("product_key"), F.col("vendor_sku"), F.col("model"), F.col("until")).alias("x"))
-    under_sku = under_sku.unionByName(table.select(F.col("t_sku").alias("g"), place(F.col("at"), F.col("product_key"), F.col("t_sku"), F.col("t_model"), F.col("until")).alias("x")))
-    under_sku = stored(earlier(under_sku, ["g"], F.col("x.at"), F.col("x"), "before"), "resolve-sku")
-
-    # only the first record of a listing that the table lacks looks elsewhere
-    fresh = rows.filter("in_table is null and at = first_at")
-    asked = fresh.filter("vendor_sku <> ''").select("at", F.col("vendor_sku").alias("g"))
-    open_ = asked.join(under_sku.select("g", F.col("x.at").alias("at"), "before"), ["g", "at"]).filter("before is not null")
-    found = None
+    stays = table.filter("until is null").groupBy("t_sku").agg(F.max_by(F.struct("product_key", "last_seen", "id", "until"), F.struct("last_seen", "id")).alias("x")).select("t_sku", "x.*")
+    table = table.filter("until is not null").select(*stays.columns).unionByName(stays).select(F.col("t_sku").alias("sku"), (-nth.cast("long")).alias("at"), "product_key", "until", F.lit(False).alias("asks"))
+    under_sku = rows.filter("sku <> ''").select("sku", "at", "product_key", "until", (F.col("fresh") & F.coalesce(F.col("vendor_sku") != "", F.lit(False))).alias("asks")).unionByName(table)
+
+    def followed(rows: DataFrame, look: Callable) -> DataFrame:
+        rows = look(rows, ["sku"], at, {"back": at})
+        rows = look(rows, ["sku"], at, {"before": F.struct("at", F.col("product_key").alias("k"), "until", "back")})
+        return rows.withColumn("before", F.when(F.col("asks"), F.col("before")))
+
+    placed = keep(by_key(under_sku, "sku", followed), "sku")
+    open_, found = placed.filter("before is not null").select("sku", "at", "before"), None
+    over = F.coalesce(F.col("before.until") <= at, F.lit(False))
+    steps = []
     while True:
-        open_ = stored(open_, "resolve-open")
-        done = open_.filter(F.coalesce(F.col("before.until") > F.col("at"), F.lit(True))).select("at", F.col("before").alias("by_sku"))
+        done = open_.filter(~over).select("at", F.struct("before.at", "before.k").alias("by_sku"))
         found = done if found is None else found.unionByName(done)
-        open_ = open_.filter("before.until <= at")
-        if open_.isEmpty():
+        open_ = keep(open_.filter(over & F.col("before.back").isNotNull()).select("sku", "at", F.col("before.back").alias("_at")), "open")
+        steps.append(open_)
+        n = open_.count()
+        if not n:
             break
-        steps = under_sku.select("g", F.col("x.at").alias("_at"), F.col("before").alias("_further"))
-        open_ = open_.withColumn("_at", F.col("before.at")).join(steps, ["g", "_at"]).filter("_further is not null").select("g", "at", F.col("_further").alias("before"))
-
-    by_key = rows.select(F.coalesce("t_key", "first_key").alias("g"), place(F.col("at"), F.col("product_key"), F.col("vendor_sku"), F.col("model"), none).alias("x"))
-    newest = known.groupBy(F.col("t_key").alias("g")).agg(F.max_by(place(F.lit(-1).cast("long"), F.col("product_key"), F.col("t_sku"), F.col("t_model"), none), F.struct("last_seen", "id")).alias("x"))
-    by_key = earlier(by_key.unionByName(newest).filter("g is not null"), ["g"], F.col("x.at"), F.col("x"), "by_key").select(F.col("x.at").alias("at"), F.col("g").alias("model_key"), "by_key").filter("at >= 0")
+        back = placed.select("sku", F.col("at").alias("_at"), F.struct("at", F.col("product_key").alias("k"), "until", "back").alias("before"))
+        open_ = back.join(F.broadcast(open_) if n <= FEW else open_, ["sku", "_at"]).select("sku", "at", "before")
+        if n > FEW:
+            open_ = keep(open_, "open")
+            steps.append(open_)
+    found = keep(found, "found")
+    dropped(placed, *steps)
+
+    place = lambda k, sku, model: F.struct(at.alias("at"), k.alias("k"), sku.alias("sku"), model.alias("model"))
+    names = ["key", *own, "fresh"]
+    newest = known.filter("t_key is not null").groupBy(F.col("t_key").alias("key")).agg(F.max_by(F.struct("product_key", F.col("t_model").alias("model"), F.col("t_key").alias("model_key"), F.col("t_sku").alias("vendor_sku")), F.struct("last_seen", "id")).alias("x"))
+    newest = newest.select("key", "x.*", F.lit(-1).cast("long").alias("at"), F.lit(False).alias("fresh"))
+    under_key = rows.filter("key is not null").select(names).unionByName(newest.select(names))
+    compared = lambda rows, look: look(rows, ["key"], at, {"by_key": place(F.col("product_key"), F.col("vendor_sku"), F.col("model"))}).filter("fresh").select(*own, "by_key")
+    fresh = by_key(under_key, "key", compared)
+    fresh = fresh.unionByName(rows.filter("fresh and key is null").select(own), allowMissingColumns=True).join(found, "at", "left")
 
-    out = rows.join(found, "at", "left").join(by_key.select("at", "by_key"), "at", "left")
     full = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     veto = full("vendor_sku") & full("by_key.sku") & (F.col("vendor_sku") != F.col("by_key.sku"))
-    other = F.coalesce("by_sku", F.when(~veto & same_product(F.col("by_key.model"), F.col("model")), F.col("by_key")))
-    new = F.col("in_table").isNull() & (F.col("at") == F.col("first_at"))
-    prior = F.when(new, other["k"]).otherwise(F.col("product_key"))
-    relation = F.when(~new, "same_listing").when(prior.isNotNull(), "existing_product").otherwise("none")
-    prior_at = F.when(new, F.when(other["at"] >= 0, other["at"])).otherwise(F.col("own_at"))
-    out = out.select("at", prior.alias("prior_key"), relation.alias("relation"), prior_at.alias("prior_at"))
-    return incoming.join(out, "at")
+    named = F.when(~veto & same_product(F.col("by_key.model"), F.col("model")), F.col("by_key"))
+    prior = F.coalesce("by_sku.k", named["k"])
+    prior_at = F.when(F.col("by_sku").isNotNull(), F.col("by_sku.at")).otherwise(named["at"])
+    relation = F.when(prior.isNotNull(), "existing_product").otherwise("none")
+    fresh = fresh.select(*own, prior.alias("prior_key"), relation.alias("relation"), F.when(prior_at >= 0, prior_at).alias("prior_at"))
+    out = rows.filter(~F.col("fresh")).select(*own, F.col("product_key").alias("prior_key"), F.lit("same_listing").alias("relation"), F.col("own_at").alias("prior_at")).unionByName(fresh)
+    added = ["prior_key", "relation", "prior_at"]
+    return out.select(*incoming.columns, *added) if set(incoming.columns) <= set(own) else incoming.join(out.select("at", *added), "at")

@@ -1,6 +1,7 @@
 """Keyed streams, resolution inside a batch, published batches, terms, quarantine, probes, budgets and archives."""
 
 import datetime as dt
+import glob
 import html
 import json
 import random
@@ -114,6 +115,37 @@ def test_a_chain_of_five_and_skus_that_leave(spark):
     assert want[20] == ("n0", "existing_product", 0) and want[2] == ("n0", "existing_product", 0)
 
 
+@pytest.mark.parametrize("hot", [3, 9])
+def test_resolution_of_keys_with_many_rows(spark, monkeypatch, hot):
+    """Listings, SKUs and model keys of more rows than a window takes are cut into spans, beside others that aren't."""
+    monkeypatch.setattr(resolve, "SPAN", 3)
+    monkeypatch.setattr(resolve, "HOT", hot)
+    monkeypatch.setattr(resolve, "FEW", 0 if hot == 3 else 2)
+    rng = random.Random(hot)
+    sku, models = lambda: rng.choice([None, "", "s1", "s2", "s2", "s2", f"t{rng.randrange(9)}"]), ["a 1", "a 1 pro", "b 2", "c 3"]
+    table = [(i, f"k{i}", m, m[:3], sku(), rng.randrange(3)) for i in range(6) for m in [rng.choice(models)]]
+    coming = [(n, f"k{min(rng.randrange(40), rng.randrange(40))}", m, rng.choice([m[:3], m[:3], None]), sku()) for n in rng.sample(range(400), 120) for m in [rng.choice(models)]]
+    assert resolved(spark, coming, table) == {k: v for k, v in one_by_one([(n, k, m, key or f"none-{n}", s) for n, k, m, key, s in coming], table).items()}
+
+
+def test_resolution_deals_each_record_out_few_times(spark):
+    """Bytes of shuffle a record stay low, other columns are handed on, and the tables made on the way are gone but the last two."""
+    n = 60_000
+    k = F.xxhash64("id") % 9_000
+    coming = spark.range(n).select(F.col("id").alias("at"), F.concat(F.lit("src:"), k.cast("string")).alias("product_key"), F.concat(F.lit("model of many words "), (k % 90).cast("string")).alias("model"), F.concat(F.lit("maker::model-of-many-words-"), (k % 90).cast("string")).alias("model_key"), F.concat(F.lit("S"), (F.col("id") * 7919 % 600).cast("string")).alias("vendor_sku"), (F.col("id") + 1).alias("more"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = written()
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    here = set(glob.glob(f"{folder}/resolve-*"))
+    got = resolve.resolve_in_order(coming, spark.createDataFrame([], LISTED))
+    got.drop("more").write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert (written() - before) / n < 250
+    assert {p.split("/")[-1].split("-")[1] for p in set(glob.glob(f"{folder}/resolve-*")) - here} == {"rows", "found"}
+    assert got.filter("more = at + 1").count() == n
+
+
 # ---- published batches
 
 def observed(spark, day, *rows):
