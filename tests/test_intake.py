@@ -221,6 +221,38 @@ def test_terms(spark):
     assert {r.presence for r in terms.presence(items, "n", known.limit(0), "k").collect()} == {"unknown"}
 
 
+def test_terms_of_all_lengths_and_repeated_rows(spark, monkeypatch):
+    """Long words and terms beside short ones, a term in two words of a text, letters that lower by what follows, rows that are equal."""
+    monkeypatch.setattr(terms, "SHORT", 5)
+    monkeypatch.setattr(terms, "SPELT", 12)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aBİσΣ\t") for _ in range(rng.choice([1, 3, 8, 11, 12, 13, 30])))
+    texts = [(i % 40, {"k": i % 40}, " ".join(word() for _ in range(rng.randrange(8)))) for i in range(60)] + [(98, {}, "aB xaB  aB " * 40), (99, None, None)] * 2
+    low = lambda said: values(spark, F.lower("x"), said)
+    said = [t for _, _, t in texts if t]
+    w = sorted(({t[a : a + rng.randrange(1, 9)] for t in said for a in range(0, len(t), 5)} | {t[3:30].replace(" ", "") for t in said} | {"ab", "zz"}) - {""})
+    held = {t: x for t, x in zip(said, low(said), strict=True)}
+    small = dict(zip(w, low(w), strict=True))
+    want = sorted((i, x) for i, _, t in texts if t for x in set(small.values()) if x in held[t])
+    d = spark.createDataFrame(texts, "i long, m map<string,int>, t string").repartition(3)
+    for some in (w, [x for x in w if " " not in x and len(x) <= 5], [x for x in w if len(x) > 5], [x for x in w if " " in x]):
+        got = terms.matches(d, "t", spark.createDataFrame([(x,) for x in some], "w string"), "w", 1_500)
+        asked = {small[x] for x in some}
+        assert got.columns == ["i", "m", "term"]
+        assert sorted((r.i, r.term) for r in got.collect()) == [x for x in want if x[1] in asked]
+
+
+def test_many_terms_are_not_passed_by_all_texts(spark, monkeypatch):
+    """Forty blocks of terms: words meet them by a join instead of forty readings of the texts."""
+    monkeypatch.setattr(terms, "_scan", lambda *_: pytest.fail("texts are read past an automaton"))
+    d = spark.range(3_000).select("id", F.concat(F.lit("some Word"), F.col("id") % 900, F.lit(" and sword"), F.col("id") % 70).alias("t"))
+    w = d.select(F.explode(F.split("t", " ")).alias("w")).filter("length(w) > 4")
+    got = terms.matches(d, "t", w, "w", 200).groupBy("term").count()
+    said = [(i, f"some word{i % 900} and sword{i % 70}") for i in range(3_000)]
+    words = {x for _, t in said for x in t.split() if len(x) > 4}
+    assert {r.term: r["count"] for r in got.collect()} == {x: sum(x in t for _, t in said) for x in words}
+
+
 def test_references_as_html_reads_them(spark):
     said = [x for n in html5 for x in ("&" + n, f"&{n}x", f"a&{n.rstrip(';')} b", *("&" + n[:k] for k in range(1, len(n))))]
     said += [f"&#{i};" for i in (*range(300), *range(0xD7F0, 0xE010), *range(0xFDC0, 0xFE00), 0xFFFE, 0x1FFFE, 0x10FFFF, 0x110000, 10**30)]
